@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelyte.llm import url_reputation
 from panelyte.llm.bpe_fst import encode_decode
+from panelyte.llm.exact_dedup import exact_dedup
 from panelyte.llm.packing import pack
 from panelyte.llm.shared import table
 from panelyte.llm.token_counts import token_counts
@@ -15,6 +17,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)
+"""
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
@@ -25,8 +42,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_reputation": op3_url_reputation,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": url_reputation.oracle()}
