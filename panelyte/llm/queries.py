@@ -9,6 +9,7 @@ from panelyte.llm import url_reputation
 from panelyte.llm.bpe_fst import encode_decode
 from panelyte.llm.exact_dedup import exact_dedup
 from panelyte.llm.packing import pack
+from panelyte.llm.pii import find_personal_data
 from panelyte.llm.shared import table
 from panelyte.llm.token_counts import token_counts
 
@@ -40,12 +41,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_reputation": op3_url_reputation,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op8_packing": op8_packing,
+    "op9_personal_data": op9_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": url_reputation.oracle()}
