@@ -168,7 +168,7 @@ class Codec:
         yield stream.finish()
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, cache_size: int = 300_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, cache_size: int = 800_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep: ids, decoded) for every row of docs.
 
     Each match of `pattern` is encoded alone, without special tokens, over the whole text; the ids are then decoded

@@ -62,7 +62,7 @@ def pack(
     quadratic: float = 1.0 / 1024,
     block_tokens: int = 1 << 21,
     keep_ids: bool = True,
-    cache_size: int = 200_000,
+    cache_size: int = 800_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

@@ -23,23 +23,28 @@ def cut(text: str) -> list[str]:
 class PieceCache(dict):
     """Piece -> value of `encode_many([' ' + piece])`, kept in one Python worker.
 
-    Starts from a fixed table, grows by what the worker meets and falls back to the table when it holds more than
-    `limit` pieces, so its memory is bounded whatever the corpus holds.
+    Starts from a fixed table and grows by what the worker meets. With `limit` / 2 pieces the young generation becomes
+    the old one; pieces met again move on, the others go with the next change. So memory is bounded whatever the
+    corpus holds, and pieces that recur stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 800_000):
         super().__init__(fixed or {})
-        self.encode_many, self.fixed, self.limit = encode_many, fixed or {}, limit
+        self.encode_many, self.fixed, self.half, self.old = encode_many, fixed or {}, max(1, limit // 2), {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode what is missing of the pieces, in one call."""
-        missing = [p for p in pieces if p not in self]
-        if len(self) + len(missing) > self.limit:
+        """Make sure of the pieces; what neither generation has is encoded in one call."""
+        if len(self) > self.half:
+            self.old = dict(self)
             self.clear()
             self.update(self.fixed)
-            missing = [p for p in pieces if p not in self]
-        if missing:
-            self.update(zip(missing, self.encode_many([" " + p for p in missing]), strict=True))
+        missing = pieces.difference(self)
+        old = self.old
+        again = {p: old[p] for p in missing if p in old}
+        self.update(again)
+        new = list(missing.difference(again))
+        if new:
+            self.update(zip(new, self.encode_many([" " + p for p in new]), strict=True))
 
 
 #: One cache per worker process, purpose and tokenizer file: tasks that run later in the worker find it warm.

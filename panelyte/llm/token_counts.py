@@ -43,7 +43,7 @@ def token_counts(
     limit: int = 512,
     table_size: int = 8192,
     tracked: int = 16384,
-    cache_size: int = 300_000,
+    cache_size: int = 800_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
