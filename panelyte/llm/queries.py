@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from panelyte.llm import url_reputation
 from panelyte.llm.bpe_fst import encode_decode
 from panelyte.llm.exact_dedup import exact_dedup
+from panelyte.llm.jaccard import jaccard_join
 from panelyte.llm.packing import pack
 from panelyte.llm.pii import find_personal_data
+from panelyte.llm.quality import score_quality
 from panelyte.llm.shared import table
 from panelyte.llm.token_counts import token_counts
 
@@ -37,6 +39,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -45,13 +51,19 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_reputation": op3_url_reputation,
     "op5_bpe_transducer": op5_bpe_transducer,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_personal_data": op9_personal_data,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": url_reputation.oracle()}
