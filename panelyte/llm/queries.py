@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelyte.llm import url_reputation
 from panelyte.llm.bpe_fst import encode_decode
+from panelyte.llm.embed_dedup import embedding_dedup
 from panelyte.llm.exact_dedup import exact_dedup
 from panelyte.llm.jaccard import jaccard_join
 from panelyte.llm.packing import pack
@@ -35,6 +36,10 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_reputation": op3_url_reputation,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
