@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from panelyte.llm.shared import materialize, scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: without preallocated files.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -32,8 +35,9 @@ def located(docs: DataFrame) -> DataFrame:
 
 def stream_state(log: str, schema, files_per_batch: int, spark) -> DataFrame:
     """(__key, first, n) of all rows of the log, from the stream's state."""
-    out, before = scratch(spark, "state"), spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    out, before = scratch(spark, "state"), {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         (
             spark.readStream.schema(schema)
@@ -49,7 +53,8 @@ def stream_state(log: str, schema, files_per_batch: int, spark) -> DataFrame:
             .awaitTermination()
         )
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     id_type = schema["id"].dataType.simpleString()
     told = spark.read.schema(f"__key string, first struct<no_id: boolean, id: {id_type}, __at: string>, n long, batch long").parquet(f"{out}/*")
     latest = F.max(F.struct("batch", "n", "first"))  # n grows with every batch that updates a key
