@@ -141,7 +141,7 @@ def linked_forest(keys: list[int], sets: list[np.ndarray], sides: list[int], cro
     return out
 
 
-def jaccard_join(
+def labelled_rows(
     docs: DataFrame,
     num: int = 90,
     words: int = 3,
@@ -150,14 +150,7 @@ def jaccard_join(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs: components of Jaccard >= num / 100.
-
-    Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words than a shingle has its
-    whole sequence as one. Null, empty and blank texts have no features (0) and link with nothing: their component is
-    their own id. Of a component the smallest id names it; null ids name none unless all are null. Repeated ids and
-    copies are linked as any rows with equal sets. Sets are told apart by 64-bit keys of their hashed features. Empty
-    table: no rows. Only the two named columns are read.
-    """
+    """(doc_id, tkey, n, root) per row of docs: hash of the text, features, and a number of its component."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -236,6 +229,30 @@ def jaccard_join(
             yield flush()
 
     links = components(dealt.mapInArrow(compare, "a long, b long"))
-    labelled = facts.drop("signs").join(links, facts["key"] == links["v"], "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))
+    return facts.drop("signs").join(links, facts["key"] == links["v"], "left").select("doc_id", "tkey", "n", F.coalesce("root", "key").alias("root"))
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs: components of Jaccard >= num / 100.
+
+    Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words than a shingle has its
+    whole sequence as one. Null, empty and blank texts have no features (0) and link with nothing: their component is
+    their own id. Of a component the smallest id names it; null ids name none unless all are null. Repeated ids and
+    copies are linked as any rows with equal sets. Sets are told apart by 64-bit keys of their hashed features. Empty
+    table: no rows. Only the two named columns are read.
+    """
+    labelled = materialize(labelled_rows(docs, **options), "labelled")
     names = labelled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return labelled.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each component left: the smallest id (a null id after all others), then the least hash of
+    the text. Texts without features stay. Rows that repeat both id and text stay or go together."""
+    labelled = materialize(labelled_rows(docs, text_col=text_col, id_col=id_col, **options), "labelled")
+    mark = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")
+    first = labelled.filter("n > 0").groupBy("root").agg(F.min(mark).alias("first"))
+    gone = labelled.filter("n > 0").join(first, "root").filter(mark != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
+    gone = materialize(gone, "gone")
+    tkey = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn("__text", tkey).join(gone, F.col("__text").eqNullSafe(F.col("__tkey")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").drop("__text")

@@ -67,3 +67,10 @@ def load_tokenizer(path: str):
     tok.no_truncation()
     tok.no_padding()
     return tok, [t.content for t in tok.get_added_tokens_decoder().values()]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Character -> byte of byte-level BPE files: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}

@@ -119,6 +119,7 @@ def find_personal_data(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_text: bool = True,
+    carry: list[str] = (),
 ) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and with keep_text: text, clean, n_term).
 
@@ -126,10 +127,10 @@ def find_personal_data(
     base span replaced by [EMAIL], [IP], [CARD] or [PHONE] (where kinds overlap, the span that starts first, then the
     longer one, then the earlier kind) and each revealing term, outside those, by [TERM]. Repeated rows each get
     their row; copies of one text are one observation for the statistics. Empty table: no rows. Only the two named
-    columns are read.
+    columns are read, and those in carry, which follow the result.
     """
     texts = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), texts.alias("text")).withColumn("__text", F.sha2("text", 256))
+    rows = docs.select(F.col(id_col).alias("doc_id"), texts.alias("text"), F.struct(F.lit(0), *carry).alias("__row")).withColumn("__text", F.sha2("text", 256))
     marked = rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     base = marked.withColumn("all", F.concat(*[tagged(k) for k in KINDS]))
     found = materialize(base.filter(F.size("all") > 0).select("__text", "text", "all").dropDuplicates(["__text"]), "entities")
@@ -149,7 +150,7 @@ def find_personal_data(
     ]
     if keep_text:
         out += ["text", _clean().alias("clean"), F.size("term").cast("long").alias("n_term")]
-    return full.select(*out)
+    return full.select(*out, *[F.col(f"__row.{c}").alias(c) for c in carry])
 
 
 def _clean() -> Column:

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelyte.llm import url_reputation
+from panelyte.llm.attention_lm import lm_scores
 from panelyte.llm.bpe_fst import encode_decode
 from panelyte.llm.embed_dedup import embedding_dedup
 from panelyte.llm.exact_dedup import exact_dedup
@@ -44,6 +45,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_url_reputation": op3_url_reputation,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_bpe_transducer": op5_bpe_transducer,
+    "op6_attention_lm": op6_attention_lm,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_personal_data": op9_personal_data,
