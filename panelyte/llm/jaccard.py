@@ -28,6 +28,7 @@ from panelyte.llm.shared import materialize, text_groups
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _W = np.uint64(0x9E3779B97F4A7C15)
 MANY_WORDS = 400_000
+FILTER_BITS = 1 << 26
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -186,19 +187,28 @@ def labelled_rows(
     members = materialize(by_key.select("key", "root", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.tkey").alias("tkey")), "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
     placed = members.join(sizes, "root").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
-    # The members' table is broadcast only where the planner sees that it is small.
-    chosen = rows.alias("r").join(materialize(placed, "placed").alias("m"), F.col("r.tkey").eqNullSafe(F.col("m.tkey")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")))
-    chosen = chosen.select("key", "root", "block", "blocks", "text")
+    placed = materialize(placed, "placed")
+    spots = placed.select(F.pmod("tkey", F.lit(FILTER_BITS)).alias("h")).groupBy(F.shiftright("h", 15).alias("part"))
+    marks = docs.sparkSession.sparkContext.broadcast(
+        {r["part"]: bytes(r["bits"]) for r in spots.agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits")).collect()}
+    )  # FILTER_BITS bits at most; it only spares texts that no member has, so its fill does not change the result
 
     def features(batches):
-        shingles = Shingler(words)
+        shingles, mask = Shingler(words), np.zeros(FILTER_BITS // 8, np.uint8)
+        for part, bits in marks.value.items():
+            mask[part << 12 : (part << 12) + len(bits)] = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            sets = [shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "root", "block", "blocks")], lists], ["key", "root", "block", "blocks", "features"])
-
-    sets = chosen.mapInArrow(features, "key long, root long, block int, blocks int, features array<long>")
+            h = batch.column("tkey").to_numpy() % FILTER_BITS
+            batch = batch.take(pa.array(np.flatnonzero(mask[h >> 3] >> (h & 7) & 1)))
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                sets = [shingles(t.as_py()).view(np.int64) for t in some.column("text")]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("tkey"), lists], ["doc_id", "tkey", "features"])
+
+    found = rows.mapInArrow(features, f"doc_id {kind}, tkey long, features array<long>").alias("r")
+    sets = found.join(placed.alias("m"), F.col("r.tkey").eqNullSafe(F.col("m.tkey")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))).select("key", "root", "block", "blocks", "features")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = (
         sets.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "features")
