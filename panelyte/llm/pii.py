@@ -83,6 +83,11 @@ def told(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
+def _words(texts: DataFrame) -> DataFrame:
+    """(__text, term), one row for each distinct word of a row."""
+    return texts.select("__text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
+
+
 def revealing_terms(found: DataFrame, texts: DataFrame, disclosure: float, support: int, window: int) -> DataFrame | None:
     """(__text, terms) for the texts that hold revealing terms, or None where no term was seen often enough.
 
@@ -94,20 +99,20 @@ def revealing_terms(found: DataFrame, texts: DataFrame, disclosure: float, suppo
     beside = found.select("__text", "text", entity).select(
         "__text", F.lower("x.v").alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0)))).alias("term")
     ).distinct()
-    pairs = materialize(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support), "pairs")
+    pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    of_entity = found.select("__text", entity).select("__text", F.lower("x.v").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    n = texts.agg(F.count_distinct("__text")).first()[0]
+    # PMI >= disclosure * IC says that the term is in at most `most` texts. Texts with entities alone rule out the
+    # terms that are common, before any word of the other texts is looked at.
+    most = F.col("both") * F.pow(F.lit(float(n)) / F.col("of_entity"), F.lit(1 - disclosure))
+    pairs = materialize(pairs.join(of_entity, "entity").filter(F.col("of_entity") < n).select("entity", "term", most.alias("most")), "pairs")
+    wanted = pairs.select("term").distinct()
+    of_found = _words(found).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_found"))
+    pairs = materialize(pairs.join(of_found, "term").filter(F.col("of_found") <= F.col("most")).select("term", "most"), "rare")
     if pairs.isEmpty():
         return None
-    words = texts.select("__text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
-    seen = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "seen")
-    n = texts.agg(F.count_distinct("__text").cast("double").alias("N"))
-    of_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    of_entity = found.select("__text", entity).select("__text", F.lower("x.v").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    pmi = F.log2(F.col("N") * F.col("both") / (F.col("of_term") * F.col("of_entity")))
-    terms = (
-        pairs.join(of_term, "term").join(of_entity, "entity").crossJoin(F.broadcast(n))  # n is one row
-        .filter((F.col("of_entity") < F.col("N")) & (pmi >= disclosure * F.log2(F.col("N") / F.col("of_entity"))))
-        .select("term").distinct()
-    )
+    seen = materialize(_words(texts).join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "seen")
+    terms = pairs.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")), "term").filter(F.col("of_term") <= F.col("most")).select("term").distinct()
     return materialize(seen.join(terms, "term").groupBy("__text").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")
 
 
