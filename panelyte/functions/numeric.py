@@ -14,7 +14,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """x held within [lo, hi]; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def clean(x: Column) -> Column:

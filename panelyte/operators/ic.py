@@ -41,7 +41,7 @@ def summarize(ic: DataFrame, keys: list[str] = ("factor",)) -> DataFrame:
     """Mean, deviation, IR, stability, t statistic, hit rate of a series of ICs."""
     mean, sd, n = F.avg("ic"), F.stddev_pop("ic"), F.count("ic")
     ir = F.when(sd > 1e-10, mean / sd)
-    stability = F.abs(F.sum(F.signum("ic"))) / n
+    stability = F.abs(F.sum(F.signum(F.round("ic", 9)))) / n
     return ic.groupBy(*keys).agg(
         n.alias("n_dates"), mean.alias("ic_mean"), sd.alias("ic_std"), ir.alias("ir"), stability.alias("stability"),
         (ir * F.sqrt(n.cast("double"))).alias("t"), (ir * stability).alias("combined_ir"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"),

@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-from panelyte.plans import kernels  # noqa: F401
+from panelyte.plans import kernels, research  # noqa: F401
 from panelyte.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,7 +11,7 @@ from panelyte.plans.registry import bars_sql, query
 from panelyte.sources.panels import bars
 
 DAILY, WEEKLY, MONTHLY = bars_sql("brand", "day"), bars_sql(), bars_sql("brand", "month")
-BAR_COLUMNS = "entity, grp, date, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume, amount"
+BAR_COLUMNS = "entity, grp, date, open, high, low, close, volume, amount"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -26,22 +26,22 @@ def panel(spark, sf_dir, by="brand", every="week") -> DataFrame:
 
 @query(f"{DAILY} select {BAR_COLUMNS} from bars")
 def bars_daily_brand(spark, sf_dir):
-    return rounded(bars(spark, sf_dir, "brand", "day"))
+    return bars(spark, sf_dir, "brand", "day")
 
 
 @query(f"{WEEKLY} select {BAR_COLUMNS} from bars")
 def bars_weekly_brand(spark, sf_dir):
-    return rounded(bars(spark, sf_dir))
+    return bars(spark, sf_dir)
 
 
 @query(f"{MONTHLY} select {BAR_COLUMNS} from bars")
 def bars_monthly_brand(spark, sf_dir):
-    return rounded(bars(spark, sf_dir, "brand", "month"))
+    return bars(spark, sf_dir, "brand", "month")
 
 
 @query(f"{bars_sql('nation')} select {BAR_COLUMNS} from bars")
 def bars_weekly_nation(spark, sf_dir):
-    return rounded(bars(spark, sf_dir, "nation"))
+    return bars(spark, sf_dir, "nation")
 
 
 def ex(w: int) -> str:
@@ -153,7 +153,7 @@ x as (select *, coalesce(a > z and lag(a) over (partition by entity order by dat
     and close > max(close) over (partition by entity order by date rows between 3 preceding and 1 preceding)
     and close > max(close) over (partition by entity order by date rows between 1 following and 3 following), false) as centred from m),
 y as (select *, ord - max(case when cross_up then ord end) over (partition by entity order by date) as since, avg(case when ret < 0 then 1.0 else 0.0 end) {inc(10)} as down_share from x)
-select entity, date, cross_up, since, case when cross_up or since < 5 then round(1 - since / 5.0, 6) else 0.0 end as fresh, peak, centred, round(down_share, 6) as down_share,
+select entity, date, cross_up, since, case when cross_up or since < 5 then cast(1 - since / 5.0 as double) else 0.0::double end as fresh, peak, centred, round(cast(down_share as double), 6) as down_share,
   sum(case when (ret > 0) <> (pr > 0) then 1 else 0 end) {inc(10)}::bigint as switches
 from (select *, lag(ret) over (partition by entity order by date) as pr from y)""")
 def cross_events(spark, sf_dir):
@@ -175,13 +175,13 @@ EMA_SQL = f"""with recursive {WEEKLY[5:]}, e as (
   select entity, date, ord, close, close as f, close as s from b where ord = 1
   union all select b.entity, b.date, b.ord, b.close, e.f + (b.close - e.f) * 2 / 13.0, e.s + (b.close - e.s) * 2 / 27.0 from e join b on b.entity = e.entity and b.ord = e.ord + 1),
 g as (select entity, date, ord, f, s, f - s as g from e where ord = 1 union all select e.entity, e.date, e.ord, e.f, e.s, g.g + (e.f - e.s - g.g) * 2 / 10.0 from g join e on e.entity = g.entity and e.ord = g.ord + 1)
-select entity, date, round(f, 6) as ema_12, round(f - s, 6) as macd, round(g, 6) as macd_signal, round(f - s - g, 6) as macd_hist from g"""
+select entity, date, round(f, 4) as ema_12, round(f - s, 4) as macd, round(g, 4) as macd_signal, round(f - s - g, 4) as macd_hist from g"""
 
 
 @query(EMA_SQL)
 def ema_macd(spark, sf_dir):
     p = recursive.macd(recursive.smoothed(bars(spark, sf_dir).select("entity", "date", "close"), {"ema_12": ("close", 12, False)}), "close")
-    return rounded(p.select("entity", "date", "ema_12", "macd", "macd_signal", "macd_hist"))
+    return rounded(p.select("entity", "date", "ema_12", "macd", "macd_signal", "macd_hist"), 4)
 
 
 @query(f"""{WEEKLY} select a.entity, a.date, round(sum(h.close * pow(1 - 2 / 11.0, a.ord - h.ord)) / sum(pow(1 - 2 / 11.0, a.ord - h.ord)), 6) as ewm_10 from b a join b h on h.entity = a.entity and h.ord <= a.ord group by 1, 2""")
@@ -192,11 +192,11 @@ def ewm_adjusted(spark, sf_dir):
 
 @query(f"""{WEEKLY}, cal as (select unnest(generate_series(min(date), max(date), interval 7 day))::date as date from bars), en as (select entity, min(date) as lo, max(date) as hi from bars group by 1),
 g as (select en.entity, cal.date from en join cal on cal.date between lo and hi)
-select g.entity, g.date, round(last_value(close ignore nulls) over (partition by g.entity order by g.date), 6) as close, coalesce(volume, 0) as volume, close is null as filled from g left join bars on bars.entity = g.entity and bars.date = g.date""")
+select g.entity, g.date, last_value(close ignore nulls) over (partition by g.entity order by g.date) as close, coalesce(volume, 0) as volume, close is null as filled from g left join bars on bars.entity = g.entity and bars.date = g.date""")
 def calendar_ffill(spark, sf_dir):
     from panelyte.operators.clean import complete
 
-    return rounded(complete(bars(spark, sf_dir), 7).select("entity", "date", "close", "volume", "filled"))
+    return complete(bars(spark, sf_dir), 7).select("entity", "date", "close", "volume", "filled")
 
 
 @query(f"""{DAILY}, k as (select entity, date, close, volume, date_trunc('month', date)::date as month from bars),
