@@ -3,12 +3,15 @@
 Two sets with |A & B| >= t * |A | B| differ in at most k = floor(2 * r * (1 - t) / (1 + t)) features when both sizes
 are r at most. Sizes fall into bands whose ends are in the ratio t, so linked sets lie in one band or in two
 neighbouring ones: a set has signatures for its own band and for the next. For a band, the feature domain is hashed
-into n1 = floor(k / 2) + 1 partitions, so linked sets differ by one feature at most in one of them; that partition is
-hashed into 3, of which at least 2 then agree whole, and a signature stands for the features in one such subset of 2.
-
-Signatures shared by different sets give candidate groups (components of stars, so their number grows with the rows,
-not with the pairs). In each group the sets themselves are compared, in blocks of bounded size whose pairs are dealt
-out as tasks, and only links that join two components of the block pair come back.
+into n1 = floor(k / 2) + 1 + SPARE partitions, so linked sets differ by one feature at most in SPARE + 1 of them; such
+a partition is hashed into 3, of which at least 2 then agree whole, and a signature stands for the features in one
+such subset of 2. A set that has a subset without features in SPARE partitions at most needs no signatures for those
+subsets: one of its other partitions agrees as well.
+
+Signatures shared by different sets give candidate groups: all pairs of a small bucket that the counts of features in
+hash bins do not rule out, and stars in large buckets, so that the number grows with the rows. In each group the sets
+themselves are compared, in blocks of bounded size whose pairs are dealt out as tasks, and only links that join two
+components of the block pair come back.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _W = np.uint64(0x9E3779B97F4A7C15)
 MANY_WORDS = 400_000
 FILTER_BITS = 1 << 26
+SPARE, SMALL_BUCKET, BINS = 2, 24, 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,7 +86,7 @@ class PartEnum:
         spread, value, out = mix(s + _W), mix(s ^ _M1), []
         for b in (band, band + 1):
             k = 2 * self.ends[b] * (100 - self.num) // (100 + self.num)
-            n1 = k // 2 + 1
+            n1 = k // 2 + 1 + SPARE
             cells = n1 * self.parts
             cell = (spread % np.uint64(cells)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
@@ -90,14 +94,22 @@ class PartEnum:
             running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
             sums = mix(running[at[1:]] - running[at[:-1]]).reshape(n1, self.parts)
             first = np.arange(n1, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(b << 44)
+            filled = np.diff(at).reshape(n1, self.parts)
+            empty = np.stack([filled[:, subset].sum(axis=1) == 0 for subset in self.subsets])
+            keep_all = empty.any(axis=0).sum() > SPARE
             for j, subset in enumerate(self.subsets):
                 h = first + np.uint64(j)
                 for p in subset:
                     h = mix(h + sums[:, p] * _W)
-                out.append(h)
+                out.append(h if keep_all else h[~empty[j]])
         return np.concatenate(out).view(np.int64)
 
 
+def bin_counts(s: np.ndarray) -> bytes:
+    """Features by hash bin, at most 255 each: the sum of differences never exceeds the symmetric difference."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
@@ -159,7 +171,7 @@ def labelled_rows(
     def describe(batches):
         shingles, sign, seen = Shingler(words), PartEnum(num), set()
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, signs, bins = [], [], [], []
             for _, texts in text_groups([batch], "doc_id", "text"):
                 for t in texts:
                     s = shingles(t)
@@ -172,18 +184,34 @@ def labelled_rows(
                     sizes.append(len(s))
                     keys.append(key)
                     signs.append(sign(s) if fresh else np.empty(0, np.int64))
+                    bins.append(bin_counts(s) if len(s) else None)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in signs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *signs])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "tkey", "n", "key", "signs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists, pa.array(bins, pa.binary())], ["doc_id", "tkey", "n", "key", "signs", "bins"])
 
-    facts = materialize(rows.mapInArrow(describe, f"doc_id {kind}, tkey long, n long, key long, signs array<long>"), "sets")
+    facts = materialize(rows.mapInArrow(describe, f"doc_id {kind}, tkey long, n long, key long, signs array<long>, bins binary"), "sets")
 
     signs = facts.select("key", F.explode("signs").alias("sign"))
-    of_sign = F.min("key").over(Window.partitionBy("sign"))
-    stars = signs.withColumn("least", of_sign).filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    groups = components(stars)
+    bucket = Window.partitionBy("sign")
+    shared = signs.withColumn("least", F.min("key").over(bucket)).withColumn("most", F.max("key").over(bucket)).withColumn("rows", F.count(F.lit(1)).over(bucket)).filter("least <> most")
+    shared = materialize(shared.select("sign", "key", "least", "rows"), "shared")
+    stars = shared.filter((F.col("rows") > SMALL_BUCKET) & (F.col("key") != F.col("least"))).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    few = shared.filter(F.col("rows") <= SMALL_BUCKET).select("sign", "key").distinct()
+    pairs = few.select("sign", F.col("key").alias("a")).join(few.select("sign", F.col("key").alias("b")), "sign").filter("a < b").select("a", "b").distinct()
+    described = facts.join(few.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("n").alias("n"), F.max("bins").alias("bins"))
+    side = lambda end: described.select(F.col("key").alias(end), F.col("n").alias(f"n{end}"), F.col("bins").alias(f"bins{end}"))
+
+    def may_link(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("binsa", "binsb"))
+                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                apart = np.maximum(np.abs(a - b).sum(axis=1), np.abs(na - nb))
+                yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(apart <= (na + nb) * (100 - num) // (100 + num))))
+
+    groups = components(stars.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long")))
 
-    by_key = facts.drop("signs").join(groups, facts["key"] == groups["v"]).groupBy("key", "root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")).alias("one"), F.max("n").alias("n"))
+    by_key = facts.drop("signs", "bins").join(groups, facts["key"] == groups["v"]).groupBy("key", "root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")).alias("one"), F.max("n").alias("n"))
     members = materialize(by_key.select("key", "root", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.tkey").alias("tkey")), "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
     placed = members.join(sizes, "root").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
@@ -239,7 +267,7 @@ def labelled_rows(
             yield flush()
 
     links = components(dealt.mapInArrow(compare, "a long, b long"))
-    return facts.drop("signs").join(links, facts["key"] == links["v"], "left").select("doc_id", "tkey", "n", F.coalesce("root", "key").alias("root"))
+    return facts.drop("signs", "bins").join(links, facts["key"] == links["v"], "left").select("doc_id", "tkey", "n", F.coalesce("root", "key").alias("root"))
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
