@@ -26,7 +26,7 @@ def learn_codes(sample: np.ndarray, rounds: int = 40, seed: int = 7) -> tuple[np
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     mean = sample.mean(axis=0)
-    _, vectors = np.linalg.eigh(np.cov(sample.T).reshape(d, d))
+    _, vectors = np.linalg.eigh((sample - mean).T @ (sample - mean))
     basis = vectors[:, ::-1][:, : min(d, BITS)]
     blocks, width = [], 0
     while width < BITS:

@@ -24,13 +24,18 @@ STATE_CONF = {
 }
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with `__at`, the place of each row's content; docs that are not read from files are written first."""
-    place = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+def on_files(docs: DataFrame) -> DataFrame:
+    """docs if its rows have places in files, else docs written to files."""
     try:
-        return docs.select("*", place.alias("__at"))
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
     except AnalysisException:
-        return materialize(docs, "rows").select("*", place.alias("__at"))
+        return materialize(docs, "rows")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs read from files, with `__at`, the place of each row's content."""
+    return docs.select("*", F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string")).alias("__at"))
 
 
 def stream_state(log: str, schema, files_per_batch: int, spark) -> DataFrame:
@@ -74,7 +79,7 @@ def dedup_rows(
     key maps the SHA-256 of the normalised text to the state's key; a weaker key only makes more hits to compare.
     """
     spark = docs.sparkSession
-    rows = located(docs)
+    rows = located(on_files(docs))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     rows = rows.select(F.col(id_col).alias("id"), norm.alias("norm"), "__at").withColumn("text_sha256", F.sha2("norm", 256)).withColumn("__key", key(F.col("text_sha256")))
     log_path = scratch(spark, "digests")
@@ -119,5 +124,6 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that exact_dedup() keeps, with all their columns."""
+    docs = on_files(docs)
     gone = materialize(dedup_rows(docs, **options).filter(~F.col("kept")).select("__at"), "gone")
     return located(docs).join(gone, "__at", "left_anti").drop("__at")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyte.llm.pieces import PieceCache, cut, load_tokenizer, worker_cache
+from panelyte.llm.pieces import PieceCache, cut, load_tokenizer, piece_encoder, worker_cache
 from panelyte.llm.shared import text_groups
 
 
@@ -49,8 +49,8 @@ def balance(lengths: list[int], seq_len: int, linear: float, quadratic: float) -
     return out
 
 
-def _ids(tok):
-    return lambda texts: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+def _packed(encode):
+    return lambda texts: [array("I", ids).tobytes() for ids in encode(texts)]
 
 
 def pack(
@@ -79,7 +79,7 @@ def pack(
 
     def run(batches):
         tok, special = load_tokenizer(tokenizer_path)
-        cache = worker_cache(("pack", tokenizer_path), lambda: PieceCache(_ids(tok), limit=cache_size))
+        encode, cache = worker_cache(("pack", tokenizer_path), lambda: (e := _packed(piece_encoder(tokenizer_path)), PieceCache(e, limit=cache_size)))
         end = array("I", [end_id]).tobytes()
         sequence = TaskContext.get().partitionId() << 40
         block: list[tuple[object, bytes]] = []
@@ -109,12 +109,12 @@ def pack(
             key_type = batch.schema.field("doc_id").type
             for keys, texts in text_groups([batch], "doc_id", "text"):
                 cuts = [cut(t) for t in texts]
-                firsts = _ids(tok)([c[0] for c in cuts])
+                firsts = encode([c[0] for c in cuts])
                 cache.learn(set().union(*(c[1:] for c in cuts)))
                 get = cache.__getitem__
                 for key, text, pieces, first in zip(keys, texts, cuts, firsts, strict=True):
                     if any(s in text for s in special):
-                        ids = _ids(tok)([text])[0] + end
+                        ids = array("I", tok.encode(text, add_special_tokens=False).ids).tobytes() + end
                     else:
                         ids = b"".join((first, *map(get, pieces[1:]), end))
                     block.append((key, ids))

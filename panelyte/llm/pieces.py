@@ -8,6 +8,7 @@ space covers the pattern's, so a cut is never made where the pattern would not m
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -69,6 +70,33 @@ def load_tokenizer(path: str):
     return tok, [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
+#: Fixed value: the pattern that the byte-level pre-tokeniser of these files splits by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def piece_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts without special strings, as the file's library gives them.
+
+    A byte-level BPE whose merges are numbered in their order is a table of ranks, which tiktoken applies several
+    times faster; any other file goes through its own library.
+    """
+    with open(path) as f:
+        said = json.load(f)
+    model, vocab = said["model"], said["model"].get("vocab", {})
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    pre = said.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not said.get("normalizer")
+    if not plain or any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)) or len(vocab) != 256 + len(merges):
+        tok, _ = load_tokenizer(path)
+        return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    import tiktoken
+
+    alphabet = byte_alphabet()
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
+    ordinary = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda texts: [ordinary(t) for t in texts]
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of byte-level BPE files: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyte.llm.pieces import PieceCache, cut, load_tokenizer, worker_cache
+from panelyte.llm.pieces import PieceCache, cut, load_tokenizer, piece_encoder, worker_cache
 from panelyte.llm.shared import text_groups
 
 
@@ -33,8 +33,8 @@ def frequent_pieces(docs: DataFrame, text_col: str, table_size: int, tracked: in
     ]
 
 
-def _lengths(tok):
-    return lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+def _lengths(encode):
+    return lambda texts: [len(ids) for ids in encode(texts)]
 
 
 def token_counts(
@@ -56,25 +56,24 @@ def token_counts(
     """
     texts = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), texts.alias("text"), F.octet_length(texts).cast("long").alias("n_bytes"))
-    tok, _ = load_tokenizer(tokenizer_path)
     hot = frequent_pieces(docs, text_col, table_size, tracked)
-    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(hot, _lengths(tok)([" " + p for p in hot]), strict=True)))
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(hot, _lengths(piece_encoder(tokenizer_path))([" " + p for p in hot]), strict=True)))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
     key = uuid.uuid4().hex  # of this table in the workers' caches
 
     def count(batches):
         tok, special = load_tokenizer(tokenizer_path)
-        cache = worker_cache(("count", tokenizer_path, key), lambda: PieceCache(_lengths(tok), shared.value, cache_size))
+        encode, cache = worker_cache(("count", tokenizer_path, key), lambda: (e := _lengths(piece_encoder(tokenizer_path)), PieceCache(e, shared.value, cache_size)))
         for batch in batches:
             out: list[int] = []
             for _, group in text_groups([batch], "doc_id", "text"):
                 cuts = [cut(t) for t in group]
-                firsts = _lengths(tok)([c[0] for c in cuts])
+                firsts = encode([c[0] for c in cuts])
                 cache.learn(set().union(*(c[1:] for c in cuts)))
                 get = cache.__getitem__
                 for text, pieces, n in zip(group, cuts, firsts, strict=True):
                     if any(s in text for s in special):  # a special string splits the text before the pattern does
-                        out.append(_lengths(tok)([text])[0])
+                        out.append(len(tok.encode(text, add_special_tokens=False).ids))
                     else:
                         out.append(n + sum(map(get, pieces[1:])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
