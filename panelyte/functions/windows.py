@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from panelyte.functions.numeric import clip, ratio
 
-E = Window.partitionBy("entity").orderBy("date")
-PAST = E.rowsBetween(Window.unboundedPreceding, 0)
+def by_entity() -> WindowSpec:
+    """An entity's rows by date (made when asked for: a window needs a session)."""
+    return Window.partitionBy("entity").orderBy("date")
+
+
+def so_far() -> WindowSpec:
+    return by_entity().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def incl(w: int) -> WindowSpec:
-    return E.rowsBetween(1 - w, 0)
+    return by_entity().rowsBetween(1 - w, 0)
 
 
 def excl(w: int) -> WindowSpec:
-    return E.rowsBetween(-w, -1)
+    return by_entity().rowsBetween(-w, -1)
 
 
 def full(value: Column, over: Column, frame: WindowSpec, w: int) -> Column:
@@ -29,7 +34,7 @@ def full(value: Column, over: Column, frame: WindowSpec, w: int) -> Column:
 
 
 def lag(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(E)
+    return F.lag(x, n).over(by_entity())
 
 
 def change(x: Column, n: int = 1) -> Column:
@@ -40,7 +45,7 @@ def change(x: Column, n: int = 1) -> Column:
 
 def ahead(x: Column, n: int) -> Column:
     """Return over the next n rows."""
-    return F.when(x > 0, F.lead(x, n).over(E) / x - 1)
+    return F.when(x > 0, F.lead(x, n).over(by_entity()) / x - 1)
 
 
 def sma(x: Column, w: int) -> Column:
@@ -119,7 +124,7 @@ def max_drawdown(x: Column, w: int) -> Column:
 
 def run_length(df: DataFrame, flag: Column, name: str) -> DataFrame:
     """df with the number of rows in a row, this one included, on which flag held (0 where it does not)."""
-    island = F.sum((~F.coalesce(flag, F.lit(False))).cast("int")).over(PAST)
+    island = F.sum((~F.coalesce(flag, F.lit(False))).cast("int")).over(so_far())
     marked = df.withColumn("__flag", F.coalesce(flag, F.lit(False))).withColumn("__island", island)
     inside = Window.partitionBy("entity", "__island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn(name, F.sum(F.col("__flag").cast("int")).over(inside)).drop("__flag", "__island")
@@ -127,7 +132,7 @@ def run_length(df: DataFrame, flag: Column, name: str) -> DataFrame:
 
 def since_event(flag: Column) -> Column:
     """Rows since flag last held (0 on its row), null before; needs `ord`."""
-    return F.col("ord") - F.last(F.when(flag, F.col("ord")), ignorenulls=True).over(PAST)
+    return F.col("ord") - F.last(F.when(flag, F.col("ord")), ignorenulls=True).over(so_far())
 
 
 def quantile_before(x: Column, w: int, p: float, least: int) -> Column:
@@ -145,11 +150,11 @@ def slope(y: Column, w: int) -> Column:
 
 
 def local_high(x: Column, back: int) -> Column:
-    return (x == F.max(x).over(E.rowsBetween(-back, 0))) & (F.count(x).over(E.rowsBetween(-back, 0)) >= 3)
+    return (x == F.max(x).over(by_entity().rowsBetween(-back, 0))) & (F.count(x).over(by_entity().rowsBetween(-back, 0)) >= 3)
 
 
 def centred_peak(x: Column, k: int) -> Column:
     """The only maximum of k rows on both sides; known k rows later."""
-    around = E.rowsBetween(-k, k)
-    others = F.greatest(F.max(x).over(E.rowsBetween(-k, -1)), F.max(x).over(E.rowsBetween(1, k)))
+    around = by_entity().rowsBetween(-k, k)
+    others = F.greatest(F.max(x).over(by_entity().rowsBetween(-k, -1)), F.max(x).over(by_entity().rowsBetween(1, k)))
     return (F.count(x).over(around) == 2 * k + 1) & (x > others)

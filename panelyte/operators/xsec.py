@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from panelyte.functions.numeric import clip, inverse_normal, ratio
 
-X = Window.partitionBy("date")
+def by_date():
+    """A date's rows (made when asked for: a window needs a session)."""
+    return Window.partitionBy("date")
 
 
 def average_rank(x: Column, by: list[str]) -> Column:
@@ -44,18 +46,18 @@ def neutralize_group(df: DataFrame, x: str, out: str, group: str = "grp", least_
     residual = F.when(value.isNotNull(), F.when(F.count(value).over(inside) >= least_members, value - F.avg(value).over(inside)).otherwise(0.0))
     df = df.withColumn("__r", residual)
     r = F.col("__r")
-    spread, before = F.stddev_pop(r).over(X), F.stddev_pop(value).over(X)
-    scaled = F.when(spread > 1e-10, (r - F.avg(r).over(X)) / spread * before).otherwise(r) + F.avg(value).over(X)
-    return df.withColumn(out, F.when(F.count(value).over(X) >= least_rows, scaled).otherwise(value)).drop("__r")
+    spread, before = F.stddev_pop(r).over(by_date()), F.stddev_pop(value).over(by_date())
+    scaled = F.when(spread > 1e-10, (r - F.avg(r).over(by_date())) / spread * before).otherwise(r) + F.avg(value).over(by_date())
+    return df.withColumn(out, F.when(F.count(value).over(by_date()) >= least_rows, scaled).otherwise(value)).drop("__r")
 
 
 def neutralize_size(df: DataFrame, x: str, size: str, out: str) -> DataFrame:
     """Residual of the least-squares line of x on size within date."""
     both = F.col(x).isNotNull() & F.col(size).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(size))
-    spread = F.var_pop(b).over(X)
-    beta = F.when(spread > 1e-15, F.covar_pop(a, b).over(X) / spread).otherwise(0.0)
-    return df.withColumn(out, a - F.avg(a).over(X) - beta * (b - F.avg(b).over(X)))
+    spread = F.var_pop(b).over(by_date())
+    beta = F.when(spread > 1e-15, F.covar_pop(a, b).over(by_date()) / spread).otherwise(0.0)
+    return df.withColumn(out, a - F.avg(a).over(by_date()) - beta * (b - F.avg(b).over(by_date())))
 
 
 def purity(df: DataFrame, x: str, group: str = "grp") -> DataFrame:

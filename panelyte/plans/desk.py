@@ -112,7 +112,7 @@ select date, round(mom, 6) as mom, round(vol, 6) as vol, round(vr, 6) as volume_
 def regime_series(spark, sf_dir):
     """Market momentum against its volatility: 1, 0 or -1, with volume ratio and depth below the 60-date peak."""
     m = market(bars(spark, sf_dir))
-    m = m.withColumn("ord", F.row_number().over(W.E)).withColumn("ret", F.col("close") / W.lag(F.col("close")) - 1)
+    m = m.withColumn("ord", F.row_number().over(W.by_entity())).withColumn("ret", F.col("close") / W.lag(F.col("close")) - 1)
     mom = F.col("close") / W.lag(F.col("close"), 20) - 1
     vol = W.full(F.stddev_samp("ret").over(W.excl(20)), F.col("ret"), W.excl(20), 20)
     m = m.withColumn("mom", mom).withColumn("vol", vol)

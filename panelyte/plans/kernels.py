@@ -21,7 +21,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def panel(spark, sf_dir, by="brand", every="week") -> DataFrame:
     """Bars with ord and the one-row return."""
     df = bars(spark, sf_dir, by, every)
-    return df.withColumn("ord", F.row_number().over(W.E)).withColumn("ret", F.col("close") / W.lag(F.col("close")) - 1)
+    return df.withColumn("ord", F.row_number().over(W.by_entity())).withColumn("ret", F.col("close") / W.lag(F.col("close")) - 1)
 
 
 @query(f"{DAILY} select {BAR_COLUMNS} from bars")
@@ -118,10 +118,10 @@ def atr_position(spark, sf_dir):
 @query(f"""{WEEKLY}, k as (select *, max(close) over (partition by entity order by date) as peak, exp(sum(ln(1 + coalesce(ret, 0))) over (partition by entity order by date)) as nav from b)
 select entity, date, round(nav, 6) as nav, round(close / peak - 1, 6) as drawdown, round(min(close / peak - 1) over (partition by entity order by date), 6) as worst from k""")
 def drawdown_path(spark, sf_dir):
-    p = panel(spark, sf_dir).withColumn("peak", F.max("close").over(W.PAST))
+    p = panel(spark, sf_dir).withColumn("peak", F.max("close").over(W.so_far()))
     fall = F.col("close") / F.col("peak") - 1
-    nav = F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(W.PAST))
-    return rounded(p.withColumn("drawdown", fall).select("entity", "date", nav.alias("nav"), "drawdown", F.min("drawdown").over(W.PAST).alias("worst")))
+    nav = F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(W.so_far()))
+    return rounded(p.withColumn("drawdown", fall).select("entity", "date", nav.alias("nav"), "drawdown", F.min("drawdown").over(W.so_far()).alias("worst")))
 
 
 @query(f"""{WEEKLY}, w as (select a.entity, a.date, a.ord, a.close, p.close as peak, t.close as low, p.ord as po, t.ord as too
@@ -214,7 +214,7 @@ def higher_frame_to_daily(spark, sf_dir):
 @query(f"""{WEEKLY} select entity, date, {', '.join(f"round(lead(close, {h}) over (partition by entity order by date) / close - 1, 6) as fwd_{h}" for h in (1, 5, 10, 20))},
  round(max(close) over (partition by entity order by date rows between current row and 20 following) / close - 1, 6) as best_20, round(min(close) over (partition by entity order by date rows between current row and 20 following) / close - 1, 6) as worst_20 from b""")
 def forward_returns(spark, sf_dir):
-    c, path = F.col("close"), W.E.rowsBetween(0, 20)
+    c, path = F.col("close"), W.by_entity().rowsBetween(0, 20)
     return rounded(panel(spark, sf_dir).select("entity", "date", *[W.ahead(c, h).alias(f"fwd_{h}") for h in (1, 5, 10, 20)], (F.max(c).over(path) / c - 1).alias("best_20"), (F.min(c).over(path) / c - 1).alias("worst_20")))
 
 
