@@ -32,7 +32,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _W = np.uint64(0x9E3779B97F4A7C15)
 MANY_WORDS = 400_000
 FILTER_BITS = 1 << 26
-SPARE, SMALL_BUCKET, BINS = 2, 24, 128
+SPARE, SMALL_BUCKET = 2, 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,8 +106,22 @@ class PartEnum:
 
 
 def bin_counts(s: np.ndarray) -> bytes:
-    """Features by hash bin, at most 255 each: the sum of differences never exceeds the symmetric difference."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Features by hash bin, at most 255 each, in about a bin for four features (a power of two, 32 to 1024): the sum
+    of two sets' differences never exceeds their symmetric difference."""
+    bins = 1 << min(max((len(s) // 4).bit_length(), 5), 10)
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % bins, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def bins_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sum of differences of bin counts for each pair, the longer one folded to the shorter."""
+    out = np.zeros(len(a), np.int64)
+    width = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for wa, wb in np.unique(width, axis=0):
+        at = np.flatnonzero((width[:, 0] == wa) & (width[:, 1] == wb))
+        w = min(wa, wb)
+        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1, w).sum(axis=1, dtype=np.int32) for side in (a, b))
+        out[at] = np.abs(x - y).sum(axis=1)
+    return out
 
 
 def set_key(s: np.ndarray) -> int:
@@ -128,20 +142,22 @@ def linked_forest(keys: list[int], sets: list[np.ndarray], sides: list[int], cro
             x = root[x]
         return x
 
-    size = np.array([len(s) for s in sets])
-    side = np.array(sides)
+    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), keys[k]))
+    keys, sets, sides = ([v[k] for k in order] for v in (keys, sets, sides))
+    size, side = np.array([len(s) for s in sets]), np.array(sides)
     counts = np.stack([np.bincount((s >> np.uint64(40)).astype(np.int64) % bins, minlength=bins) for s in sets]).astype(np.int32)
     label = np.arange(len(sets))
     out = []
     for i in range(len(sets) - 1):
-        j = np.arange(i + 1, len(sets))
-        most = (size[i] + size[j]) * (100 - num) // (100 + num)
-        ok = (label[j] != label[i]) & (np.abs(size[j] - size[i]) <= most)
+        end = int(np.searchsorted(size, size[i] * 100 // num, side="right"))
+        near = slice(i + 1, end)
+        ok = label[near] != label[i]
         if cross:
-            ok &= side[j] != side[i]
-        j, most = j[ok], most[ok]
-        if len(j):
-            j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= most]
+            ok &= side[near] != side[i]
+        if not ok.any():
+            continue
+        ok &= np.abs(counts[near] - counts[i]).sum(axis=1) <= (size[i] + size[near]) * (100 - num) // (100 + num)
+        j = np.flatnonzero(ok) + i + 1
         for x in j.tolist():
             a, b = find(i), find(x)
             if a == b:
@@ -158,7 +174,7 @@ def labelled_rows(
     docs: DataFrame,
     num: int = 90,
     words: int = 3,
-    block_features: int = 1 << 20,
+    block_features: int = 1 << 21,
     block_sets: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -204,9 +220,8 @@ def labelled_rows(
     def may_link(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("binsa", "binsb"))
                 na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                apart = np.maximum(np.abs(a - b).sum(axis=1), np.abs(na - nb))
+                apart = np.maximum(bins_apart(batch.column("binsa").to_pylist(), batch.column("binsb").to_pylist()), np.abs(na - nb))
                 yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(apart <= (na + nb) * (100 - num) // (100 + num))))
 
     groups = components(stars.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long")))
