@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-from panelyte.plans import desk, kernels, research, structure  # noqa: F401
+from panelyte.plans import desk, kernels, research, review, structure  # noqa: F401
 from panelyte.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
