@@ -52,3 +52,28 @@ def holdings_check(spark, sf_dir):
     p = p.withColumn("peak", F.max(c).over(W.incl(20))).withColumn("ma", W.sma(c, 20)).withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date")))).filter("k = 1")
     why = P.sell_reasons({"stop": c < F.col("peak") * 0.9, "trend": c < F.col("ma"), "shock": F.col("ret") < -0.2})
     return p.select("entity", "date", F.round(c / F.col("peak") - 1, 6).alias("fall"), F.concat(F.lit("["), F.array_join(why, ", "), F.lit("]")).alias("reasons"))
+
+
+MTF = f"""with recursive {bars_sql("brand", "day")[5:]}, {{}}"""
+
+
+def _frame_sql(name: str, fast: int, slow: int) -> str:
+    """Closes by week or month, their two recursive means, and the trend they give."""
+    return f"""{name}_c as (select entity, cast(date_trunc('{name}', date) as date) as start, last(close order by date) as close, max(date) as ends from bars group by 1, 2),
+    {name}_o as (select *, row_number() over (partition by entity order by start) as k from {name}_c),
+    {name}_e as (select entity, ends, k, close as f, close as s from {name}_o where k = 1 union all select o.entity, o.ends, o.k, e.f + (o.close - e.f) * 2 / {fast + 1}.0, e.s + (o.close - e.s) * 2 / {slow + 1}.0 from {name}_e e join {name}_o o on o.entity = e.entity and o.k = e.k + 1),
+    {name}_t as (select entity, ends, sign(round((f - s) / s, 9))::int as trend, least(abs((f - s) / s) * 10, 1.0) as strength, lead(ends) over (partition by entity order by ends) as next from {name}_e)"""
+
+
+@query(
+    MTF.format(_frame_sql("week", 20, 60) + ", " + _frame_sql("month", 10, 30))
+    + """ select b.entity, b.date, w.trend as week_trend, m.trend as month_trend, case when w.trend = m.trend then w.trend else 0 end as alignment,
+    round(1 - (case when w.trend < 0 then 0.3 * w.strength else 0 end + case when m.trend < 0 then 0.2 * m.strength else 0 end), 5) as discount
+    from bars b left join week_t w on w.entity = b.entity and b.date >= w.ends and (b.date < w.next or w.next is null) left join month_t m on m.entity = b.entity and b.date >= m.ends and (b.date < m.next or m.next is null)"""
+)
+def multi_timeframe_trend(spark, sf_dir):
+    from panelyte.operators.timeframes import aligned_trends
+    from panelyte.sources.panels import bars
+
+    out = aligned_trends(bars(spark, sf_dir, "brand", "day").select("entity", "date", "close"))
+    return out.select("entity", "date", "week_trend", "month_trend", "alignment", F.round("discount", 5).alias("discount"))
