@@ -9,7 +9,8 @@ such subset of 2. A set that has a subset without features in SPARE partitions a
 subsets: one of its other partitions agrees as well.
 
 Signatures shared by different sets give candidate groups: all pairs of a small bucket that the counts of features in
-hash bins do not rule out, and stars in large buckets, so that the number grows with the rows. In each group the sets
+hash bins do not rule out, and of a large bucket as many as join what the counts do not keep apart, so that the
+number grows with the rows. In each group the sets
 themselves are compared, in blocks of bounded size whose pairs are dealt out as tasks, and only links that join two
 components of the block pair come back.
 """
@@ -124,6 +125,22 @@ def bins_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def may_link_forest(keys: list[int], counts: list[bytes], num: int) -> list[tuple[int, int]]:
+    """Pairs of a bucket that join its sets into the components of "the bin counts do not rule a link out"."""
+    width = min(map(len, counts))
+    c = np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for x in counts])
+    size, label, out = c.sum(axis=1), np.arange(len(keys)), []
+    full = np.array([max(x) == 255 for x in counts])  # counts that may be cut off give no size
+    for i in range(len(keys) - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        most = (size[i] + size[j]) * (100 - num) // (100 + num)
+        for x in j[(np.abs(c[j] - c[i]).sum(axis=1) <= most) | full[j] | full[i]].tolist():
+            if label[x] != label[i]:
+                label[label == label[x]] = label[i]
+                out.append((keys[i], keys[x]))
+    return out
+
+
 def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
@@ -176,6 +193,7 @@ def labelled_rows(
     words: int = 3,
     block_features: int = 1 << 21,
     block_sets: int = 2048,
+    small_bucket: int = SMALL_BUCKET,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -211,10 +229,9 @@ def labelled_rows(
     bucket = Window.partitionBy("sign")
     shared = signs.withColumn("least", F.min("key").over(bucket)).withColumn("most", F.max("key").over(bucket)).withColumn("rows", F.count(F.lit(1)).over(bucket)).filter("least <> most")
     shared = materialize(shared.select("sign", "key", "least", "rows"), "shared")
-    stars = shared.filter((F.col("rows") > SMALL_BUCKET) & (F.col("key") != F.col("least"))).select(F.col("key").alias("a"), F.col("least").alias("b"))
-    few = shared.filter(F.col("rows") <= SMALL_BUCKET).select("sign", "key").distinct()
+    few = shared.filter(F.col("rows") <= small_bucket).select("sign", "key").distinct()
     pairs = few.select("sign", F.col("key").alias("a")).join(few.select("sign", F.col("key").alias("b")), "sign").filter("a < b").select("a", "b").distinct()
-    described = facts.join(few.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("n").alias("n"), F.max("bins").alias("bins"))
+    described = facts.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("n").alias("n"), F.max("bins").alias("bins"))
     side = lambda end: described.select(F.col("key").alias(end), F.col("n").alias(f"n{end}"), F.col("bins").alias(f"bins{end}"))
 
     def may_link(batches):
@@ -224,7 +241,28 @@ def labelled_rows(
                 apart = np.maximum(bins_apart(batch.column("binsa").to_pylist(), batch.column("binsb").to_pylist()), np.abs(na - nb))
                 yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(apart <= (na + nb) * (100 - num) // (100 + num))))
 
-    groups = components(stars.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long")))
+    def bucket_forest(batches):
+        at, keys, counts = None, [], []
+
+        def flush():
+            edges = may_link_forest(keys, counts, num)
+            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for sign, key, bins in zip(*[batch.column(c).to_pylist() for c in ("sign", "key", "bins")], strict=True):
+                if sign != at:
+                    if keys:
+                        yield flush()
+                    at, keys, counts = sign, [], []
+                if not keys or key != keys[-1]:
+                    keys.append(key)
+                    counts.append(bins)
+        if keys:
+            yield flush()
+
+    many = shared.filter(F.col("rows") > small_bucket).select("sign", "key").distinct().join(described.select("key", "bins"), "key")
+    forests = many.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(bucket_forest, "a long, b long")
+    groups = components(forests.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long")))
 
     by_key = facts.drop("signs", "bins").join(groups, facts["key"] == groups["v"]).groupBy("key", "root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")).alias("one"), F.max("n").alias("n"))
     members = materialize(by_key.select("key", "root", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.tkey").alias("tkey")), "members")
