@@ -1,10 +1,11 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms beside it; DataFrame functions only.
 
 Pattern matches are the protected entities. A term (a word near an entity) reveals an entity as far as the corpus says
-so: with df over distinct texts, PMI = log2(N * df(term, entity) / (df(term) * df(entity))) approaches the entity's
-information content IC = log2(N / df(entity)) as the term occurs with the entity only. Terms with PMI >= disclosure *
-IC that were seen beside the entity in `support` distinct texts at least are spans of kind "term" wherever they occur,
-and sanitising generalises them to what kind of thing they stand beside (entities are replaced by their kind).
+so: with df over distinct texts, PMI = log2(N * p(term | entity) / df(term)) approaches the entity's information content
+IC = log2(N / df(entity)) as the term occurs with the entity only. p(term | entity) is shrunk towards the entity's group
+(mail domain, network, first digits of a number), the group's towards the kind and the kind's towards df(term) / N, so
+that entities seen once are judged as well. Terms with PMI >= disclosure * IC are spans of kind "term" wherever they
+occur, and sanitising generalises them to what kind of thing they stand beside (entities are replaced by their kind).
 """
 
 from __future__ import annotations
@@ -88,38 +89,84 @@ def _words(texts: DataFrame) -> DataFrame:
     return texts.select("__text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
 
 
-def revealing_terms(found: DataFrame, texts: DataFrame, disclosure: float, support: int, window: int) -> DataFrame | None:
-    """(__text, terms) for the texts that hold revealing terms, or None where no term was seen often enough.
+def group_of(kind: Column, v: Column) -> Column:
+    """What entities of one kind share: the mail domain, the first three numbers of an IP, a card's first six digits, a
+    phone's first four."""
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    return (
+        F.when(kind == "email", F.substring_index(v, "@", -1)).when(kind == "ip", F.substring_index(v, ".", 3))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+
+
+#: Words of 64 bits in the filter over terms.
+FILTER_WORDS = 1 << 20
+
+
+def _bits(rows: DataFrame, key: str) -> DataFrame:
+    """(slot, bits) of the hashes of column key, FILTER_WORDS rows at most, for _held."""
+    slot, bit = _slot(key)
+    return rows.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+
+
+def _slot(key: str) -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    return F.shiftright(h, 6), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _held(rows: DataFrame, bits: DataFrame, key: str, held: bool = True) -> DataFrame:
+    """Rows whose key may be among those of bits (all that are, and few others), or the rows that are not held."""
+    slot, bit = _slot(key)
+    is_held = F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    return rows.withColumn("slot", slot).join(F.broadcast(bits), "slot", "left").filter(is_held if held else ~is_held).drop("slot", "bits")
+
+
+def revealing_terms(found: DataFrame, texts: DataFrame, disclosure: float, prior: float, window: int) -> DataFrame | None:
+    """(__text, terms) for the texts that hold revealing terms, or None where there is no such term.
 
     found has __text (digest), text and all (base spans with kind) for texts that have spans; texts has __text and
     text for every row. All counts are over distinct texts of the whole corpus.
     """
-    entity = F.explode("all").alias("x")
-    around = F.concat_ws(" ", F.substr("text", F.greatest(F.col("x.s") - window, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(window))), F.substr("text", F.col("x.e") + 1, F.lit(window)))
-    beside = found.select("__text", "text", entity).select(
-        "__text", F.lower("x.v").alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0)))).alias("term")
-    ).distinct()
-    pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    of_entity = found.select("__text", entity).select("__text", F.lower("x.v").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    x, value = F.col("x"), F.lower("x.v")
+    around = F.concat_ws(" ", F.substr("text", F.greatest(x["s"] - window, F.lit(0)) + 1, F.least(x["s"], F.lit(window))), F.substr("text", x["e"] + 1, F.lit(window)))
+    each = found.select("__text", "text", F.explode("all").alias("x"))
+    keys = ["kind", "group", "entity"]
+    named = each.select("__text", x["kind"].alias("kind"), group_of(x["kind"], value).alias("group"), value.alias("entity"), F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0))).alias("near"))
+    beside = materialize(named.select("__text", *keys, F.explode("near").alias("term")).distinct(), "beside")
+    entities = named.select("__text", *keys).distinct()
+
+    def texts_by(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        return rows.select("__text", *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+
     n = texts.agg(F.count_distinct("__text")).first()[0]
-    # PMI >= disclosure * IC says that the term is in at most `most` texts. Texts with entities alone rule out the
-    # terms that are common, before any word of the other texts is looked at.
-    most = F.col("both") * F.pow(F.lit(float(n)) / F.col("of_entity"), F.lit(1 - disclosure))
-    pairs = materialize(pairs.join(of_entity, "entity").filter(F.col("of_entity") < n).select("entity", "term", most.alias("most")), "pairs")
-    wanted = pairs.select("term").distinct()
-    of_found = _words(found).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_found"))
-    pairs = materialize(pairs.join(of_found, "term").filter(F.col("of_found") <= F.col("most")).select("term", "most"), "rare")
-    if pairs.isEmpty():
+    # Pairs are cut down to their distinct counts before each join by term, so a common term is a few rows.
+    pairs = materialize(texts_by(beside, [*keys, "term"], "in_entity"), "pairs")
+    pairs = pairs.join(materialize(texts_by(entities, keys, "of_entity"), "of_entity"), keys).filter(F.col("of_entity") < n)
+    pairs = pairs.select("kind", "group", "term", "in_entity", "of_entity").distinct().join(texts_by(beside, ["kind", "group", "term"], "in_group"), ["kind", "group", "term"])
+    pairs = pairs.join(materialize(texts_by(entities, keys[:2], "of_group"), "of_group"), keys[:2])
+    pairs = pairs.select("kind", "term", "in_entity", "of_entity", "in_group", "of_group").distinct().join(texts_by(beside, ["kind", "term"], "in_kind"), ["kind", "term"])
+    pairs = pairs.join(F.broadcast(texts_by(entities, ["kind"], "of_kind")), "kind")  # a row for each of KINDS
+    # p(term | entity) is share + rest * df(term) / N, so PMI >= disclosure * IC says that the term is in at most `most` texts.
+    share, rest = F.lit(0.0), F.lit(1.0)
+    for level in ("kind", "group", "entity"):
+        share = (F.col(f"in_{level}") + prior * share) / (F.col(f"of_{level}") + prior)
+        rest = rest * prior / (F.col(f"of_{level}") + prior)
+    most = F.lit(float(n)) * share / (F.pow(F.lit(float(n)) / F.col("of_entity"), F.lit(disclosure)) - rest)
+    # Texts with entities alone rule out the terms that are common, before any word of the other texts is looked at.
+    limits = materialize(pairs.groupBy("term").agg(F.max(most).alias("most")), "limits")
+    of_found = _words(found).groupBy("term").agg(F.count(F.lit(1)).alias("of_found"))
+    limits = materialize(limits.join(of_found, "term").filter(F.col("of_found") <= F.col("most")).select("term", "most"), "rare")
+    if limits.isEmpty():
         return None
-    seen = materialize(_words(texts).join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "seen")
-    terms = pairs.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")), "term").filter(F.col("of_term") <= F.col("most")).select("term").distinct()
+    seen = materialize(_held(_words(texts), _bits(limits, "term"), "term").join(limits, "term", "left_semi").distinct(), "seen")
+    terms = limits.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("of_term")), "term").filter(F.col("of_term") <= F.col("most")).select("term")
     return materialize(seen.join(terms, "term").groupBy("__text").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")
 
 
 def find_personal_data(
     docs: DataFrame,
     disclosure: float = 0.95,
-    support: int = 3,
+    prior: float = 0.25,
     window: int = 48,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -130,7 +177,8 @@ def find_personal_data(
 
     One row per row of docs, over whole texts; a null text counts as empty (no spans). clean is the text with each
     base span replaced by [EMAIL], [IP], [CARD] or [PHONE] (where kinds overlap, the span that starts first, then the
-    longer one, then the earlier kind) and each revealing term, outside those, by [TERM]. Repeated rows each get
+    longer one, then the earlier kind) and each revealing term, outside those, by [TERM]. prior is the weight, in texts,
+    of the wider share that a narrower one is shrunk towards. Repeated rows each get
     their row; copies of one text are one observation for the statistics. Empty table: no rows. Only the two named
     columns are read, and those in carry, which follow the result.
     """
@@ -139,13 +187,16 @@ def find_personal_data(
     marked = rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     base = marked.withColumn("all", F.concat(*[tagged(k) for k in KINDS]))
     found = materialize(base.filter(F.size("all") > 0).select("__text", "text", "all").dropDuplicates(["__text"]), "entities")
-    terms = revealing_terms(found, rows.select("__text", "text"), disclosure, support, window)
+    terms = revealing_terms(found, rows.select("__text", "text"), disclosure, prior, window)
+    none = F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")
     if terms is None:
-        full = base.withColumn("term", F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)"))
+        full = base.withColumn("term", none)
     else:
         quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E")))
         pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(quoted, "|"), F.lit(r")(?!\p{L})"))
-        full = base.join(terms, "__text", "left").withColumn("term", F.coalesce(F.when(F.col("terms").isNotNull(), spans_of(F.col("text"), pattern)), F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")))
+        bits = materialize(_bits(terms, "__text"), "bits")  # only texts that may hold terms are shuffled
+        marked_up = _held(base, bits, "__text").join(terms, "__text", "left").withColumn("term", F.coalesce(F.when(F.col("terms").isNotNull(), spans_of(F.col("text"), pattern)), none)).drop("terms")
+        full = marked_up.unionByName(_held(base, bits, "__text", held=False).withColumn("term", none))
     base_told = F.concat(*[told(k, F.col(k)) for k in KINDS])
     out = [
         "doc_id",

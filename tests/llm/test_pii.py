@@ -71,3 +71,17 @@ def test_terms_and_cleaning(spark):
     assert by[10].clean == "nothing here via  word" and by[52].clean == ""
     assert by[51].clean == "a [EMAIL] [PHONE] é" and by[51].n_ip == 1
     assert find_personal_data(df.limit(0)).collect() == []
+
+
+def test_terms_beside_entities_seen_once(spark):
+    rows = [(i, f"write Qorvan{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 2} soon to person{i}@mail{i % 3}.example about this") for i in range(100)]
+    rows += [(1000 + i, f"write about this plain thing number {i}") for i in range(200)] + [(2000, "alone Qorvanaaaaa")]
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5].clean == "write [TERM] soon to [EMAIL] about this"
+    assert all(got[i].n_term == 1 for i in range(1, 100))
+    assert got[0].n_term == 0  # its word is also in a text without the entity
+    assert all(got[1000 + i].n_term == 0 for i in range(200))
+
+
+def test_whole_table_has_terms(spark, sf):
+    assert QUERIES["op9_personal_data"](spark, sf).filter("spans like '%term:%'").count() > 0
