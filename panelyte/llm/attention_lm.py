@@ -10,7 +10,7 @@ tokens that were scored before and `stride` tokens that are scored here, so each
 batches of windows in one masked attention.
 
 Corpus side: word counts over all training texts (partial counts in tasks, summed by word), subword counts from them,
-and training in every task on segments of its training texts, drawn at a rate in proportion to their length; the tasks' weights are
+and training in every task on all windows of its training texts, each text in one round; the tasks' weights are
 averaged, weighted by their tokens, after each round. The exact counts are joined back to the texts' words: frequent
 words by a bounded broadcast table, the others by a shuffle.
 """
@@ -265,7 +265,24 @@ class Speller:
         return [np.frombuffer(b"".join(map(get, t)), np.uint16).astype(np.int64) for t in words]
 
 
-def train_round(rows: DataFrame, weights: dict[str, np.ndarray], shape: Shape, spelled, end: int, tokenizer_path: str, rate: float, segment: int, batch_windows: int, step: float) -> dict[str, np.ndarray]:
+def window_batches(groups, size: int, rate: float, rng: np.random.Generator):
+    """(inputs, targets) of `size` windows, over the windows of each group in mixed order.
+
+    At a rate below 1, windows are drawn at that rate; at 1, every window is in one batch.
+    """
+    x = y = None
+    for some_x, some_y in groups:
+        order = rng.permutation(len(some_x))
+        if rate < 1:
+            order = order[rng.random(len(order)) < rate]
+        x, y = (some[order] if left is None else np.concatenate([left, some[order]]) for left, some in ((x, some_x), (y, some_y)))
+        full = len(x) - len(x) % size
+        for lo in range(0, full, size):
+            yield x[lo : lo + size], y[lo : lo + size]
+        x, y = x[full:], y[full:]
+
+
+def train_round(rows: DataFrame, weights: dict[str, np.ndarray], shape: Shape, spelled, end: int, tokenizer_path: str, rate: float, batch_windows: int, step: float) -> dict[str, np.ndarray]:
     """Weights after every task trained on its own rows from the given ones, averaged by trained tokens."""
     shared = rows.sparkSession.sparkContext.broadcast((weights, spelled))
 
@@ -273,29 +290,16 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], shape: Shape, s
         start, letters = shared.value
         model, spell = Model(shape, {k: v.copy() for k, v in start.items()}), Speller(tokenizer_path, letters)
         rng = np.random.default_rng(TaskContext.get().partitionId())
-        xs, ys, size, seen = [], [], 0, 0
-        for _, texts in text_groups(batches, "held_out", "text"):
-            parts = []
-            for t in texts:
-                words = t.lower().split()
-                for _ in range(int(rate * (len(words) + 1) / segment + rng.random())):
-                    at = int(rng.integers(0, max(1, len(words) - segment + 1)))
-                    parts.append((words[at : at + segment], at, at + segment >= len(words)))
-            for ids, (_, at, last) in zip(spell([p[0] for p in parts]), parts, strict=True):
-                x, y = model.windows(np.append(ids, end) if last else ids, end) if last or len(ids) else (None, None)
-                if x is None:
-                    continue
-                if at:
-                    y[0, : shape.context] = -1  # what stands before the segment is not seen
-                xs.append(x)
-                ys.append(y)
-                size += len(x)
-                if size >= batch_windows:
-                    x, y = np.concatenate(xs), np.concatenate(ys)
-                    if (n := int((y >= 0).sum())):
-                        model.learn(x, y, step)
-                        seen += n
-                    xs, ys, size = [], [], 0
+        seen = 0
+
+        def groups():
+            for _, texts in text_groups(batches, "held_out", "text", 1 << 18):
+                pairs = [model.windows(np.append(ids, end), end) for ids in spell([t.lower().split() for t in texts])]
+                yield np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+
+        for x, y in window_batches(groups(), batch_windows, rate, rng):
+            model.learn(x, y, step)
+            seen += int((y >= 0).sum())
         flat = np.concatenate([v.ravel() for v in model.w.values()]).astype(np.float32)
         if seen:
             cut = np.array_split(flat, CHUNKS)
@@ -323,8 +327,7 @@ def lm_scores(
     held_out: int = 2,
     shape: Shape | None = None,
     rounds: int = 3,
-    rate: float = 1 / 16,
-    segment: int = 32,
+    rate: float = 1.0,
     batch_windows: int = 24,
     step: float = 0.015,
     head_size: int = 65_536,
@@ -348,7 +351,7 @@ def lm_scores(
     spelled, end, n = spelling(tokenizer_path, subword_counts(counts, tokenizer_path), total["ends"], shape)
     weights = start_weights(shape, n)
     for k in range(rounds):
-        weights = train_round(training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), weights, shape, spelled, end, tokenizer_path, rate, segment, batch_windows, step)
+        weights = train_round(training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), weights, shape, spelled, end, tokenizer_path, rate, batch_windows, step)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((weights, spelled, {w: (math.log10((c + 1) / base)) for w, c in head.items()}))
     n_ends = total["ends"]

@@ -1,5 +1,6 @@
 """Operators 6 and 7: contract values by brute force, held-out quality; the pipeline stage by stage."""
 
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 
 import corpus_pipeline
-from panelyte.llm.attention_lm import Model, Shape, lm_scores, start_weights
+from panelyte.llm.attention_lm import Model, Shape, lm_scores, start_weights, window_batches
 from panelyte.llm.quality import score_quality
 
 JSON = P.path("byte_bpe_50k.json")
@@ -51,6 +52,15 @@ def test_lm_scores(spark):
     assert lm_scores(df.limit(0), JSON).collect() == []
 
 
+def test_every_token_is_trained_on():
+    model = Model(Shape(), {})
+    texts = [np.arange(1, 1 + n) for n in (1, 24, 25, 700)]
+    pairs = [model.windows(ids, 0) for ids in texts]
+    rate = inspect.signature(lm_scores).parameters["rate"].default
+    batches = list(window_batches(iter(pairs), 1, rate, np.random.default_rng(0)))
+    assert sorted(t for _, y in batches for t in y[y >= 0]) == sorted(np.concatenate(texts))
+
+
 def test_quality(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in score_quality(docs, labels).collect()}
