@@ -266,7 +266,7 @@ class Speller:
 
 
 def window_batches(groups, size: int, rate: float, rng: np.random.Generator):
-    """(inputs, targets) of `size` windows, over the windows of each group in mixed order.
+    """(inputs, targets) of `size` windows, the last of what is left, over the windows of each group in mixed order.
 
     At a rate below 1, windows are drawn at that rate; at 1, every window is in one batch.
     """
@@ -280,6 +280,8 @@ def window_batches(groups, size: int, rate: float, rng: np.random.Generator):
         for lo in range(0, full, size):
             yield x[lo : lo + size], y[lo : lo + size]
         x, y = x[full:], y[full:]
+    if x is not None and len(x):
+        yield x, y
 
 
 def train_round(rows: DataFrame, weights: dict[str, np.ndarray], shape: Shape, spelled, end: int, tokenizer_path: str, rate: float, batch_windows: int, step: float) -> dict[str, np.ndarray]:

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 
 import corpus_pipeline
-from panelyte.llm.attention_lm import Model, Shape, lm_scores, start_weights, window_batches
+from panelyte.llm.attention_lm import Model, Shape, lm_scores, spelling, start_weights, subword_counts, train_round, window_batches, word_counts
 from panelyte.llm.quality import score_quality
 
 JSON = P.path("byte_bpe_50k.json")
@@ -61,6 +61,18 @@ def test_every_token_is_trained_on():
     assert sorted(t for _, y in batches for t in y[y >= 0]) == sorted(np.concatenate(texts))
 
 
+def test_a_document_per_partition_trains(spark):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(False, bytearray(f"the cat {i}".encode())) for i in range(4)], 4), "held_out boolean, text binary")
+    counts, shape = word_counts(rows), Shape()
+    spelled, end, n = spelling(JSON, subword_counts(counts, JSON), 4, shape)
+    start = start_weights(shape, n)
+    after = train_round(rows, start, shape, spelled, end, JSON, 1.0, 24, 0.015)
+    assert all(not np.array_equal(after[k], start[k]) for k in ("E", "C", "M", "m"))
+    texts = [np.arange(1, 1 + n) for n in (1, 24, 25, 700)]
+    batches = list(window_batches((Model(shape, {}).windows(t, 0) for t in texts), 24, 1.0, np.random.default_rng(0)))
+    assert len(batches) == 2 and sorted(t for _, y in batches for t in y[y >= 0]) == sorted(np.concatenate(texts))
+
+
 def test_quality(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in score_quality(docs, labels).collect()}
