@@ -23,15 +23,28 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     return joined.select(*[F.col(f"__left.`{c}`").alias(c) for c in cols], *[F.col(f"__row.`{v}`").alias(v) for v in values])
 
 
-def nearest_levels(df: DataFrame, levels: DataFrame, key: str = "entity", price: str = "close", level: str = "level") -> DataFrame:
-    """df with the least level above and the greatest level below its price (resistance, support).
+def level_distances(bars: DataFrame, side: int, memory: int) -> DataFrame:
+    """bars (entity, date, ord, high, low, close) with resistance_pct and support_pct: how far the close is from the
+    least high above it and the greatest low below it, of the unique extrema of `side` rows on both sides; 0 without.
 
-    levels are few per entity and joined on the entity.
+    A level counts from the row on which it is known (`side` rows later) and for `memory` rows: a frame of bounded
+    length, so there is no join of rows with an entity's levels and no look ahead.
     """
-    per_key = levels.groupBy(key).agg(F.sort_array(F.collect_set(level)).alias("__levels"))
-    joined = df.join(per_key, key, "left")
-    above, below = F.filter("__levels", lambda x: x > F.col(price)), F.filter("__levels", lambda x: x < F.col(price))
-    return joined.withColumn("resistance", F.array_min(above)).withColumn("support", F.array_max(below)).drop("__levels")
+    from panelyte.functions import windows as W
+
+    by = W.by_entity()
+    around, before, after = by.rowsBetween(-side, side), by.rowsBetween(-side, -1), by.rowsBetween(1, side)
+    whole = F.count(F.lit(1)).over(around) == 2 * side + 1
+    high, low = F.col("high"), F.col("low")
+    top = F.when(whole & (high > F.greatest(F.max(high).over(before), F.max(high).over(after))), high)
+    bottom = F.when(whole & (low < F.least(F.min(low).over(before), F.min(low).over(after))), low)
+    marked = bars.withColumn("top", top).withColumn("bottom", bottom)
+    known = by.rowsBetween(-(side + memory - 1), -side)
+    c = F.col("close")
+    marked = marked.withColumn("tops", F.collect_list("top").over(known)).withColumn("bottoms", F.collect_list("bottom").over(known))
+    above, below = F.array_min(F.filter("tops", lambda x: x > c)), F.array_max(F.filter("bottoms", lambda x: x < c))
+    out = marked.withColumn("resistance_pct", F.coalesce((above - c) / c, F.lit(0.0))).withColumn("support_pct", F.coalesce((c - below) / c, F.lit(0.0)))
+    return out.drop("top", "bottom", "tops", "bottoms")
 
 
 def in_interval(df: DataFrame, spans: DataFrame, key: list[str], time: str, start: str, end: str) -> DataFrame:

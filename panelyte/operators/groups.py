@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from panelyte.functions.recursive import smoothed
 from panelyte.operators.ic import pearson
-from panelyte.operators.xsec import average_rank
 
 #: Weights of the three momenta.
 ROTATION = (0.40, 0.35, 0.25)
@@ -26,38 +25,62 @@ def concept_returns(panel: DataFrame, members: DataFrame) -> DataFrame:
     return panel.join(members, "entity").groupBy("concept", "date").agg(F.avg("ret").alias("ret"))
 
 
-def concept_heat(returns: DataFrame, members: DataFrame, half_life: float = 3.0) -> DataFrame:
-    """(entity, date, heat): mean over an entity's concepts of tanh(5 * max(smoothed return, 0))."""
+def concept_heat(returns: DataFrame, members: DataFrame, leads: DataFrame, half_life: float = 3.0) -> DataFrame:
+    """(entity, date, heat) on the dates of returns (concept, date, ret): 0.7 of the mean over an entity's concepts of
+    tanh(5 * max(smoothed return, 0)) and 0.3 of tanh(1.5 * lead), where leads has (entity, date, bonus) of chain
+    segments (see conduction; none counts as 0). An entity without concepts has no row: its heat is 0.5 by definition.
+    """
     span = 2 / (1 - 0.5 ** (1 / half_life)) - 1
-    heat = smoothed(returns, {"warm": ("ret", span, False)}, key="concept").withColumn("heat", F.tanh(5 * F.greatest("warm", F.lit(0.0))))
-    return heat.join(members, "concept").groupBy("entity", "date").agg(F.avg("heat").alias("heat"))
+    warm = smoothed(returns, {"warm": ("ret", span, False)}, key="concept").withColumn("heat", F.tanh(5 * F.greatest("warm", F.lit(0.0))))
+    own = warm.join(members, "concept").groupBy("entity", "date").agg(F.avg("heat").alias("own"))
+    lead = leads.groupBy("entity", "date").agg(F.max("bonus").alias("bonus"))
+    held = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    joined = own.join(lead, ["entity", "date"], "left")
+    return joined.select("entity", "date", held(0.7 * held(F.col("own")) + 0.3 * F.tanh(1.5 * F.coalesce("bonus", F.lit(0.0)))).alias("heat"))
+
 
+def lead_lag(returns: DataFrame, max_lag: int, key: str = "concept", least: int = 20, floor: float = 0.6, gain: float = 0.05, top: int = 20) -> DataFrame:
+    """(leader, follower, lag, corr, strength) of the `top` strongest edges: pairs whose returns correlate by `floor` on
+    one date and more, by `gain`, with the follower `lag` dates later. Strength = 2.5 * (corr - floor) in [0.05, 0.30].
 
-def lead_lag(returns: DataFrame, max_lag: int, key: str = "concept", least: int = 30) -> DataFrame:
-    """(leader, follower, lag, corr): for each ordered pair the lag with the greatest correlation of the leader's
-    return with the follower's `lag` dates later. Keys are a small dimension, dates are the scale."""
-    ordered = returns.withColumn("o", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("date")))
-    a = ordered.select(F.col(key).alias("leader"), F.col("ret").alias("x"), F.col("o"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
+    Keys are a small dimension and dates the scale: dates are numbered in a calendar of their own, and each lag is a
+    join on the date's number that is aggregated to pairs at once.
+    """
+    days = returns.select("date").distinct().withColumn("o", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
+    ordered = returns.join(days, "date")
+    a = ordered.select(F.col(key).alias("leader"), F.col("ret").alias("x"), F.col("o"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     b = ordered.select(F.col(key).alias("follower"), F.col("ret").alias("y"), F.col("o").alias("p"))
     pairs = a.withColumn("p", F.col("o") + F.col("lag")).join(b, "p").filter("leader <> follower")
     c = pairs.groupBy("leader", "follower", "lag").agg(pearson("x", "y").alias("corr"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & F.col("corr").isNotNull())
-    best = Window.partitionBy("leader", "follower").orderBy(F.desc("corr"), "lag")
-    return c.withColumn("k", F.row_number().over(best)).filter("k = 1").select("leader", "follower", "lag", "corr")
+    best = Window.partitionBy("leader", "follower")
+    c = c.withColumn("now", F.max(F.when(F.col("lag") == 0, F.col("corr"))).over(best)).withColumn("k", F.row_number().over(best.orderBy(F.desc("corr"), "lag")))
+    found = c.filter((F.col("k") == 1) & (F.col("lag") > 0) & (F.col("now") >= floor) & (F.col("corr") > F.col("now") + gain) & (F.col("corr") > floor))
+    found = found.select("leader", "follower", "lag", "corr", F.least(F.greatest((F.col("corr") - floor) * 2.5, F.lit(0.05)), F.lit(0.30)).alias("strength"))
+    return found.orderBy(F.desc("strength"), "leader", "follower").limit(top)
+
+
+#: Fixed values: (levels between segments, spread in deviations that counts, points a deviation, most points).
+NEXT, SKIP, BACK = (1.5, 0.10, 0.30), (2.2, 0.06, 0.18), (2.5, 0.06, 0.25)
 
 
-def conduction(segments: DataFrame, forward: float = 1.5, skip: float = 2.2, reverse: float = 2.5) -> DataFrame:
-    """(chain, date, segment, bonus): how far earlier segments run ahead of a segment, in deviations of its chain.
+def conduction(concepts: DataFrame, floor: float = 0.008, other: float = 0.02) -> DataFrame:
+    """(chain, date, segment, bonus): the most that segments running ahead of a segment promise it.
 
-    segments has (chain, seg_ord, segment, date, ret); a spread over `forward` between neighbours, over `skip` between
-    others, or over `reverse` from later segments counts; the greatest one is the bonus.
+    concepts has (chain, seg_ord, segment, concept, date, ret). Spreads of segments' mean returns are counted in the
+    deviation of the chain's concept returns of the date (of all concepts where the chain has under three; `other` where
+    there are under four; `floor` at least). Neighbours before a segment count from 1.5, earlier ones from 2.2, later
+    ones from 2.5 deviations on.
     """
-    sd = F.stddev_pop("ret").over(Window.partitionBy("chain", "date"))
-    s = segments.withColumn("sd", sd)
-    a = s.select("chain", "date", F.col("seg_ord").alias("ao"), F.col("ret").alias("ar"))
-    pairs = s.join(a, ["chain", "date"]).filter("seg_ord <> ao and sd > 1e-12")
-    z = (F.col("ar") - F.col("ret")) / F.col("sd")
-    level = F.when(F.col("ao") == F.col("seg_ord") - 1, forward).when(F.col("ao") < F.col("seg_ord"), skip).otherwise(reverse)
-    return pairs.withColumn("z", z).groupBy("chain", "date", "segment").agg(F.coalesce(F.max(F.when(F.col("z") > level, F.tanh(F.col("z") / 5))), F.lit(0.0)).alias("bonus"))
+    chain, date = Window.partitionBy("chain", "date"), Window.partitionBy("date")
+    n, own, wide = F.count(F.lit(1)), F.stddev_pop("ret").over(chain), F.when(F.count(F.lit(1)).over(date) > 3, F.stddev_pop("ret").over(date)).otherwise(other)
+    v = concepts.withColumn("vol", F.greatest(F.when(n.over(chain) > 2, own).otherwise(wide), F.lit(floor)))
+    s = v.groupBy("chain", "date", "seg_ord", "segment").agg(F.avg("ret").alias("ret"), F.max("vol").alias("vol"))
+    ahead = s.select("chain", "date", F.col("seg_ord").alias("ao"), F.col("ret").alias("ar"))
+    pairs = s.join(ahead, ["chain", "date"]).filter("seg_ord <> ao").withColumn("z", (F.col("ar") - F.col("ret")) / F.col("vol")).withColumn("step", F.col("seg_ord") - F.col("ao"))
+    z = F.col("z")
+    earned = lambda rule: F.when(z > rule[0], F.least(z * rule[1], F.lit(rule[2]))).otherwise(0.0)
+    points = F.when(F.col("step") == 1, earned(NEXT)).when(F.col("step") > 1, earned(SKIP)).otherwise(earned(BACK))
+    return pairs.groupBy("chain", "date", "segment").agg(F.max(points).alias("bonus"))
 
 
 def breadth(panel: DataFrame) -> DataFrame:
@@ -80,4 +103,4 @@ def keyword_category(text: Column, table: list[tuple[str, str]], default: str =
     return F.coalesce(*[F.when(F.contains(text, F.lit(word)), F.lit(category)) for word, category in table], F.lit(default))
 
 
-__all__ = ["average_rank", "breadth", "concept_heat", "concept_returns", "conduction", "keyword_category", "lead_lag", "rank_speed", "rotation"]
+__all__ = ["breadth", "concept_heat", "concept_returns", "conduction", "keyword_category", "lead_lag", "rank_speed", "rotation"]

@@ -44,7 +44,7 @@ def summarize(ic: DataFrame, keys: list[str] = ("factor",)) -> DataFrame:
     stability = F.abs(F.sum(F.signum(F.round("ic", 9)))) / n
     return ic.groupBy(*keys).agg(
         n.alias("n_dates"), mean.alias("ic_mean"), sd.alias("ic_std"), ir.alias("ir"), stability.alias("stability"),
-        (ir * F.sqrt(n.cast("double"))).alias("t"), (ir * stability).alias("combined_ir"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"),
+        (ir * F.sqrt(n.cast("double"))).alias("t"), (ir * stability).alias("combined_ir"), F.avg((F.round("ic", 9) > 0).cast("double")).alias("hit_rate"),
     )
 
 
@@ -108,6 +108,18 @@ def combine(long: DataFrame, weights: DataFrame, keys: list[str] = ("date",)) ->
     return scored.join(need, list(keys)).filter("have = need").select("entity", "date", "target", "score")
 
 
+def chunked(long: DataFrame, chunks: int = 10) -> DataFrame:
+    """(factor, chunk, c): pooled correlation in consecutive chunks of a factor's dates with about equal row counts.
+
+    Dates are dealt by their counts, a row for each date and factor, so no factor's rows are sorted in one task.
+    """
+    by_date = long.groupBy("factor", "date").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum("n").over(upto), F.lit(0)), F.sum("n").over(Window.partitionBy("factor"))
+    dates = by_date.select("factor", "date", F.least(F.floor(before * chunks / total) + 1, F.lit(chunks)).cast("int").alias("chunk"))
+    return long.join(dates, ["factor", "date"]).groupBy("factor", "chunk").agg(pearson("value", "target").alias("c"))
+
+
 def clipped_returns(x: Column, limit: float = 0.5) -> Column:
     """Forward returns inside (-limit, limit), else null."""
     return F.when(F.abs(x) < limit, x)

@@ -1,37 +1,10 @@
-"""Price-volume patterns and sell reasons as Columns over one entity's rows."""
+"""Sell reasons of held entities. Price and volume patterns are in factors.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelyte.functions import windows as W
-
-
-def breakout(close: Column, high: Column, volume: Column) -> Column:
-    """1 where volume is twice its mean of the 20 rows before and the close above their high, 0.5 above the high of 10."""
-    heavy = volume > 2 * W.full(F.avg(volume).over(W.excl(20)), volume, W.excl(20), 20)
-    grade = F.when(close > W.highest(high, 20), 1.0).when(close > W.highest(high, 10), 0.5).otherwise(0.0)
-    return F.when(F.coalesce(heavy, F.lit(False)), grade).otherwise(0.0)
-
-
-def short_reversal(ret: Column, high: Column, low: Column, close: Column, move: float = 0.04, span: float = 0.03) -> Column:
-    """-2 * return after a large move in a wide five-row range, else 0."""
-    width = (F.max(high).over(W.incl(5)) - F.min(low).over(W.incl(5))) / close
-    return F.when((F.abs(ret) > move) & (width > span), -2 * ret).otherwise(0.0)
-
-
-def consolidation(close: Column, high: Column, low: Column, volume: Column) -> Column:
-    """1 where the last 10 rows' range and volume shrink against the 10 before while the 20-row mean is above the
-    60-row mean, 0.4 where only the range shrinks."""
-    by = W.by_entity()
-    now, then = by.rowsBetween(-9, 0), by.rowsBetween(-19, -10)
-    tight = (F.max(high).over(now) - F.min(low).over(now)) < 0.7 * (F.max(high).over(then) - F.min(low).over(then))
-    quiet = F.avg(volume).over(now) < F.avg(volume).over(then)
-    rising = W.sma(close, 20) > W.sma(close, 60)
-    both = F.coalesce(tight & quiet & rising, F.lit(False))
-    return F.when(both, 1.0).when(F.coalesce(tight, F.lit(False)), 0.4).otherwise(0.0)
-
 
 def sell_reasons(reasons: dict[str, Column]) -> Column:
     """Array of the names whose condition holds, in the given order; a null condition does not hold."""

@@ -12,23 +12,39 @@ def top_n(scores: DataFrame, n: int, by: list[str] = ("date",), score: str = "sc
     return scores.filter(F.col(score).isNotNull()).withColumn("place", place).filter(F.col("place") <= n)
 
 
-def rank_decay_weights(chosen: DataFrame, decay: float, name_cap: float, group_cap: float, exposure: float = 1.0, group: str = "grp") -> DataFrame:
-    """Weights decay^(place - 1) scaled to the exposure, capped by name, then by group; what is cut is not dealt again."""
+def rank_weights(chosen: DataFrame, decay: float = 0.5, name_cap: float = 0.25, group_cap: float = 0.5, exposure: float = 1.0, positions: int = 0, multiplier: Column | None = None, group: str = "grp") -> DataFrame:
+    """Weights that fall in a line from 1 for the first of a date to 1 - decay for the last, times a multiplier (for
+    example of ic_multiplier), scaled to the exposure, capped by name, then by group (a share of the exposure).
+
+    With fewer names than `positions` the name cap rises by 1.5 times the missing share, 1.5 times at most. What is cut
+    is not dealt again: it stays cash.
+    """
     date, inside = Window.partitionBy("date"), Window.partitionBy("date", group)
-    raw = F.pow(F.lit(decay), (F.col("place") - 1).cast("double"))
-    w = chosen.withColumn("weight", raw).withColumn("weight", F.col("weight") / F.sum("weight").over(date) * exposure).withColumn("weight", F.least("weight", F.lit(name_cap)))
+    n = F.count(F.lit(1)).over(date)
+    raw = 1 - decay * (F.col("place") - 1) / F.greatest(n - 1, F.lit(1))
+    w = chosen.withColumn("weight", raw if multiplier is None else raw * multiplier)
+    slack = F.greatest(F.lit(0.0), (positions - n) / max(positions, 1))
+    cap = F.least(name_cap * (1 + slack * 1.5), F.lit(name_cap * 1.5))
+    w = w.withColumn("weight", F.least(F.col("weight") / F.sum("weight").over(date) * exposure, cap))
     held = F.sum("weight").over(inside)
-    return w.withColumn("weight", F.when(held > group_cap, F.col("weight") * group_cap / held).otherwise(F.col("weight")))
+    return w.withColumn("weight", F.when(held > group_cap * exposure, F.col("weight") * group_cap * exposure / held).otherwise(F.col("weight")))
+
+
+def ic_multiplier(ic: Column, confidence: Column, sentiment: Column) -> Column:
+    """How much a group's IC (against 5 %), a signal's confidence and a group's sentiment weigh; missing ones as neutral."""
+    by_ic = F.least(F.greatest(F.coalesce(ic, F.lit(0.05)) / 0.05, F.lit(0.6)), F.lit(1.5))
+    return by_ic * F.coalesce(confidence, F.lit(1.0)) * F.coalesce(sentiment, F.lit(1.0))
+
 
+def tired(weight: Column, risk: Column, exposure: float = 1.0, high: float = 0.6, moderate: float = 0.4, most: float = 0.05, reduce: float = 0.6) -> Column:
+    """Weights of names whose rise is spent: capped at high risk, reduced at a moderate one."""
+    return F.when(risk > high, F.least(weight, F.lit(most * exposure))).when(risk > moderate, weight * reduce).otherwise(weight)
 
-def risk_parity(chosen: DataFrame, volatility: str, rounds: int = 5) -> DataFrame:
-    """Weights with equal weight * volatility shares: inverse volatility, then a fixed number of damped corrections."""
-    date = Window.partitionBy("date")
-    out = chosen.withColumn("weight", 1 / F.col(volatility)).withColumn("weight", F.col("weight") / F.sum("weight").over(date))
-    for _ in range(rounds):
-        risk = F.col("weight") * F.col(volatility)
-        out = out.withColumn("weight", F.col("weight") * F.sqrt(F.avg(risk).over(date) / risk)).withColumn("weight", F.col("weight") / F.sum("weight").over(date))
-    return out
+
+def risk_parity(chosen: DataFrame, volatility: str) -> DataFrame:
+    """Weights in inverse proportion to volatility, so that weight * volatility is the same for all names of a date."""
+    inverse = 1 / F.col(volatility)
+    return chosen.withColumn("weight", inverse / F.sum(inverse).over(Window.partitionBy("date")))
 
 
 def focus_groups(scores: DataFrame, groups: int, least_members: int, group: str = "grp", score: str = "score") -> DataFrame:
@@ -44,21 +60,3 @@ def order_diff(target: DataFrame, current: DataFrame, prices: DataFrame, capital
     want = F.floor(F.coalesce("weight", F.lit(0.0)) * capital / F.col("price") / lot) * lot
     both = both.select("entity", F.coalesce("qty", F.lit(0)).cast("long").alias("have"), want.cast("long").alias("want"))
     return both.withColumn("delta", F.col("want") - F.col("have")).withColumn("side", F.when(F.col("delta") > 0, "buy").when(F.col("delta") < 0, "sell").otherwise("hold"))
-
-
-def gates(conditions: dict[str, list[tuple[Column, float]]], rejects: list[Column]) -> list[Column]:
-    """Graded gates: each takes the grade of its first true condition, else 0; quality = mean / 0.55 within [0.5, 2];
-    admitted when no reject holds and no gate is 0."""
-    graded = []
-    for name, ladder in conditions.items():
-        col = F.when(ladder[0][0], ladder[0][1])
-        for cond, grade in ladder[1:]:
-            col = col.when(cond, grade)
-        graded.append(col.otherwise(0.0).alias(name))
-    values = [F.col(n) for n in conditions]
-    mean = sum(values[1:], values[0]) / len(values)
-    rejected = F.lit(False)
-    for r in rejects:
-        rejected = rejected | F.coalesce(r, F.lit(False))
-    quality = F.least(F.greatest(mean / 0.55, F.lit(0.5)), F.lit(2.0)).alias("quality")
-    return [*graded, quality, (~rejected & (F.least(*values) > 0)).alias("admitted")]

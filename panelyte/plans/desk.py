@@ -11,6 +11,7 @@ from panelyte.operators import clean as C
 from panelyte.operators import evaluate as EV
 from panelyte.operators import groups as G
 from panelyte.operators import select as S
+from panelyte.operators.flows import multiplier
 from panelyte.plans.kernels import panel, rounded
 from panelyte.plans.registry import bars_sql, query
 from panelyte.plans.research import REGIME_SQL, factor_panel, panel_sql, r6, regimes
@@ -25,12 +26,13 @@ def ranked_scores(spark, sf_dir):
 
 
 SCORES = f"{P}, sc as (select *, mom_20 - vol_20 as score from p where mom_20 is not null and vol_20 is not null), tn as (select * from (select *, row_number() over (partition by date order by score desc, entity) as place from sc) where place <= 5)"
-WEIGHTS = f"""{SCORES}, w0 as (select *, pow(0.8, place - 1) as raw from tn), w1 as (select *, least(raw / sum(raw) over (partition by date), 0.25) as w from w0),
+WEIGHTS = f"""{SCORES}, w0 as (select *, 1 - 0.5 * (place - 1) / greatest(count(*) over (partition by date) - 1, 1) as raw, count(*) over (partition by date) as n from tn),
+w1 as (select *, least(raw / sum(raw) over (partition by date), least(0.22 * (1 + greatest(0, (6 - n) / 6.0) * 1.5), 0.33))::double as w from w0),
 wt as (select entity, grp, date, close, target, place, case when sum(w) over (partition by date, grp) > 0.5 then w * 0.5 / sum(w) over (partition by date, grp) else w end as weight from w1)"""
 
 
 def weights(spark, sf_dir):
-    return S.rank_decay_weights(S.top_n(ranked_scores(spark, sf_dir), 5), 0.8, 0.25, 0.5)
+    return S.rank_weights(S.top_n(ranked_scores(spark, sf_dir), 5), 0.5, 0.22, 0.5, positions=6)
 
 
 @query(f"{WEIGHTS} select entity, date, place, round(weight, 6) as weight from wt")
@@ -63,13 +65,14 @@ def order_diff(spark, sf_dir):
     return S.order_diff(w.filter("k = 1"), current, prices, 1e7)
 
 
-@query(f"""{WEIGHTS}, pr as (select date, sum(weight * target) as ret from wt where target is not null group by 1), y as (select year(date) as year, date, ret from pr),
+@query(f"""{WEIGHTS}, pr as (select date, sum(weight * target) / 5 as ret from wt where target is not null group by 1), y as (select year(date) as year, date, ret from pr),
 n as (select *, exp(sum(ln(1 + ret)) over (partition by year order by date)) as nav from y), f as (select *, nav / greatest(max(nav) over (partition by year order by date), 1.0) - 1 as fall from n),
 a as (select year, count(*) as n, exp(sum(ln(1 + ret))) - 1 as total, avg(ret) as m, stddev_samp(ret) as sd, min(fall) as mdd from f group by 1)
 select year, n, round(total, 6) as total, round(pow(1 + total, 52.0 / n) - 1, 6) as annual, round(sd * sqrt(52.0), 6) as volatility, round(m / sd * sqrt(52.0), 6) as sharpe, round(mdd, 6) as max_drawdown,
  case when mdd <> 0 then round((pow(1 + total, 52.0 / n) - 1) / -mdd, 6) end as calmar from a""")
 def perf_yearly(spark, sf_dir):
-    r = weights(spark, sf_dir).filter("target is not null").groupBy("date").agg(F.sum(F.col("weight") * F.col("target")).alias("ret")).withColumn("year", F.year("date"))
+    """Performance by year of weights held for five bars, a fifth of the capital for each start."""
+    r = weights(spark, sf_dir).filter("target is not null").groupBy("date").agg((F.sum(F.col("weight") * F.col("target")) / 5).alias("ret")).withColumn("year", F.year("date"))
     return rounded(EV.performance(r, ["year"]))
 
 
@@ -106,20 +109,6 @@ def regime_yearly(spark, sf_dir):
     return r.groupBy(F.year("date").alias("year")).agg(F.count_if(F.col("regime") == "bull").alias("bull"), F.count_if(F.col("regime") == "bear").alias("bear"))
 
 
-@query(f"""{B}, mk as (select date, avg(close) as close, sum(volume) as volume from bars group by 1), o as (select *, row_number() over (order by date) as ord, close / lag(close) over (order by date) - 1 as ret from mk),
-f as (select *, case when ord > 20 then close / lag(close, 20) over (order by date) - 1 end as mom, case when count(ret) over w = 20 then stddev_samp(ret) over w end as vol, volume / avg(volume) over (order by date rows between 19 preceding and current row) as vr, max(close) over (order by date rows between 59 preceding and current row) as peak from o window w as (order by date rows between 20 preceding and 1 preceding))
-select date, round(mom, 6) as mom, round(vol, 6) as vol, round(vr, 6) as volume_ratio, case when mom > vol then 1 when mom < -vol then -1 else 0 end as regime, round(close / peak - 1, 6) as bear_depth from f""")
-def regime_series(spark, sf_dir):
-    """Market momentum against its volatility: 1, 0 or -1, with volume ratio and depth below the 60-date peak."""
-    m = market(bars(spark, sf_dir))
-    m = m.withColumn("ord", F.row_number().over(W.by_entity())).withColumn("ret", F.col("close") / W.lag(F.col("close")) - 1)
-    mom = F.col("close") / W.lag(F.col("close"), 20) - 1
-    vol = W.full(F.stddev_samp("ret").over(W.excl(20)), F.col("ret"), W.excl(20), 20)
-    m = m.withColumn("mom", mom).withColumn("vol", vol)
-    regime = F.when(F.col("mom") > F.col("vol"), 1).when(F.col("mom") < -F.col("vol"), -1).otherwise(0)
-    return rounded(m.select("date", "mom", "vol", (F.col("volume") / F.avg("volume").over(W.incl(20))).alias("volume_ratio"), regime.alias("regime"), (F.col("close") / F.max("close").over(W.incl(60)) - 1).alias("bear_depth")))
-
-
 ROT = f"""{B}, mm as (select *, {LAGS} from b window e as (partition by entity order by date)), md as (select date, grp, quantile_cont(m5, 0.5) as a, quantile_cont(m10, 0.5) as c, quantile_cont(m20, 0.5) as d from mm group by 1, 2),
 ro as (select date, grp, 0.40::double * a + 0.35::double * c + 0.25::double * d as momentum from md), rp as (select *, row_number() over (partition by date order by momentum desc, grp) as place from ro where momentum is not null)"""
 
@@ -146,39 +135,60 @@ def breadth_daily(spark, sf_dir):
 
 
 LL = f"""{B}, rr as (select grp as concept, date, avg(ret) as ret from b where ret is not null group by 1, 2), od as (select *, dense_rank() over (order by date) as o from rr),
-c as (select x.concept as leader, y.concept as follower, g.lag as lag, covar_pop(x.ret, y.ret) / (stddev_pop(x.ret) * stddev_pop(y.ret)) as corr, count(*) as n from od x cross join (select unnest([1, 2, 3]) as lag) g join od y on y.o = x.o + g.lag and x.concept <> y.concept group by 1, 2, 3)"""
+c as (select x.concept as leader, y.concept as follower, g.lag as lag, covar_pop(x.ret, y.ret) / (stddev_pop(x.ret) * stddev_pop(y.ret)) as corr, count(*) as n from od x cross join (select unnest([0, 1, 2, 3]) as lag) g join od y on y.o = x.o + g.lag and x.concept <> y.concept group by 1, 2, 3),
+k as (select *, max(case when lag = 0 then corr end) over (partition by leader, follower) as now, row_number() over (partition by leader, follower order by corr desc, lag) as k from c where n >= 20)"""
 
 
-@query(f"{LL} select leader, follower, lag, round(corr, 6) as corr from (select *, row_number() over (partition by leader, follower order by corr desc, lag) as k from c where n >= 30) where k = 1")
+@query(f"{LL} select leader, follower, lag, round(corr, 6) as corr, round(least(greatest((corr + 0.2) * 2.5, 0.05), 0.30), 6) as strength from k where k = 1 and lag > 0 and now >= -0.2 and corr > now + 0.05 and corr > -0.2 order by least(greatest((corr + 0.2) * 2.5, 0.05), 0.30) desc, leader, follower limit 20")
 def lead_lag_edges(spark, sf_dir):
+    """Edges between groups; the floor is low, as weekly returns of these groups hardly correlate."""
     r = panel(spark, sf_dir).filter("ret is not null").groupBy(F.col("grp").alias("concept"), "date").agg(F.avg("ret").alias("ret"))
-    return rounded(G.lead_lag(r, 3))
+    return rounded(G.lead_lag(r, 3, floor=-0.2))
+
 
+_CHAIN = f"""{B}, cr as (select 'chain' as chain, cast(grp as int) as seg_ord, grp as segment, entity as concept, date, ret from b where ret is not null),
+cv as (select *, greatest(case when count(*) over c > 2 then stddev_pop(ret) over c else case when count(*) over d > 3 then stddev_pop(ret) over d else 0.02 end end, 0.008) as vol from cr window c as (partition by chain, date), d as (partition by date)),
+sm as (select chain, date, seg_ord, segment, avg(ret) as ret, max(vol) as vol from cv group by 1, 2, 3, 4),
+cx as (select s.chain, s.date, s.segment, (a.ret - s.ret) / s.vol as z, a.seg_ord - s.seg_ord as step from sm s join sm a on a.chain = s.chain and a.date = s.date and a.seg_ord <> s.seg_ord),
+cb as (select chain, date, segment, max(case when step = -1 and z > 1.5 then least(z * 0.10, 0.30) when step < -1 and z > 2.2 then least(z * 0.06, 0.18) when step > 0 and z > 2.5 then least(z * 0.06, 0.25) else 0 end) as bonus from cx group by 1, 2, 3)"""
+
+
+def chain_members(spark, sf_dir):
+    p = panel(spark, sf_dir).filter("ret is not null")
+    return p.select(F.lit("chain").alias("chain"), F.col("grp").cast("int").alias("seg_ord"), F.col("grp").alias("segment"), F.col("entity").alias("concept"), "date", "ret")
 
-@query(f"""{B}, sg as (select 'chain' as chain, cast(grp as int) as seg_ord, grp as segment, date, avg(ret) as ret from b where ret is not null group by 2, 3, 4), sd as (select *, stddev_pop(ret) over (partition by chain, date) as sd from sg),
-pr as (select s.segment, s.date, (a.ret - s.ret) / s.sd as z, case when a.seg_ord = s.seg_ord - 1 then 1.5 when a.seg_ord < s.seg_ord then 2.2 else 2.5 end as level from sd s join sd a on a.date = s.date and a.seg_ord <> s.seg_ord where s.sd > 1e-12)
-select date, segment, round(coalesce(max(case when z > level then tanh(z / 5) end), 0), 6) as bonus from pr group by 1, 2""")
+
+@query(f"{_CHAIN} select date, segment, round(bonus, 6) as bonus from cb")
 def chain_conduction(spark, sf_dir):
-    s = panel(spark, sf_dir).filter("ret is not null").groupBy(F.lit("chain").alias("chain"), F.col("grp").cast("int").alias("seg_ord"), F.col("grp").alias("segment"), "date").agg(F.avg("ret").alias("ret"))
-    return rounded(G.conduction(s).select("date", "segment", "bonus"))
+    return rounded(G.conduction(chain_members(spark, sf_dir)).select("date", "segment", "bonus"))
+
+
+_DECAY = 0.5 ** (1 / 3)
 
 
-@query(None)
+@query(f"""{_CHAIN}, mem as (select distinct p_brand as entity, p_type as concept from part), rr as (select concept, date, avg(ret) as ret from b join mem using (entity) where ret is not null group by 1, 2),
+hw as (select concept, date, list_reduce(list(ret) over (partition by concept order by date), lambda a, v: a * {_DECAY!r} + v * {1 - _DECAY!r}) as warm from rr), hh as (select entity, date, avg(tanh(5 * greatest(warm, 0))) as heat from hw join mem using (concept) group by 1, 2),
+z as (select hh.entity, hh.date, least(greatest(0.7 * least(greatest(heat, 0), 1) + 0.3 * tanh(1.5 * coalesce(bonus, 0)), 0), 1) as heat from hh left join (select distinct entity, grp from b) g on g.entity = hh.entity left join cb on cb.segment = g.grp and cb.date = hh.date)
+select entity, date, round(heat, 6) as heat from z""")
 def concept_heat(spark, sf_dir):
+    """Heat of an entity's concepts with the lead of earlier chain segments, on the dates with concept returns."""
     p = panel(spark, sf_dir).filter("ret is not null")
     members = membership(spark, sf_dir)
-    return rounded(G.concept_heat(G.concept_returns(p, members), members))
+    signals = G.conduction(chain_members(spark, sf_dir)).select("segment", "date", "bonus")
+    leads = p.select("entity", F.col("grp").alias("segment")).distinct().join(signals, "segment").select("entity", "date", "bonus")
+    return rounded(G.concept_heat(G.concept_returns(p, members), members, leads))
 
 
-@query("""with s as (select d.lang as industry, case when l.quality = 1 and coalesce(l.toxic, 0) = 0 then 1 when l.toxic = 1 then -1 else 0 end as sign, least(d.n_chars, 2000) / 2000.0 as importance from documents d join labels l using (doc_id))
-select industry, count(*) as news, round(cast(sum(sign * importance) / sum(importance) as double), 6) as score, case when sum(sign * importance) / sum(importance) > 0.5 then 1.1 when sum(sign * importance) / sum(importance) < 0 then 0.8 else 1.0 end::double as multiplier from s group by 1""")
+@query("""with s as (select d.lang as industry, case when l.quality = 1 and coalesce(l.toxic, 0) = 0 then 1 when l.toxic = 1 then -1 else 0 end as sign, least(d.n_chars, 2000) / 2000.0::double * case when l.quality is null then 0.5::double else 1.0::double end as w from documents d join labels l using (doc_id)),
+a as (select industry, count(*) as news, coalesce(sum(sign * w) / nullif(sum(w), 0), 0) as score from s group by 1)
+select industry, news, round(score, 6) as score, round(least(greatest(1 + (case when score > 0 then 0.2 else 1 - 0.8 end) * score, 0.8), 1.2), 6) as multiplier from a""")
 def sentiment_industry(spark, sf_dir):
-    """Signed score of a group's texts weighted by importance, and the multiplier it gives."""
+    """Signed score of a group's texts weighted by importance and confidence, and the multiplier it gives."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     sign = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("toxic") == 1, -1).otherwise(0)
-    w = F.least("n_chars", F.lit(2000)) / 2000.0
-    s = d.groupBy(F.col("lang").alias("industry")).agg(F.count(F.lit(1)).alias("news"), (F.sum(sign * w) / F.sum(w)).alias("score"))
-    return rounded(s.withColumn("multiplier", F.when(F.col("score") > 0.5, 1.1).when(F.col("score") < 0, 0.8).otherwise(1.0)))
+    w = F.least("n_chars", F.lit(2000)) / 2000.0 * F.when(F.col("quality").isNull(), 0.5).otherwise(1.0)
+    s = d.groupBy(F.col("lang").alias("industry")).agg(F.count(F.lit(1)).alias("news"), F.coalesce(F.try_divide(F.sum(sign * w), F.sum(w)), F.lit(0.0)).alias("score"))
+    return rounded(s.withColumn("multiplier", multiplier(F.col("score"), F.lit(0))))
 
 
 @query("""select doc_id, h from (select doc_id, md5(substr(text, 1, 80)) as h, row_number() over (partition by md5(substr(text, 1, 80)) order by doc_id) as k from documents) where k = 1""")
@@ -187,15 +197,6 @@ def news_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5(F.substring("text", 1, 80)).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h")
 
 
-@query(f"""{P}, x as (select entity, date, case when mom_20 > 0.5 then 1.0 when mom_20 > 0 then 0.6 when mom_20 > -0.3 then 0.3 else 0 end as g_trend, case when vol_20 < 0.5 then 1.0 when vol_20 < 2 then 0.5 else 0 end as g_risk, case when vr_20 > 1 then 1.0 else 0.4 end as g_volume, coalesce(pos_20 > 3, false) as rej from p where mom_20 is not null and vol_20 is not null)
-select entity, date, g_trend::double as g_trend, g_risk::double as g_risk, g_volume::double as g_volume, round(least(greatest((g_trend::double + g_risk::double + g_volume::double) / 3 / 0.55, 0.5), 2.0), 6) as quality, not rej and least(g_trend, g_risk, g_volume) > 0 as admitted from x""")
-def gate_quality(spark, sf_dir):
-    p = factor_panel(spark, sf_dir).filter("mom_20 is not null and vol_20 is not null")
-    m, v = F.col("mom_20"), F.col("vol_20")
-    cols = S.gates({"g_trend": [(m > 0.5, 1.0), (m > 0, 0.6), (m > -0.3, 0.3)], "g_risk": [(v < 0.5, 1.0), (v < 2, 0.5)], "g_volume": [(F.col("vr_20") > 1, 1.0), (F.lit(True), 0.4)]}, [F.col("pos_20") > 3])
-    return rounded(p.select("*", *cols[:3]).select("entity", "date", "g_trend", "g_risk", "g_volume", *cols[3:]))
-
-
 SIGNALS = f"{P}, sg as (select *, coalesce(mom_5 > 0 and pos_20 > 0.6, false) as buy, coalesce(mom_5 < 0 and pos_20 < 0.4, false) as sell from p)"
 
 

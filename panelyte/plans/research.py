@@ -9,7 +9,7 @@ from panelyte.functions import windows as W
 from panelyte.functions.numeric import compress, steps
 from panelyte.operators import ic as IC
 from panelyte.operators import xsec as XS
-from panelyte.operators.asof import asof, nearest_levels
+from panelyte.operators.asof import asof, level_distances
 from panelyte.plans.kernels import ex, inc, panel, rounded
 from panelyte.plans.registry import STATEMENTS_SQL, bars_sql, query
 from panelyte.sources.panels import bars, membership, statements
@@ -59,7 +59,7 @@ def r6(*names: str) -> str:
     return ", ".join(R6.format(n) for n in names)
 
 
-@query(f"""{panel_sql()}, ic as {ic_sql()}, s as (select factor, {SUMMARY}, avg(case when ic > 0 then 1.0 else 0.0 end) as hit_rate from ic group by 1)
+@query(f"""{panel_sql()}, ic as {ic_sql()}, s as (select factor, {SUMMARY}, avg(case when round(ic, 9) > 0 then 1.0 else 0.0 end) as hit_rate from ic group by 1)
 select factor, n_dates, {r6('ic_mean', 'ic_std', 'ir', 'stability')}, round(ir * sqrt(n_dates), 6) as t, round(ir * stability, 6) as combined_ir, round(hit_rate::double, 6) as hit_rate from s""")
 def ic_momentum_summary(spark, sf_dir):
     return rounded(IC.summarize(IC.rank_ic(IC.melt(factor_panel(spark, sf_dir), FACTORS, "target"))))
@@ -88,13 +88,13 @@ def regimes(p):
     return market(p).select("date", F.when(F.col("close") > before, "bull").otherwise("bear").alias("regime"))
 
 
-@query(f"""{panel_sql()}, mem as (select distinct p_brand as entity, p_type as concept from part where p_type < 'M'), {REGIME_SQL},
+@query(f"""{panel_sql()}, mem as (select distinct p_brand as entity, p_type as concept from part), {REGIME_SQL},
 x as (select l.*, mem.concept, rg.regime from l join mem using (entity) join rg using (date)), ic as {ic_sql('concept, regime, date, factor', 8, 'x')}
 select concept, regime, factor, count(*) as n_dates, round(avg(ic), 6) as ic_mean, round(abs(sum(sign(round(ic, 9)))) / count(*), 6) as stability from ic group by all having count(*) >= 10""")
 def ic_group_regime(spark, sf_dir):
     """IC by concept (many to many), regime and factor."""
     p = factor_panel(spark, sf_dir)
-    long = IC.melt(p, FACTORS, "target").join(membership(spark, sf_dir).filter("concept < 'M'"), "entity").join(regimes(p), "date")
+    long = IC.melt(p, FACTORS, "target").join(membership(spark, sf_dir), "entity").join(regimes(p), "date")
     ic = IC.rank_ic(long, ["concept", "regime", "date", "factor"], 8)
     return rounded(ic.groupBy("concept", "regime", "factor").agg(F.count(F.lit(1)).alias("n_dates"), F.avg("ic").alias("ic_mean"), (F.abs(F.sum(F.signum(F.round("ic", 9)))) / F.count(F.lit(1))).alias("stability")).filter("n_dates >= 10"))
 
@@ -116,13 +116,12 @@ def ic_halves(spark, sf_dir):
     return rounded(means.withColumn("decayed", F.col("second_half") < F.col("first_half") - 0.02))
 
 
-@query(f"""{panel_sql()}, c as (select *, ntile(10) over (partition by factor order by date, entity) as chunk from l),
+@query(f"""{panel_sql()}, dn as (select factor, date, count(*) as n from l group by 1, 2), dc as (select factor, date, least(floor(coalesce(sum(n) over (partition by factor order by date rows between unbounded preceding and 1 preceding), 0) * 10 / sum(n) over (partition by factor)) + 1, 10) as chunk from dn), c as (select l.*, chunk from l join dc using (factor, date)),
 k as (select factor, chunk, covar_pop(value, target) / (stddev_pop(value) * stddev_pop(target)) as c from c group by 1, 2)
 select factor, round(avg(c), 6) as ic_mean, round(avg(c) / stddev_pop(c), 6) as ir from k group by 1""")
 def ic_chunks(spark, sf_dir):
-    """Information ratio over ten consecutive chunks of pooled rows."""
-    long = IC.melt(factor_panel(spark, sf_dir), FACTORS, "target").withColumn("chunk", F.ntile(10).over(Window.partitionBy("factor").orderBy("date", "entity")))
-    c = long.groupBy("factor", "chunk").agg(IC.pearson("value", "target").alias("c"))
+    """Information ratio over ten consecutive chunks of dates with about equal row counts."""
+    c = IC.chunked(IC.melt(factor_panel(spark, sf_dir), FACTORS, "target"))
     return rounded(c.groupBy("factor").agg(F.avg("c").alias("ic_mean"), (F.avg("c") / F.stddev_pop("c")).alias("ir")))
 
 
@@ -245,25 +244,26 @@ def asof_fundamentals(spark, sf_dir):
     return j.select("entity", "date", "period", "revenue", F.round(g, 6).alias("growth"), "previous", F.round(compress(g, -1.0, 2.0, 0.1, 0.5), 6).alias("growth_score"), steps(g, [(0.3, 1.0), (0.1, 0.6), (0.0, 0.3)]).alias("steps"))
 
 
-@query(f"""{bars_sql()}, pk as (select distinct entity, close as level from (select *, max(close) over (partition by entity order by date rows between 3 preceding and 1 preceding) as l3, max(close) over (partition by entity order by date rows between 1 following and 3 following) as r3,
-  count(*) over (partition by entity order by date rows between 3 preceding and 3 following) as n from bars) where n = 7 and close > l3 and close > r3)
-select b.entity, b.date, (select min(level) from pk where pk.entity = b.entity and level > b.close) as resistance, (select max(level) from pk where pk.entity = b.entity and level < b.close) as support from b""")
+@query(f"""{bars_sql()}, lv as (select entity, ord + 5 as known, high as level, 'r' as kind from (select *, count(*) over w as n, max(high) over (partition by entity order by date rows between 5 preceding and 1 preceding) as l5, max(high) over (partition by entity order by date rows between 1 following and 5 following) as r5 from b window w as (partition by entity order by date rows between 5 preceding and 5 following)) where n = 11 and high > l5 and high > r5
+ union all select entity, ord + 5, low, 's' from (select *, count(*) over w as n, min(low) over (partition by entity order by date rows between 5 preceding and 1 preceding) as l5, min(low) over (partition by entity order by date rows between 1 following and 5 following) as r5 from b window w as (partition by entity order by date rows between 5 preceding and 5 following)) where n = 11 and low < l5 and low < r5)
+select b.entity, b.date, round(coalesce((min(level) filter (kind = 'r' and level > close) - close) / close, 0), 6) as resistance_pct, round(coalesce((close - max(level) filter (kind = 's' and level < close)) / close, 0), 6) as support_pct
+ from b left join lv on lv.entity = b.entity and lv.known <= b.ord and lv.known > b.ord - 100 group by b.entity, b.date, close""")
 def support_resistance(spark, sf_dir):
-    """Nearest centred peaks above and below the close (of the whole history)."""
-    b = bars(spark, sf_dir)
-    levels = b.withColumn("peak", W.centred_peak(F.col("close"), 3)).filter("peak").select("entity", F.col("close").alias("level"))
-    return nearest_levels(b, levels).select("entity", "date", "resistance", "support")
+    """Distance to the nearest high above and low below, of the centred extrema known on the date (the last 100 rows')."""
+    return rounded(level_distances(panel(spark, sf_dir), 5, 100).select("entity", "date", "resistance_pct", "support_pct"))
 
 
-@query(f"""{panel_sql()}, od as (select date, row_number() over (order by date) as o from (select distinct date from p)), wd as (select k, case when o < k * 100 + 60 then 'in' else 'out' end as role, date from od, range(0, 3) t(k) where o >= k * 100 and o < k * 100 + 100),
+@query(f"""{panel_sql()}, od as (select date, row_number() over (order by date) as o, count(*) over () as n from (select distinct date from p)), wd as (select k, case when o <= k * 20 + 60 then 'in' else 'out' end as role, date from od, range(0, 100000) t(k) where k * 20 + 80 <= n and o > k * 20 and o <= k * 20 + 80),
 c as (select k, role, factor, covar_pop(value, target) / (stddev_pop(value) * stddev_pop(target)) as ic from l join wd using (date) group by 1, 2, 3),
-r as (select *, row_number() over (partition by k, role order by abs(ic) desc, factor) as place from c) select k::int as k, role, factor, round(ic, 6) as ic, place::int as place from r where place <= 3""")
+r as (select *, row_number() over (partition by k, role order by abs(ic) desc, factor) as place from c) select k::int as k, role, factor, round(ic, 6) as ic, place::int as place from r where place <= 10""")
 def in_out_of_sample(spark, sf_dir):
-    """Best factors by |IC| in three rolling windows and on the dates after them."""
+    """The ten factors with the greatest |IC| in each rolling window of 60 dates and on the 20 after it, a window every
+    20 dates as long as the calendar lasts."""
     p = factor_panel(spark, sf_dir)
     days = p.select("date").distinct().withColumn("o", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
-    spans = days.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).filter((F.col("o") >= F.col("k") * 100) & (F.col("o") < F.col("k") * 100 + 100))
-    spans = spans.select("k", F.when(F.col("o") < F.col("k") * 100 + 60, "in").otherwise("out").alias("role"), "date")
+    last = F.max("o").over(Window.partitionBy(F.lit(1)))
+    spans = days.withColumn("n", last).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 80) / 20).cast("int")))).filter((F.col("n") >= 80) & (F.col("o") > F.col("k") * 20) & (F.col("o") <= F.col("k") * 20 + 80))
+    spans = spans.select("k", F.when(F.col("o") <= F.col("k") * 20 + 60, "in").otherwise("out").alias("role"), "date")
     c = IC.melt(p, FACTORS, "target").join(spans, "date").groupBy("k", "role", "factor").agg(IC.pearson("value", "target").alias("ic"))
     place = F.row_number().over(Window.partitionBy("k", "role").orderBy(F.desc(F.abs("ic")), "factor"))
-    return rounded(c.withColumn("place", place).filter("place <= 3"))
+    return rounded(c.withColumn("place", place).filter("place <= 10"))

@@ -51,7 +51,7 @@ select entity, date,
  round(tanh({_n(f'(sum(pow(ret, 3)) {ex(20)} / 20 - 3 * avg(ret) {ex(20)} * avg(ret * ret) {ex(20)} + 2 * pow(avg(ret) {ex(20)}, 3)) / pow(stddev_pop(ret) {ex(20)}, 3)')}), 5) as skewness_20,
  round(tanh(3 * (sum(case when gap > 0.01 then gap else 0 end) {inc(20)} + sum(case when gap < -0.01 then gap else 0 end) {inc(20)}) / nullif(sum(case when gap > 0.01 then gap else 0 end) {inc(20)} - sum(case when gap < -0.01 then gap else 0 end) {inc(20)}, 0)), 6) as gap_ratio,
  round(atan(mom20 / ({_n(f'stddev_pop(ret) {ex(20)}')} + 1e-6)) / (pi() / 2), 6) as return_risk_ratio,
- round(tanh(-1e4 * {need(f'avg(abs(ret) / (close * volume)) {inc(20)}', 'ret', inc(20), 20)}), 6) as illiquidity
+ round(tanh(-1e10 * {need(f'avg(abs(ret) / (close * volume)) {inc(20)}', 'ret', inc(20), 20)}), 6) as illiquidity
 from x"""
 
 
@@ -73,7 +73,7 @@ def price_volume_factors(spark, sf_dir):
         F.round(F.tanh(15 * W.total(F.col("gap"), 20)), 6).alias("overnight_ret"), F.round(F.tanh(15 * W.total(F.col("intra"), 20)), 6).alias("intraday_ret"),
         F.round(F.tanh(3 * W.highest(r, 20)), 6).alias("max_ret_20"), F.round(F.tanh(W.full(F.skewness(r).over(W.excl(20)), r, W.excl(20), 20)), 5).alias("skewness_20"),
         F.round(F.tanh(3 * ratio(up + down, up - down)), 6).alias("gap_ratio"), F.round(squash(F.col("mom20") / (W.std(r, 20) + 1e-6)), 6).alias("return_risk_ratio"),
-        F.round(F.tanh(-1e4 * W.full(F.avg("cost").over(W.incl(20)), r, W.incl(20), 20)), 6).alias("illiquidity"),
+        F.round(F.tanh(-1e10 * W.full(F.avg("cost").over(W.incl(20)), r, W.incl(20), 20)), 6).alias("illiquidity"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIX = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -55,6 +55,25 @@ def statements(spark: SparkSession, sf_dir: str, lag_days: int = 30) -> DataFram
     )
 
 
+def reports(spark: SparkSession, sf_dir: str, lag_days: int = 30) -> DataFrame:
+    """(entity, period, available, roe, profit_growth, revenue_growth, eps, bps, gross_margin, cf_to_profit): statements
+    of a nation's orders by quarter. Finished orders are its profit; growths in percent on four quarters before, null
+    where there is no such quarter."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("entity"))
+    sales = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, "c_nationkey")
+    exact = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double"), F.lit(0.0))
+    q = sales.groupBy("entity", F.trunc(F.to_date("o_orderdate"), "quarter").alias("period")).agg(
+        exact(F.lit(True)).alias("revenue"), exact(F.col("o_orderstatus") == "F").alias("done"), exact(F.col("o_orderpriority").startswith("1")).alias("urgent")
+    )
+    by = Window.partitionBy("entity").orderBy("period")
+    growth = lambda c: 100 * (F.try_divide(F.col(c), F.lag(c, 4).over(by)) - 1)
+    return q.select(
+        "entity", "period", F.date_add(F.add_months("period", 3), lag_days - 1).alias("available"), F.try_divide(30 * F.col("done"), F.col("revenue")).alias("roe"), growth("done").alias("profit_growth"),
+        growth("revenue").alias("revenue_growth"), (F.col("done") / 1e6).alias("eps"), (F.col("revenue") / 2e6).alias("bps"), F.try_divide(100 * F.col("done"), F.col("revenue")).alias("gross_margin"),
+        F.try_divide(F.col("urgent"), F.col("done")).alias("cf_to_profit"),
+    )
+
+
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, concept): brands and the types of their parts, many to many."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("entity"), F.col("p_type").alias("concept")).distinct()
