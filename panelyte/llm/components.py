@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyte.llm.shared import materialize
+from panelyte.llm.shared import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,5 +25,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old, large)
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("v"), F.col("v").alias("root")).distinct())

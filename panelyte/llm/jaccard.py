@@ -1,24 +1,23 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Two sets with |A & B| >= t * |A | B| differ in at most k = floor(2 * r * (1 - t) / (1 + t)) features when both sizes
-are r at most. Sizes fall into bands whose ends are in the ratio t, so linked sets lie in one band or in two
-neighbouring ones: a set has signatures for its own band and for the next. For a band, the feature domain is hashed
-into n1 = floor(k / 2) + 1 + SPARE partitions, so linked sets differ by one feature at most in SPARE + 1 of them; such
-a partition is hashed into 3, of which at least 2 then agree whole, and a signature stands for the features in one
-such subset of 2. A set that has a subset without features in SPARE partitions at most needs no signatures for those
-subsets: one of its other partitions agrees as well.
+Two sets with |A & B| >= t * |A | B| differ in at most (1 - t) / (1 + t) of their sizes' sum. Sizes fall into bands
+whose ends are in the ratio t, so linked sets lie in one band or in two neighbouring ones: a set has signatures for its
+own band and for the next. For a band whose sets differ by k features at most, the feature domain is hashed into
+n1 = floor(k / 3) + 1 + SPARE partitions, so linked sets differ by two features at most in one of them; each partition
+is hashed into 3 parts, and a signature stands for the features in a subset of 3 - 2 parts. Of all PartEnum forms with
+subsets of parts this one has the fewest signatures. Linked sets of given sizes differ by d features, so they agree in
+all but d parts: each set may leave out as many of its signatures as that exceeds 1, in an order that only the
+signatures decide. The thinnest go, which are those that passages common to many texts make.
 
 Signatures shared by different sets give candidate groups: all pairs of a small bucket that the counts of features in
-hash bins do not rule out, and of a large bucket as many as join what the counts do not keep apart, so that the
-number grows with the rows. In each group the sets
-themselves are compared, in blocks of bounded size whose pairs are dealt out as tasks, and only links that join two
-components of the block pair come back.
+hash bins do not rule out; of a large bucket, cut into blocks whose pairs are dealt out as tasks, as many as join what
+the counts do not keep apart. In each group the sets themselves are compared, again in pairs of bounded blocks, and
+only links that join two components of the block pair come back.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyte.llm.components import components
-from panelyte.llm.shared import materialize, text_groups
+from panelyte.llm.shared import discard, materialize, text_groups
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _W = np.uint64(0x9E3779B97F4A7C15)
-MANY_WORDS = 400_000
+MANY_WORDS = 150_000
 FILTER_BITS = 1 << 26
-SPARE, SMALL_BUCKET = 2, 24
+SPARE, SMALL_BUCKET, BLOCK_KEYS = 2, 24, 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,8 +72,7 @@ class PartEnum:
     """Signatures of a set for Jaccard >= num / 100."""
 
     def __init__(self, num: int, parts: int = 3):
-        self.num, self.parts, self.subsets = num, parts, list(combinations(range(parts), parts - 1))
-        self.ends = [0]
+        self.num, self.parts, self.ends = num, parts, [0]
 
     def band(self, size: int) -> int:
         """Bands are 1-based; band i holds the sizes up to ends[i]."""
@@ -82,27 +80,26 @@ class PartEnum:
             self.ends.append(max(self.ends[-1] + 1, (self.ends[-1] + 1) * 100 // self.num))
         return bisect_left(self.ends, size)
 
+    def apart(self, a: int, b: int) -> int:
+        """Features by which linked sets of these sizes differ at most."""
+        return (a + b) * (100 - self.num) // (100 + self.num)
+
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        band = self.band(len(s))
+        own, n, largest = self.band(len(s)), len(s), len(s) * 100 // self.num
         spread, value, out = mix(s + _W), mix(s ^ _M1), []
-        for b in (band, band + 1):
-            k = 2 * self.ends[b] * (100 - self.num) // (100 + self.num)
-            n1 = k // 2 + 1 + SPARE
-            cells = n1 * self.parts
+        for b in (own, own + 1):
+            if b > own and largest <= self.ends[own]:
+                break  # no linked set is that large
+            k = self.apart(self.ends[b], self.ends[b])
+            cells = (k // self.parts + 1 + SPARE + k // 24) * self.parts
             cell = (spread % np.uint64(cells)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
             at = np.searchsorted(cell[order], np.arange(cells + 1))
             running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
-            sums = mix(running[at[1:]] - running[at[:-1]]).reshape(n1, self.parts)
-            first = np.arange(n1, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(b << 44)
-            filled = np.diff(at).reshape(n1, self.parts)
-            empty = np.stack([filled[:, subset].sum(axis=1) == 0 for subset in self.subsets])
-            keep_all = empty.any(axis=0).sum() > SPARE
-            for j, subset in enumerate(self.subsets):
-                h = first + np.uint64(j)
-                for p in subset:
-                    h = mix(h + sums[:, p] * _W)
-                out.append(h if keep_all else h[~empty[j]])
+            sums = running[at[1:]] - running[at[:-1]]
+            h = mix(mix(np.arange(cells, dtype=np.uint64) + np.uint64(b << 44)) + mix(sums) * _W)
+            keep = self.apart(n, min(self.ends[b], largest)) + 1  # of cells that agree, all but keep - 1 differing ones
+            out.append(h[np.lexsort((h, np.diff(at)))[-keep:]])
         return np.concatenate(out).view(np.int64)
 
 
@@ -125,14 +122,18 @@ def bins_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def may_link_forest(keys: list[int], counts: list[bytes], num: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket that join its sets into the components of "the bin counts do not rule a link out"."""
+def may_link_forest(keys: list[int], counts: list[bytes], sides: list[int], cross: bool, num: int) -> list[tuple[int, int]]:
+    """Pairs that join a bucket's sets into the components of "the bin counts do not rule a link out"; with cross,
+    only pairs of different sides count."""
     width = min(map(len, counts))
     c = np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for x in counts])
-    size, label, out = c.sum(axis=1), np.arange(len(keys)), []
+    size, label, side, out = c.sum(axis=1), np.arange(len(keys)), np.array(sides), []
     full = np.array([max(x) == 255 for x in counts])  # counts that may be cut off give no size
     for i in range(len(keys) - 1):
-        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = label[i + 1 :] != label[i]
+        if cross:
+            other &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(other) + i + 1
         most = (size[i] + size[j]) * (100 - num) // (100 + num)
         for x in j[(np.abs(c[j] - c[i]).sum(axis=1) <= most) | full[j] | full[i]].tolist():
             if label[x] != label[i]:
@@ -187,6 +188,18 @@ def linked_forest(keys: list[int], sets: list[np.ndarray], sides: list[int], cro
     return out
 
 
+def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+
+def in_block_pairs(rows: DataFrame, group: list[str]) -> DataFrame:
+    """rows (with block and blocks) once for each pair (i, j) of blocks of their group that they take part in, each pair
+    together in one task and in the order of key."""
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    return each.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j", "key")
+
+
 def labelled_rows(
     docs: DataFrame,
     num: int = 90,
@@ -194,6 +207,7 @@ def labelled_rows(
     block_features: int = 1 << 21,
     block_sets: int = 2048,
     small_bucket: int = SMALL_BUCKET,
+    block_keys: int = BLOCK_KEYS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -212,7 +226,7 @@ def labelled_rows(
                     key = set_key(s)
                     fresh = len(s) and key not in seen
                     if fresh:
-                        if len(seen) > 1_000_000:
+                        if len(seen) > 200_000:
                             seen.clear()
                         seen.add(key)
                     sizes.append(len(s))
@@ -223,12 +237,14 @@ def labelled_rows(
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *signs])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists, pa.array(bins, pa.binary())], ["doc_id", "tkey", "n", "key", "signs", "bins"])
 
-    facts = materialize(rows.mapInArrow(describe, f"doc_id {kind}, tkey long, n long, key long, signs array<long>, bins binary"), "sets")
+    signed = materialize(rows.mapInArrow(describe, f"doc_id {kind}, tkey long, n long, key long, signs array<long>, bins binary"), "sets")
 
-    signs = facts.select("key", F.explode("signs").alias("sign"))
+    signs = signed.select("key", F.explode("signs").alias("sign"))
     bucket = Window.partitionBy("sign")
     shared = signs.withColumn("least", F.min("key").over(bucket)).withColumn("most", F.max("key").over(bucket)).withColumn("rows", F.count(F.lit(1)).over(bucket)).filter("least <> most")
-    shared = materialize(shared.select("sign", "key", "least", "rows"), "shared")
+    shared = materialize(shared.select("sign", "key", "rows"), "shared")
+    facts = materialize(signed.drop("signs"), "facts")
+    discard(signed)
     few = shared.filter(F.col("rows") <= small_bucket).select("sign", "key").distinct()
     pairs = few.select("sign", F.col("key").alias("a")).join(few.select("sign", F.col("key").alias("b")), "sign").filter("a < b").select("a", "b").distinct()
     described = facts.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("n").alias("n"), F.max("bins").alias("bins"))
@@ -242,29 +258,30 @@ def labelled_rows(
                 yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(apart <= (na + nb) * (100 - num) // (100 + num))))
 
     def bucket_forest(batches):
-        at, keys, counts = None, [], []
+        at, held = None, {}
 
         def flush():
-            edges = may_link_forest(keys, counts, num)
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+            keys = list(held)
+            edges = may_link_forest(keys, [held[k][1] for k in keys], [held[k][0] for k in keys], at[1] != at[2], num)
+            return edge_batch(edges)
 
         for batch in batches:
-            for sign, key, bins in zip(*[batch.column(c).to_pylist() for c in ("sign", "key", "bins")], strict=True):
-                if sign != at:
-                    if keys:
+            for sign, i, j, key, block, bins in zip(*[batch.column(c).to_pylist() for c in ("sign", "i", "j", "key", "block", "bins")], strict=True):
+                if (sign, i, j) != at:
+                    if len(held) > 1:
                         yield flush()
-                    at, keys, counts = sign, [], []
-                if not keys or key != keys[-1]:
-                    keys.append(key)
-                    counts.append(bins)
-        if keys:
+                    at, held = (sign, i, j), {}
+                held[key] = (block, bins)
+        if len(held) > 1:
             yield flush()
 
-    many = shared.filter(F.col("rows") > small_bucket).select("sign", "key").distinct().join(described.select("key", "bins"), "key")
-    forests = many.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(bucket_forest, "a long, b long")
+    many = shared.filter(F.col("rows") > small_bucket).groupBy("sign", "key").agg(F.ceil(F.max("rows") / block_keys).cast("int").alias("blocks"))
+    many = many.join(described.select("key", "bins"), "key").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
+    forests = in_block_pairs(many, ["sign"]).mapInArrow(bucket_forest, "a long, b long")
     groups = components(forests.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may_link, "a long, b long")))
+    discard(shared)
 
-    by_key = facts.drop("signs", "bins").join(groups, facts["key"] == groups["v"]).groupBy("key", "root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")).alias("one"), F.max("n").alias("n"))
+    by_key = facts.drop("bins").join(groups, facts["key"] == groups["v"]).groupBy("key", "root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")).alias("one"), F.max("n").alias("n"))
     members = materialize(by_key.select("key", "root", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.tkey").alias("tkey")), "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
     placed = members.join(sizes, "root").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
@@ -274,53 +291,40 @@ def labelled_rows(
         {r["part"]: bytes(r["bits"]) for r in spots.agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits")).collect()}
     )  # FILTER_BITS bits at most; it only spares texts that no member has, so its fill does not change the result
 
-    def features(batches):
-        shingles, mask = Shingler(words), np.zeros(FILTER_BITS // 8, np.uint8)
+    def marked(batches):
+        mask = np.zeros(FILTER_BITS // 8, np.uint8)
         for part, bits in marks.value.items():
             mask[part << 12 : (part << 12) + len(bits)] = np.frombuffer(bits, np.uint8)
         for batch in batches:
             h = batch.column("tkey").to_numpy() % FILTER_BITS
-            batch = batch.take(pa.array(np.flatnonzero(mask[h >> 3] >> (h & 7) & 1)))
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                sets = [shingles(t.as_py()).view(np.int64) for t in some.column("text")]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("tkey"), lists], ["doc_id", "tkey", "features"])
-
-    found = rows.mapInArrow(features, f"doc_id {kind}, tkey long, features array<long>").alias("r")
-    sets = found.join(placed.alias("m"), F.col("r.tkey").eqNullSafe(F.col("m.tkey")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))).select("key", "root", "block", "blocks", "features")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = (
-        sets.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "features")
-        .repartition("root", "i", "j")
-        .sortWithinPartitions("root", "i", "j", "key")
-    )
+            at = np.flatnonzero(mask[h >> 3] >> (h & 7) & 1)
+            for lo in range(0, len(at), 512):
+                yield batch.take(pa.array(at[lo : lo + 512]))
+
+    # Texts, not their features, are shuffled: they take a third of the space.
+    found = rows.mapInArrow(marked, f"doc_id {kind}, tkey long, text binary").alias("r")
+    sets = found.join(placed.alias("m"), F.col("r.tkey").eqNullSafe(F.col("m.tkey")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))).select("key", "root", "block", "blocks", "text")
 
     def compare(batches):
-        held: list = []
-        at = None
+        shingles, at, held = Shingler(words), None, {}
 
         def flush():
-            unique = list({k: (k, s, b) for k, s, b in held}.values())
-            edges = linked_forest([u[0] for u in unique], [u[1] for u in unique], [u[2] for u in unique], at[1] != at[2], num) if len(unique) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+            keys = list(held)
+            return edge_batch(linked_forest(keys, [held[k][1] for k in keys], [held[k][0] for k in keys], at[1] != at[2], num))
 
         for batch in batches:
-            where = list(zip(*[batch.column(c).to_pylist() for c in ("root", "i", "j", "key", "block")], strict=True))
-            flat, ends = batch.column("features").flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column("features").offsets.to_numpy()
-            ends = ends - ends[0]
-            for k, (root, i, j, key, block) in enumerate(where):
+            for root, i, j, key, block, text in zip(*[batch.column(c).to_pylist() for c in ("root", "i", "j", "key", "block")], batch.column("text"), strict=True):
                 if at != (root, i, j):
-                    if held:
+                    if len(held) > 1:
                         yield flush()
-                    at, held = (root, i, j), []
-                held.append((key, flat[ends[k] : ends[k + 1]].copy(), block))
-        if held:
+                    at, held = (root, i, j), {}
+                if key not in held:
+                    held[key] = (block, shingles(text.as_py()))
+        if len(held) > 1:
             yield flush()
 
-    links = components(dealt.mapInArrow(compare, "a long, b long"))
-    return facts.drop("signs", "bins").join(links, facts["key"] == links["v"], "left").select("doc_id", "tkey", "n", F.coalesce("root", "key").alias("root"))
+    links = components(in_block_pairs(sets, ["root"]).mapInArrow(compare, "a long, b long"))
+    return facts.drop("bins").join(links, facts["key"] == links["v"], "left").select("doc_id", "tkey", "n", F.coalesce("root", "key").alias("root"))
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
@@ -343,7 +347,8 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     labelled = materialize(labelled_rows(docs, text_col=text_col, id_col=id_col, **options), "labelled")
     mark = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tkey")
     first = labelled.filter("n > 0").groupBy("root").agg(F.min(mark).alias("first"))
-    gone = labelled.filter("n > 0").join(first, "root").filter(mark != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
-    gone = materialize(gone, "gone")
-    tkey = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("__text", tkey).join(gone, F.col("__text").eqNullSafe(F.col("__tkey")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").drop("__text")
+    gone = labelled.filter("n > 0").join(first, "root").filter(mark != F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_tkey"))
+    gone = materialize(gone, "gone").alias("gone")
+    tkey, rows = F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))), docs.select(F.struct("*").alias("row"))
+    kept = rows.join(gone, tkey.eqNullSafe(F.col("gone.gone_tkey")) & F.col(f"row.`{id_col}`").eqNullSafe(F.col("gone.gone_id")), "left_anti")
+    return kept.select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,26 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; where that is unset (tests on
-    one machine), in a temporary folder that is then set for the session."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir. Where that is unset and everything runs
+    on one machine (as in tests), in a temporary folder that is then set for the session; on a cluster that is an
+    error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="panelyte-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/panelyte/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the query that made them has ended: the written table stands for them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder once and go on from the files: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path whose rows nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that no later plan reads."""
+    for t in tables:
+        target = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fold_of(id_col: str, modulus: int) -> Column:

@@ -136,8 +136,8 @@ def brute_jaccard(texts, num, words):
 def test_jaccard(spark):
     texts = dict(enumerate(near_texts(1)))
     df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, n_shingles int")
-    for num, words, blocks, small in ((90, 3, 1 << 20, 24), (80, 5, 300, 1)):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, num=num, words=words, block_features=blocks, small_bucket=small).collect()}
+    for num, words, blocks, small, keys in ((90, 3, 1 << 20, 24, 1024), (80, 5, 300, 1, 1024), (80, 5, 1 << 20, 1, 3)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, num=num, words=words, block_features=blocks, small_bucket=small, block_keys=keys).collect()}
         assert got == brute_jaccard(texts, num, words)
     kept = {r.doc_id for r in drop_near_copies(df, num=80, words=5).collect()}
     assert kept == {i for i, (n, c) in brute_jaccard(texts, 80, 5).items() if c == i}
