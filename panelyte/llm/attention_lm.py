@@ -5,23 +5,26 @@ of a given byte-level BPE file; the model's vocabulary is the ids that are most
 256 single bytes, in which rarer ids are spelled, so every text has a probability.
 
 Model: token and place embeddings, one causal attention head over a window, a residual, and a two-level softmax
-(class, then member) whose biases start from the corpus counts. A text is cut into overlapping windows: `context`
+(class, then member) whose biases start from the corpus counts. With one head, the query and key matrices act as one
+product, and so do the value and output matrices; the model holds these two products (Q and O). A text is cut into overlapping windows: `context`
 tokens that were scored before and `stride` tokens that are scored here, so each token is scored once, with whole
 batches of windows in one masked attention.
 
 Corpus side: word counts over all training texts (partial counts in tasks, summed by word), subword counts from them,
-and training in every task on all windows of its training texts, each text in one round; the tasks' weights are
-averaged, weighted by their tokens, after each round. The exact counts are joined back to the texts' words: frequent
-words by a bounded broadcast table, the others by a shuffle.
+then one pass that spells every text. Training learns from every window of every training text once. Texts are dealt
+to shards by a hash, as many as the corpus's tokens need, and to rounds; each shard learns its texts in a fixed order
+from the weights of the round before, and the shards' weights are averaged by tokens in whole numbers. So the weights
+follow from the table and the parameters, not from the number of files, tasks or executors. The exact word counts are
+joined back to the texts' words: frequent words by a bounded broadcast table, the others by a shuffle.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,155 +34,177 @@ from panelyte.llm.pieces import PieceCache, byte_alphabet, load_tokenizer, piece
 from panelyte.llm.shared import fold_of, materialize, text_groups
 
 LOG10 = math.log(10)
+NONE = np.uint16(65535)  # no target
 
 
 class Shape:
     """Sizes of the model and of its windows."""
 
-    def __init__(self, classes: int = 32, members: int = 32, dim: int = 16, context: int = 8, stride: int = 24):
+    def __init__(self, classes: int = 32, members: int = 32, dim: int = 24, context: int = 8, stride: int = 24):
         self.classes, self.members, self.dim, self.context, self.stride = classes, members, dim, context, stride
         self.vocabulary, self.window = classes * members, context + stride
 
     def arrays(self) -> dict[str, tuple[int, ...]]:
         v, d, c, m = self.vocabulary, self.dim, self.classes, self.members
-        return {"E": (v, d), "P": (self.window, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "C": (d, c), "c": (c,), "M": (c, d, m), "m": (c, m)}
+        return {"E": (v, d), "P": (self.window, d), "Q": (d, d), "O": (d, d), "C": (d, c), "c": (c,), "M": (c, d, m), "m": (c, m)}
 
 
 def start_weights(shape: Shape, counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     """Small random weights; output biases from the counts of the vocabulary's ids."""
-    rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.1 if k in "EP" else 0.3 / math.sqrt(shape.dim) if k in "QKVO" else 0.02)).astype(np.float32) for k, s in shape.arrays().items()}
+    rng, d = np.random.default_rng(seed), shape.dim
+    size = {"E": 0.3, "P": 0.3, "Q": 0.5 / d, "O": 0.5 / math.sqrt(d), "C": 0.05, "M": 0.05}
+    w = {k: (rng.standard_normal(s) * size.get(k, 0)).astype(np.float32) for k, s in shape.arrays().items()}
     share = (counts + 0.5).reshape(shape.classes, shape.members)
     w["c"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
     w["m"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     return w
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+def keep_heap(size: int = 1 << 26) -> None:
+    """Let the C library keep up to `size` bytes of freed arrays for the next ones: otherwise every temporary of a
+    batch is mapped and zeroed anew, which costs as much as the arithmetic. Without that library, nothing happens."""
+    try:
+        set_option = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    for option in (-1, -3):  # when to give memory back, and from which size on to map
+        set_option(option, size)
+
+
+def _sums(p: np.ndarray) -> np.ndarray:
+    return np.ones(len(p), np.float32) @ p
 
 
 class Model:
     def __init__(self, shape: Shape, weights: dict[str, np.ndarray]):
         self.shape, self.w = shape, weights
         i, j = np.arange(shape.stride)[:, None] + shape.context, np.arange(shape.window)[None, :]
-        self.mask = np.where(j <= i, 0, -1e9).astype(np.float32)
-        self.seen = (self.mask == 0).astype(np.float32)
+        self.seen = (j <= i).astype(np.float32)
+        self.ones = np.ones(max(shape.window, shape.classes, shape.members, shape.dim), np.float32)
         self.first = {k: np.zeros_like(v) for k, v in weights.items()}
         self.second = {k: np.zeros_like(v) for k, v in weights.items()}
         self.steps = 0
 
     def windows(self, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(inputs, targets) of one text's ids, the end included: targets past the text are -1."""
+        """(inputs, targets) of one text's ids, the end included: targets past the text are NONE."""
         s, c = self.shape.stride, self.shape.context
         n = -(-len(ids) // s)
-        x = np.full(c + n * s, end, np.int64)
+        x = np.full(c + n * s, end, np.uint16)
         x[c + 1 : c + len(ids)] = ids[:-1]
-        y = np.full(n * s, -1, np.int64)
+        y = np.full(n * s, NONE, np.uint16)
         y[: len(ids)] = ids
         return np.lib.stride_tricks.sliding_window_view(x, self.shape.window)[::s], y.reshape(n, s)
 
-    def _hidden(self, x: np.ndarray):
-        w, c = self.w, self.shape.context
-        X = w["E"][x] + w["P"]
-        q, k, v = X[:, c:] @ w["Q"], X @ w["K"], X @ w["V"]
-        A = _softmax(q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(self.shape.dim)) + self.mask)
-        O = A @ v
-        return X, q, k, v, A, O, X[:, c:] + O @ w["O"]
-
-    def _states(self, x: np.ndarray) -> np.ndarray:
-        """What the softmax sees at the scored places of a few windows, one row each."""
+    def _attend(self, x: np.ndarray):
+        """What a few windows' masked attention holds, and last what the softmax sees at the scored places."""
         w, d, c0 = self.w, self.shape.dim, self.shape.context
-        X = w["E"][x]
+        X = np.take(w["E"], x, axis=0)
         X += w["P"]
-        own = np.ascontiguousarray(X[:, c0:])
-        A = (own @ (w["Q"] * np.float32(1 / math.sqrt(d)))) @ (X @ w["K"]).transpose(0, 2, 1)
-        np.exp(np.minimum(A, 80, out=A), out=A)
+        own = np.ascontiguousarray(X[:, c0:]).reshape(-1, d)
+        q = (own @ w["Q"]).reshape(-1, self.shape.stride, d)
+        A = q @ X.transpose(0, 2, 1)
+        np.exp(np.minimum(A, 30, out=A), out=A)
         A *= self.seen
-        values = np.ones((*X.shape[:2], d + 1), np.float32)  # the last column adds up the attention
-        np.matmul(X, w["V"], out=values[:, :, :d])
-        mixed = (A @ values).reshape(-1, d + 1)
-        return own.reshape(-1, d) + (mixed[:, :d] / mixed[:, d:]) @ w["O"]
+        share = 1 / (A.reshape(-1, self.shape.window) @ self.ones[: self.shape.window])
+        mixed = (A @ X).reshape(-1, d)
+        mixed *= share[:, None]
+        return X, own, q, A, share, mixed, own + mixed @ w["O"]
+
+    def _by_target(self, y: np.ndarray):
+        """(places of the targets in the order of their ids, the ids, where each class begins)."""
+        order = np.argsort(y.ravel(), kind="stable")
+        t = y.ravel()[order]
+        n = int(np.searchsorted(t, NONE))
+        order, t = order[:n], t[:n].astype(np.int64)
+        return order, t, np.searchsorted(t, np.arange(self.shape.classes + 1) * self.shape.members).tolist()
 
-    def log_probs(self, x: np.ndarray, y: np.ndarray, some: int = 128) -> np.ndarray:
-        """Natural log probability of each target, 0 where there is none."""
+    def _levels(self, h: np.ndarray, ends: list[int]):
+        """Exponentials of the logits of classes, and of members inside each row's class, with their row sums."""
         w, m = self.w, self.shape.members
-        H = np.empty((y.size, self.shape.dim), np.float32)
+        outer, inner = h @ w["C"], np.empty((len(h), m), np.float32)
+        outer += w["c"]
+        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            if lo < hi:
+                np.matmul(h[lo:hi], w["M"][c], out=inner[lo:hi])
+                inner[lo:hi] += w["m"][c]
+        for p in (outer, inner):
+            np.exp(np.minimum(p, 40, out=p), out=p)  # stays finite
+        return outer, outer @ self.ones[: self.shape.classes], inner, inner @ self.ones[:m]
+
+    def _states(self, x: np.ndarray, some: int) -> np.ndarray:
+        """The softmax's inputs at all scored places, a few windows at a time so that they stay in the cache."""
+        stride = self.shape.stride
+        H = np.empty((len(x) * stride, self.shape.dim), np.float32)
         for lo in range(0, len(x), some):
-            H[lo * self.shape.stride : (lo + some) * self.shape.stride] = self._states(x[lo : lo + some])
-        order = np.argsort(y.ravel().astype(np.int16), kind="stable")  # by target, so by class; those without come first
-        t = y.ravel()[order]
-        skip = int(np.searchsorted(t, 0))
-        order, t = order[skip:], t[skip:]
-        H = H[order]
-        one_c, one_m = np.ones(self.shape.classes, np.float32), np.ones(m, np.float32)
-        out = np.empty(len(t), np.float32)
-        ends = np.searchsorted(t, np.arange(self.shape.classes + 1) * m)
-        for c in range(self.shape.classes):
-            for lo in range(ends[c], ends[c + 1], 4096):
-                hi = min(lo + 4096, ends[c + 1])
-                h = H[lo:hi]
-                outer, inner = np.minimum(h @ w["C"] + w["c"], 40), np.minimum(h @ w["M"][c] + w["m"][c], 40)  # exp stays finite
-                out[lo:hi] = outer[:, c] + inner[np.arange(hi - lo), t[lo:hi] - c * m]
-                out[lo:hi] -= np.log((np.exp(outer, out=outer) @ one_c) * (np.exp(inner, out=inner) @ one_m))
+            H[lo * stride : (lo + some) * stride] = self._attend(x[lo : lo + some])[-1]
+        return H
+
+    def log_probs(self, x: np.ndarray, y: np.ndarray, some: int = 128) -> np.ndarray:
+        """Natural log probability of each target, 0 where there is none."""
+        H = self._states(x, some)
+        order, t, ends = self._by_target(y)
+        outer, outer_sum, inner, inner_sum = self._levels(np.take(H, order, axis=0), ends)
+        rows, cls = np.arange(len(t)), t // self.shape.members
         full = np.zeros(y.size, np.float32)
-        full[order] = out
+        full[order] = np.log(outer[rows, cls] / outer_sum) + np.log(inner[rows, t - cls * self.shape.members] / inner_sum)
         return full.reshape(y.shape)
 
-    def _by_class(self, cls: np.ndarray):
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.shape.classes + 1))
-        return [(c, order[ends[c] : ends[c + 1]]) for c in range(self.shape.classes) if ends[c] < ends[c + 1]]
-
-    def learn(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
-        """One Adam step on the mean negative log probability of the targets."""
-        w, d, m, c0 = self.w, self.shape.dim, self.shape.members, self.shape.context
-        X, q, k, v, A, O, H = self._hidden(x)
-        at = np.flatnonzero(y.ravel() >= 0)
-        h, t = H.reshape(-1, d)[at], y.ravel()[at]
-        cls, n = t // m, np.float32(1 / len(t))
-        g = {}
-        p = _softmax(h @ w["C"] + w["c"])
-        p[np.arange(len(t)), cls] -= 1
-        p *= n
-        g["C"], g["c"] = h.T @ p, p.sum(0)
-        dh = p @ w["C"].T
-        g["M"], g["m"] = np.zeros_like(w["M"]), np.zeros_like(w["m"])
-        for c, rows in self._by_class(cls):
-            p = _softmax(h[rows] @ w["M"][c] + w["m"][c])
-            p[np.arange(len(rows)), t[rows] % m] -= 1
-            p *= n
-            g["M"][c], g["m"][c] = h[rows].T @ p, p.sum(0)
-            dh[rows] += p @ w["M"][c].T
+    def gradients(self, x: np.ndarray, y: np.ndarray, some: int = 128) -> dict[str, np.ndarray]:
+        """Of the mean negative log probability of the targets. The attention is computed again on the way back: that
+        takes less time than keeping it."""
+        w, d, m, c0, stride = self.w, self.shape.dim, self.shape.members, self.shape.context, self.shape.stride
+        order, t, ends = self._by_target(y)
+        h = np.take(self._states(x, some), order, axis=0)
+        outer, outer_sum, inner, inner_sum = self._levels(h, ends)
+        n, rows, cls = np.float32(1 / len(t)), np.arange(len(t)), t // m
+        outer *= (n / outer_sum)[:, None]
+        outer[rows, cls] -= n
+        inner *= (n / inner_sum)[:, None]
+        inner[rows, t - cls * m] -= n
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        g["C"], g["c"] = h.T @ outer, _sums(outer)
+        dh = outer @ w["C"].T
+        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+            if lo < hi:
+                g["M"][c], g["m"][c] = h[lo:hi].T @ inner[lo:hi], _sums(inner[lo:hi])
+                dh[lo:hi] += inner[lo:hi] @ w["M"][c].T
         dH = np.zeros((y.size, d), np.float32)
-        dH[at] = dh
-        dH = dH.reshape(*y.shape, d)
-        flat = lambda z: z.reshape(-1, d)
-        g["O"] = flat(O).T @ flat(dH)
-        dO = dH @ w["O"].T
-        dA, dv = dO @ v.transpose(0, 2, 1), A.transpose(0, 2, 1) @ dO
-        dS = A * (dA - (dA * A).sum(-1, keepdims=True)) * np.float32(1 / math.sqrt(d))
-        dq, dk = dS @ k, dS.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = flat(X[:, c0:]).T @ flat(dq), flat(X).T @ flat(dk), flat(X).T @ flat(dv)
-        dX = dk @ w["K"].T + dv @ w["V"].T
-        dX[:, c0:] += dH + dq @ w["Q"].T
+        dH[order] = dh
+        dX = np.empty((*x.shape, d), np.float32)
+        for lo in range(0, len(x), some):
+            X, own, q, A, share, mixed, _ = self._attend(x[lo : lo + some])
+            dh = dH[lo * stride : (lo + some) * stride]
+            g["O"] += mixed.T @ dh
+            dO = dh @ w["O"].T
+            level = (dO * mixed) @ self.ones[:d]
+            dO *= share[:, None]
+            dO = dO.reshape(-1, stride, d)
+            dS = dO @ X.transpose(0, 2, 1)
+            dS -= (level * share).reshape(-1, stride, 1)
+            dS *= A
+            dq = (dS @ X).reshape(-1, d)
+            g["Q"] += own.T @ dq
+            part = dX[lo : lo + some]
+            np.matmul(dS.transpose(0, 2, 1), q, out=part)
+            part += A.transpose(0, 2, 1) @ dO
+            part[:, c0:] += (dh + dq @ w["Q"].T).reshape(-1, stride, d)
         g["P"] = dX.sum(0)
-        order = np.argsort(x, axis=None, kind="stable")
-        ids, first = np.unique(x.ravel()[order], return_index=True)
-        g["E"] = np.zeros_like(w["E"])
-        g["E"][ids] = np.add.reduceat(flat(dX)[order], first, axis=0)
+        at = np.argsort(x, axis=None, kind="stable")
+        ids, first = np.unique(np.take(x, at), return_index=True)
+        g["E"][ids] = np.add.reduceat(np.ascontiguousarray(np.take(dX.reshape(-1, d), at, axis=0).T), first, axis=1).T
+        return g
+
+    def learn(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """One Adam step."""
         self.steps += 1
         a, b = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        for key, grad in g.items():
+        for key, grad in self.gradients(x, y).items():
             self.first[key] += np.float32(0.1) * (grad - self.first[key])
             self.second[key] += np.float32(0.01) * (grad * grad - self.second[key])
-            w[key] -= np.float32(rate / a) * self.first[key] / (np.sqrt(self.second[key] * np.float32(1 / b)) + np.float32(1e-7))
+            self.w[key] -= np.float32(rate / a) * self.first[key] / (np.sqrt(self.second[key] * np.float32(1 / b)) + np.float32(1e-7))
 
 
 END = b""  # the end token among words, which are never empty
-CHUNKS = 16
 
 
 def word_counts(rows: DataFrame, flush: int = 150_000) -> DataFrame:
@@ -248,33 +273,46 @@ def spelling(tokenizer_path: str, counts: dict[int, int], ends: int, shape: Shap
 
 
 class Speller:
-    """Words (bytes) -> model ids."""
-
-    def __init__(self, tokenizer_path: str, spelled: list[bytes], cache_size: int = 240_000):
-        encode = piece_encoder(tokenizer_path)
-
-        def many(texts: list[str]) -> list[bytes]:
-            return [b"".join([spelled[i] for i in ids]) for ids in encode(texts)]
+    """Words (bytes) -> model ids as the bytes of unsigned 16-bit integers."""
+
+    def __init__(self, tokenizer_path: str, spelled: list[bytes], cache_size: int = 160_000):
+        encode, alphabet = piece_encoder(tokenizer_path), byte_alphabet()
+        vocab = load_tokenizer(tokenizer_path)[0].get_vocab()
+        space = next(c for c, b in alphabet.items() if b == 0x20)
+        opens = np.zeros(len(spelled), bool)
+        opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
+        sizes, flat = np.array([len(s) for s in spelled]), spelled
+
+        def many(words: list[bytes]) -> list[bytes]:
+            """All words in one call: a word begins where a token begins with a space, as no word holds one."""
+            out = []
+            for lo in range(0, len(words), 4096):
+                some = words[lo : lo + 4096]
+                ids = encode([b" ".join([b"", *some]).decode()])[0]
+                at = np.flatnonzero(opens[ids])
+                ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+                whole = b"".join([flat[i] for i in ids])
+                cuts = [*ends[at].tolist(), len(whole)]
+                if len(at) != len(some):  # a file that spells a space otherwise
+                    out += [b"".join([flat[i] for i in each]) for each in encode([" " + w.decode() for w in some])]
+                else:
+                    out += [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            return out
 
-        self.cache = PieceCache(many, limit=cache_size)
+        self.cache = PieceCache(many, limit=cache_size, prefix="")
 
-    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        words = [list(map(bytes.decode, t)) for t in texts]
-        self.cache.learn(set().union(*words))
+    def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
+        self.cache.learn(set().union(*texts))
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, t)), np.uint16).astype(np.int64) for t in words]
+        return [b"".join(map(get, t)) for t in texts]
 
 
-def window_batches(groups, size: int, rate: float, rng: np.random.Generator):
-    """(inputs, targets) of `size` windows, the last of what is left, over the windows of each group in mixed order.
-
-    At a rate below 1, windows are drawn at that rate; at 1, every window is in one batch.
-    """
+def window_batches(groups, size: int, rng: np.random.Generator):
+    """(inputs, targets) of `size` windows, the last of what is left: every window of the groups in one batch, in
+    mixed order within a group."""
     x = y = None
     for some_x, some_y in groups:
         order = rng.permutation(len(some_x))
-        if rate < 1:
-            order = order[rng.random(len(order)) < rate]
         x, y = (some[order] if left is None else np.concatenate([left, some[order]]) for left, some in ((x, some_x), (y, some_y)))
         full = len(x) - len(x) % size
         for lo in range(0, full, size):
@@ -284,37 +322,65 @@ def window_batches(groups, size: int, rate: float, rng: np.random.Generator):
         yield x, y
 
 
-def train_round(rows: DataFrame, weights: dict[str, np.ndarray], shape: Shape, spelled, end: int, tokenizer_path: str, rate: float, batch_windows: int, step: float) -> dict[str, np.ndarray]:
-    """Weights after every task trained on its own rows from the given ones, averaged by trained tokens."""
-    shared = rows.sparkSession.sparkContext.broadcast((weights, spelled))
+def window_groups(model: Model, texts, end: int, most: int = 1 << 15):
+    """Windows of the texts (bytes of ids) in groups of about `most`; a longer text gives several groups."""
+    xs, ys, held = [], [], 0
+    for ids in texts:
+        x, y = model.windows(np.append(np.frombuffer(ids, np.uint16), np.uint16(end)), end)
+        for lo in range(0, len(x), most):
+            xs.append(x[lo : lo + most])
+            ys.append(y[lo : lo + most])
+            held += len(xs[-1])
+            if held >= most:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
+    if held:
+        yield np.concatenate(xs), np.concatenate(ys)
 
-    def train(batches):
-        start, letters = shared.value
-        model, spell = Model(shape, {k: v.copy() for k, v in start.items()}), Speller(tokenizer_path, letters)
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+
+#: Weights are summed as whole multiples of 1 / UNIT and token, so that a sum does not depend on its order.
+UNIT = 1 << 12
+
+
+def train_round(texts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, end: int, shards: int, batch_windows: int, rate: tuple[float, float]) -> dict[str, np.ndarray]:
+    """Weights after every shard learned from its own texts, starting from the given ones, averaged by tokens.
+
+    texts has shard (0 to shards - 1), mark (order within a shard) and ids. The learning rate falls from rate[0] to
+    rate[1] over a shard's batches.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def learn(held: list[bytes], shard: int):
+        keep_heap()
+        model = Model(shape, {k: v.copy() for k, v in shared.value.items()})
+        n = sum(len(t) // 2 + 1 for t in held)
         seen = 0
+        for x, y in window_batches(window_groups(model, held, end), batch_windows, np.random.default_rng(shard)):
+            model.learn(x, y, rate[0] * (rate[1] / rate[0]) ** (seen / n))
+            seen += int((y != NONE).sum())
+        flat = np.concatenate([np.clip(v, -1000, 1000).ravel() for v in model.w.values()]).astype(np.float64)
+        value = np.append(np.rint(flat * (UNIT * n)), n).astype(np.int64)  # the last entry adds up the tokens
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], ["at", "value"])
+
+    def train(batches):
+        now, held = None, []
+        for batch in batches:
+            for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if held and shard != now:
+                    yield learn(held, now)
+                    held = []
+                now = shard
+                held.append(ids)
+        if held:
+            yield learn(held, now)
 
-        def groups():
-            for _, texts in text_groups(batches, "held_out", "text", 1 << 18):
-                pairs = [model.windows(np.append(ids, end), end) for ids in spell([t.lower().split() for t in texts])]
-                yield np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-
-        for x, y in window_batches(groups(), batch_windows, rate, rng):
-            model.learn(x, y, step)
-            seen += int((y >= 0).sum())
-        flat = np.concatenate([v.ravel() for v in model.w.values()]).astype(np.float32)
-        if seen:
-            cut = np.array_split(flat, CHUNKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["chunk", "n", "w"])
-
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = np.average([np.frombuffer(b, np.float32) for b in pdf["w"]], axis=0, weights=pdf["n"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "w": [mean.astype(np.float32).tobytes()]})
-
-    parts = rows.select("held_out", "text").mapInArrow(train, "chunk int, n long, w binary").groupBy("chunk").applyInPandas(average, "chunk int, w binary").collect()
-    if not parts:
+    dealt = texts.select("shard", "mark", "ids").repartitionById(min(shards, 1 << 14), F.col("shard") % min(shards, 1 << 14))
+    parts = dealt.sortWithinPartitions("shard", "mark", "ids").mapInArrow(train, "at int, value long")
+    total = {r["at"]: r["value"] for r in parts.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()}  # a row for each weight
+    if not total:
         return weights
-    flat = np.frombuffer(b"".join(p["w"] for p in sorted(parts, key=lambda p: p["chunk"])), np.float32)
+    count = float(total.pop(len(total) - 1))
+    flat = (np.array([float(total[i]) for i in range(len(total))]) / (UNIT * count)).astype(np.float32)
     out, lo = {}, 0
     for k, s in shape.arrays().items():
         out[k] = flat[lo : lo + math.prod(s)].reshape(s).copy()
@@ -322,6 +388,19 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], shape: Shape, s
     return out
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The words of the highest counts, `most` at most, without sending any other word to the driver: counts fall
+    into bins of an eighth of a power of two, and the bins that fit are taken whole."""
+    level = F.floor(8 * F.log2("n")).cast("int")
+    room, least = most, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return {} if least is None else {bytes(r["word"]): r["n"] for r in counts.filter(level >= least).collect()}
+
+
 def lm_scores(
     docs: DataFrame,
     tokenizer_path: str,
@@ -329,9 +408,9 @@ def lm_scores(
     held_out: int = 2,
     shape: Shape | None = None,
     rounds: int = 3,
-    rate: float = 1.0,
-    batch_windows: int = 24,
-    step: float = 0.015,
+    shard_tokens: int = 1 << 21,
+    batch_windows: int = 512,
+    rate: tuple[float, float] = (0.05, 0.004),
     head_size: int = 65_536,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
@@ -339,45 +418,29 @@ def lm_scores(
     Training rows are those whose crc32(doc_id) mod folds is not held_out, a null id included. base_score sums
     log10((c + 1) / (N + V + 1)) over a text's words and its end, c from all training texts; score is the model's
     log10 probability of the whole text. A null, empty or blank text is its end alone. Without training rows N is 0,
-    every base_score 0, and the model is its start. Repeated rows score alike. Empty table: no rows. Only doc_id and
-    text are read.
+    every base_score 0, and the model is its start. Repeated rows score alike. Texts of any length are scored whole.
+    Empty table: no rows. Only doc_id and text are read.
     """
     shape = shape or Shape()
     out = F.coalesce(fold_of("doc_id", folds) == held_out, F.lit(False))
     rows = docs.select("doc_id", out.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    training = rows.filter(~F.col("held_out"))
-    counts = materialize(word_counts(training), "words")
+    counts = materialize(word_counts(rows.filter(~F.col("held_out"))), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
-    base = total["n"] + total["v"] + 1
-    head = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(head_size).collect()}  # head_size words at most
-    spelled, end, n = spelling(tokenizer_path, subword_counts(counts, tokenizer_path), total["ends"], shape)
-    weights = start_weights(shape, n)
-    for k in range(rounds):
-        weights = train_round(training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k), weights, shape, spelled, end, tokenizer_path, rate, batch_windows, step)
+    base, n_ends = total["n"] + total["v"] + 1, total["ends"]
+    spelled, end, n = spelling(tokenizer_path, subword_counts(counts, tokenizer_path), n_ends, shape)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((weights, spelled, {w: (math.log10((c + 1) / base)) for w, c in head.items()}))
-    n_ends = total["ends"]
+    shared = sc.broadcast((spelled, {w: math.log10((c + 1) / base) for w, c in frequent(counts, head_size).items()}))
 
-    def score(batches):
-        w, letters, known = shared.value
-        model, spell = Model(shape, w), Speller(tokenizer_path, letters)
-        end_log = math.log10((n_ends + 1) / base)
+    def spell_all(batches):
+        letters, known = shared.value
+        spell, end_log = Speller(tokenizer_path, letters), math.log10((n_ends + 1) / base)
         uid = TaskContext.get().partitionId() << 33
+        kinds = {"uid": pa.int64(), "ids": pa.binary(), "n_tokens": pa.int64(), "near_known": pa.int64(), "near": pa.float64(), "far": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
         for batch in batches:
-            columns = {c: [] for c in ("uid", "n_tokens", "near_known", "near", "score", "far", "times")}
+            columns = {c: [] for c in kinds}
             for _, texts in text_groups([batch], "held_out", "text", 1 << 18):
                 words = [t.lower().split() for t in texts]
-                xs, ys, doc = [], [], []
-                for k, ids in enumerate(spell(words)):
-                    x, y = model.windows(np.append(ids, end), end)
-                    xs.append(x)
-                    ys.append(y)
-                    doc += [k] * len(x)
-                x, y, sums = np.concatenate(xs), np.concatenate(ys), np.zeros(len(doc))
-                for lo in range(0, len(x), 2048):
-                    sums[lo : lo + 2048] = model.log_probs(x[lo : lo + 2048], y[lo : lo + 2048]).sum(1, dtype=np.float64)
-                columns["score"] += (np.bincount(doc, sums, len(texts)) / LOG10).tolist()
-                for ws in words:
+                for ws, ids in zip(words, spell(words), strict=True):
                     near, hits, far = end_log, int(n_ends > 0), {}
                     for word, times in Counter(ws).items():
                         value = known.get(word)
@@ -387,15 +450,48 @@ def lm_scores(
                             near += value * times
                             hits += times
                     uid += 1
-                    for c, v in (("uid", uid), ("n_tokens", len(ws) + 1), ("near_known", hits), ("near", near), ("far", list(far)), ("times", list(far.values()))):
+                    for c, v in zip(kinds, (uid, ids, len(ws) + 1, hits, near, list(far), list(far.values())), strict=True):
                         columns[c].append(v)
-            kinds = {"uid": pa.int64(), "n_tokens": pa.int64(), "near_known": pa.int64(), "near": pa.float64(), "score": pa.float64(), "far": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
             arrays = [pa.array(columns[c], kinds[c]) for c in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], ["doc_id", "held_out", *kinds])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, near_known long, near double, score double, far array<binary>, times array<long>"), "scores")
-    far = scored.select("uid", F.inline(F.arrays_zip(F.col("far").alias("word"), F.col("times").alias("times"))))
+    texts = materialize(rows.mapInArrow(spell_all, f"doc_id {kind}, held_out boolean, uid long, ids binary, n_tokens long, near_known long, near double, far array<binary>, times array<long>"), "spelled")
+
+    shards = max(1, math.ceil(n.sum() / (shard_tokens * rounds)))
+    mark = F.xxhash64("doc_id", "ids")
+    training = texts.filter(~F.col("held_out")).select("ids", mark.alias("mark"), F.pmod(mark, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright(mark, 40), F.lit(rounds)).alias("round"))
+    weights, fall = start_weights(shape, n), (rate[1] / rate[0]) ** (1 / rounds)
+    for k in range(rounds):
+        weights = train_round(training.filter(F.col("round") == k), weights, shape, end, shards, batch_windows, (rate[0] * fall**k, rate[0] * fall ** (k + 1)))
+    learned = sc.broadcast(weights)
+
+    def score(batches):
+        keep_heap()
+        model = Model(shape, learned.value)
+        for batch in batches:
+            out, held, doc = np.zeros(batch.num_rows), [], []
+
+            def settle():
+                x, y = (np.concatenate(z) for z in zip(*held, strict=True))
+                sums = np.concatenate([model.log_probs(x[lo : lo + 1024], y[lo : lo + 1024]).sum(1, dtype=np.float64) for lo in range(0, len(x), 1024)])
+                np.add.at(out, np.array(doc), sums)  # noqa: B023
+                held.clear()  # noqa: B023
+                doc.clear()  # noqa: B023
+
+            for k, ids in enumerate(batch.column("ids")):
+                x, y = model.windows(np.append(np.frombuffer(ids.as_buffer(), np.uint16), np.uint16(end)), end)
+                held.append((x, y))
+                doc += [k] * len(x)
+                if len(doc) >= 8192:
+                    settle()
+            if doc:
+                settle()
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in plain] + [pa.array(out / LOG10)], [*plain, "score"])
+
+    plain = ["doc_id", "held_out", "uid", "n_tokens", "near_known", "near"]
+    scored = texts.select(*plain, "ids").mapInArrow(score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, near_known long, near double, score double")
+    far = texts.select("uid", F.inline(F.arrays_zip(F.col("far").alias("word"), F.col("times").alias("times"))))
     value = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(base)))
     summed = far.join(counts, "word", "left").groupBy("uid").agg(F.sum(value * F.col("times")).alias("far_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("far_known"))
     return scored.join(summed, "uid", "left").select(

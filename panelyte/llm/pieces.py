@@ -22,16 +22,16 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """Piece -> value of `encode_many([' ' + piece])`, kept in one Python worker.
+    """Piece -> value of `encode_many([prefix + piece])`, kept in one Python worker.
 
     Starts from a fixed table and grows by what the worker meets. With `limit` / 2 pieces the young generation becomes
     the old one; pieces met again move on, the others go with the next change. So memory is bounded whatever the
     corpus holds, and pieces that recur stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 800_000):
+    def __init__(self, encode_many: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 800_000, prefix: str = " "):
         super().__init__(fixed or {})
-        self.encode_many, self.fixed, self.half, self.old = encode_many, fixed or {}, max(1, limit // 2), {}
+        self.encode_many, self.fixed, self.half, self.old, self.prefix = encode_many, fixed or {}, max(1, limit // 2), {}, prefix
 
     def learn(self, pieces: set[str]) -> None:
         """Make sure of the pieces; what neither generation has is encoded in one call."""
@@ -45,7 +45,7 @@ class PieceCache(dict):
         self.update(again)
         new = list(missing.difference(again))
         if new:
-            self.update(zip(new, self.encode_many([" " + p for p in new]), strict=True))
+            self.update(zip(new, self.encode_many([self.prefix + p for p in new] if self.prefix else new), strict=True))
 
 
 #: One cache per worker process, purpose and tokenizer file: tasks that run later in the worker find it warm.

@@ -1,6 +1,5 @@
 """Operators 6 and 7: contract values by brute force, held-out quality; the pipeline stage by stage."""
 
-import inspect
 import math
 import zlib
 from collections import Counter
@@ -9,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 
 import corpus_pipeline
-from panelyte.llm.attention_lm import Model, Shape, lm_scores, spelling, start_weights, subword_counts, train_round, window_batches, word_counts
+from panelyte.llm.attention_lm import NONE, Model, Shape, lm_scores, start_weights, train_round, window_batches, window_groups
 from panelyte.llm.quality import score_quality
 
 JSON = P.path("byte_bpe_50k.json")
@@ -25,13 +24,23 @@ def test_attention_gradients_and_windows():
     model, rng = Model(shape, w), np.random.default_rng(0)
     ids = rng.integers(0, 12, 10)
     x, y = model.windows(ids, 0)
-    assert y[y >= 0].tolist() == ids.tolist() and x.shape == (4, 5) and x[1].tolist() == ids[0:5].tolist()
-    total = sum(math.exp(model.log_probs(x[:1], np.array([[k, -1, -1]]))[0, 0]) for k in range(12))
+    assert y[y != NONE].tolist() == ids.tolist() and x.shape == (4, 5) and x[1].tolist() == ids[0:5].tolist()
+    total = sum(math.exp(model.log_probs(x[:1], np.array([[k, NONE, NONE]], np.uint16))[0, 0]) for k in range(12))
     assert abs(total - 1) < 1e-5
     before = model.log_probs(x, y).sum()
     changed = x.copy()
     changed[0, -1] = (changed[0, -1] + 1) % 12  # the last input only reaches the last target
     assert np.allclose(model.log_probs(changed, y)[0, :2], model.log_probs(x, y)[0, :2])
+    gradients = model.gradients(x, y, some=2)
+    assert set(gradients) == set(w)
+    for key, grad in gradients.items():  # each against a difference quotient of the mean log probability
+        for at in [tuple(rng.integers(0, n) for n in grad.shape) for _ in range(6)]:
+            there = []
+            for step in (1e-2, -1e-2):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[key][at] += step
+                there.append(Model(shape, moved).log_probs(x, y).sum(dtype=np.float64) / len(ids))
+            assert abs(-(there[0] - there[1]) / 2e-2 - grad[at]) < 2e-3, key
     for _ in range(60):
         model.learn(x, y, 0.02)
     assert model.log_probs(x, y).sum() > before + 5
@@ -43,7 +52,7 @@ def test_lm_scores(spark):
     words = [((t or "").encode().lower().split() + [b""], i is not None and fold(i, 7) == 2) for i, t in rows]
     c = Counter(w for ws, out in words if not out for w in ws)
     n, v = sum(c.values()), len(c)
-    got = lm_scores(df, JSON, rate=1.0, head_size=4).collect()
+    got = lm_scores(df, JSON, head_size=4).collect()
     want = sorted((len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6), out) for ws, out in words)
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), r.held_out) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 for r in got)
@@ -52,25 +61,49 @@ def test_lm_scores(spark):
     assert lm_scores(df.limit(0), JSON).collect() == []
 
 
-def test_every_token_is_trained_on():
+def test_lm_scores_long_texts_and_layouts(spark):
+    """A very long text is scored whole, and neither the number of partitions nor their order changes a score."""
+    rows = [(i, " ".join(np.random.default_rng(i).choice(["the", "cat", "sat", "on", "mat"], 40))) for i in range(60)] + [(99, "the cat sat on " * 60_000)]
+    few, many = (spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n) for n, step in ((1, 1), (7, -1)))
+    a, b = ({r.doc_id: r.score for r in lm_scores(d, JSON, shard_tokens=20_000).collect()} for d in (few, many))
+    assert len(a) == 61 and a[99] < a[0] < 0 and all(abs(a[i] - b[i]) < 1e-3 * abs(a[i]) for i in a)
+
+
+def test_every_token_is_trained_on(spark):
     model = Model(Shape(), {})
-    texts = [np.arange(1, 1 + n) for n in (1, 24, 25, 700)]
-    pairs = [model.windows(ids, 0) for ids in texts]
-    rate = inspect.signature(lm_scores).parameters["rate"].default
-    batches = list(window_batches(iter(pairs), 1, rate, np.random.default_rng(0)))
-    assert sorted(t for _, y in batches for t in y[y >= 0]) == sorted(np.concatenate(texts))
-
-
-def test_a_document_per_partition_trains(spark):
-    rows = spark.createDataFrame(spark.sparkContext.parallelize([(False, bytearray(f"the cat {i}".encode())) for i in range(4)], 4), "held_out boolean, text binary")
-    counts, shape = word_counts(rows), Shape()
-    spelled, end, n = spelling(JSON, subword_counts(counts, JSON), 4, shape)
-    start = start_weights(shape, n)
-    after = train_round(rows, start, shape, spelled, end, JSON, 1.0, 24, 0.015)
-    assert all(not np.array_equal(after[k], start[k]) for k in ("E", "C", "M", "m"))
-    texts = [np.arange(1, 1 + n) for n in (1, 24, 25, 700)]
-    batches = list(window_batches((Model(shape, {}).windows(t, 0) for t in texts), 24, 1.0, np.random.default_rng(0)))
-    assert len(batches) == 2 and sorted(t for _, y in batches for t in y[y >= 0]) == sorted(np.concatenate(texts))
+    texts = [np.arange(1, 1 + n).astype(np.uint16) for n in (1, 24, 25, 700)]
+    want = sorted([0] * len(texts) + np.concatenate(texts).tolist())
+    for size, most in ((1, 5), (24, 7), (512, 1 << 15)):
+        batches = list(window_batches(window_groups(model, [t.tobytes() for t in texts], 0, most), size, np.random.default_rng(0)))
+        assert sorted(int(t) for _, y in batches for t in y[y != NONE]) == want and all(len(x) == size for x, _ in batches[:-1])
+
+
+def test_training_rounds(spark):
+    """Every shard counts in the average, whatever the layout; the sums are exact."""
+    shape = Shape(classes=4, members=4, dim=4)
+    rng, start = np.random.default_rng(1), start_weights(shape, np.ones(16))
+    rows = [(int(k % 3), k, bytearray(rng.integers(1, 16, 50 + k).astype(np.uint16).tobytes())) for k in range(12)]
+    after = [train_round(spark.createDataFrame(rows[::step], "shard int, mark long, ids binary").repartition(n), start, shape, 0, 3, 8, (0.02, 0.01)) for n, step in ((1, 1), (5, -1))]
+    assert all(np.array_equal(after[0][k], after[1][k]) and not np.array_equal(after[0][k], start[k]) for k in start)
+    models, tokens = [], []
+    for s in range(3):
+        model, held = Model(shape, {k: v.copy() for k, v in start.items()}), [bytes(r[2]) for r in rows if r[0] == s]
+        n, seen = sum(len(t) // 2 + 1 for t in held), 0
+        for x, y in window_batches(window_groups(model, held, 0), 8, np.random.default_rng(s)):
+            model.learn(x, y, 0.02 * 0.5 ** (seen / n))
+            seen += int((y != NONE).sum())
+        models.append(model.w)
+        tokens.append(n)
+    assert all(np.allclose(after[0][k], np.average([m[k] for m in models], axis=0, weights=tokens), atol=1e-3) for k in start)
+    none = spark.createDataFrame([], "shard int, mark long, ids binary")
+    assert train_round(none, start, shape, 0, 3, 8, (0.02, 0.01)) is start
+
+
+def test_held_out_texts_score_above_the_base(spark, sf):
+    """With the registered settings, on whole documents at sf0.1."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    held = lm_scores(docs, JSON).filter("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"] > -5 * held["sum(n_tokens)"]
 
 
 def test_quality(spark, sf):
