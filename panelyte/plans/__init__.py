@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-from panelyte.plans import desk, factors, kernels, research, review, signals, structure, universe  # noqa: F401
+from panelyte.plans import desk, factors, kernels, reports, research, review, signals, structure, universe  # noqa: F401
 from panelyte.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -29,23 +29,6 @@ def pattern_factors(spark, sf_dir):
     return p.select("entity", "date", FA.breakout(c, h, v).alias("breakout"), F.round(FA.shape_family(p)["short_reversal"], 6).alias("reversal"), FA.consolidation(c, h, low, v).alias("consolidation"))
 
 
-QUALITY = f"""{panel_sql()}, ic as {ic_sql()}, o as (select *, row_number() over (partition by factor order by date) as k, count(*) over (partition by factor) as m from ic),
-q as (select factor, sum(pow(0.5, (m - k) / 60.0) * ic) / sum(pow(0.5, (m - k) / 60.0)) as recent, avg(ic) as mean, regr_slope(ic, k::double) as slope, stddev_pop(ic) as sd, count(*) as n from o group by 1)"""
-
-
-@query(f"""{QUALITY} select factor, round(recent, 6) as recent, round(mean, 6) as mean, round(slope * 1000, 6) as slope_1000, round(sd, 6) as sd, n,
- case when n < 20 then 'candidate' when abs(recent) >= 0.02 and recent * mean > 0 then 'active' when abs(recent) >= 0.005 then 'decaying' else 'retired' end as status from q""")
-def factor_quality(spark, sf_dir):
-    """Half-life weighted IC, its slope and the life-cycle state they give."""
-    by = Window.partitionBy("factor")
-    ic = IC.rank_ic(IC.melt(factor_panel(spark, sf_dir), FACTORS, "target"))
-    o = ic.withColumn("k", F.row_number().over(by.orderBy("date"))).withColumn("m", F.count(F.lit(1)).over(by))
-    w = F.pow(F.lit(0.5), (F.col("m") - F.col("k")) / 60.0)
-    q = o.groupBy("factor").agg((F.sum(w * F.col("ic")) / F.sum(w)).alias("recent"), F.avg("ic").alias("mean"), (F.regr_slope("ic", F.col("k").cast("double")) * 1000).alias("slope_1000"), F.stddev_pop("ic").alias("sd"), F.count(F.lit(1)).alias("n"))
-    status = F.when(F.col("n") < 20, "candidate").when((F.abs("recent") >= 0.02) & (F.col("recent") * F.col("mean") > 0), "active").when(F.abs("recent") >= 0.005, "decaying").otherwise("retired")
-    return rounded(q.withColumn("status", status))
-
-
 @query(f"""{B}, x as (select *, max(close) over (partition by entity order by date rows between 19 preceding and current row) as peak, case when ord >= 20 then avg(close) {inc(20)} end as ma, row_number() over (partition by entity order by date desc) as k from b)
 select entity, date, round(close / peak - 1, 6) as fall, list_filter([case when close < peak * 0.9 then 'stop' end, case when close < ma then 'trend' end, case when ret < -0.2 then 'shock' end], lambda z: z is not null)::varchar as reasons from x where k = 1""")
 def holdings_check(spark, sf_dir):
