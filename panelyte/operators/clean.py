@@ -68,9 +68,3 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)), allowMissingColumns=True)
     last = Window.partitionBy(*keys).orderBy(F.desc("__v"))
     return both.withColumn("__k", F.row_number().over(last)).filter("__k = 1").drop("__v", "__k")
-
-
-def limit_flag(change: Column, special: Column) -> Column:
-    """1 at an upper limit, -1 at a lower one, else 0; percent change, narrower limits for special entities."""
-    at = F.when(special, 4.5).otherwise(9.5)
-    return F.when(change >= at, 1).when(change <= -at, -1).otherwise(0)

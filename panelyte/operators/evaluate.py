@@ -52,12 +52,21 @@ def outcome(rows: DataFrame, keys: list[str], flag: Column, value: str = "target
     )
 
 
-def ks_distance(rows: DataFrame, value: str, side: Column) -> DataFrame:
-    """One row (ks): greatest distance between the distributions of the rows with side true and false."""
+def ks_distance(rows: DataFrame, value: str, side: Column, cells: int = 256) -> DataFrame:
+    """One row (ks): greatest distance between the distributions of the rows with side true and false.
+
+    Values are counted, cut into cells by approximate quantiles, and added up within cells; cell totals, `cells` rows,
+    give what lies before each cell. So no task holds more than a cell's distinct values. cells is 2 or more.
+    """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    upto = Window.partitionBy(F.lit(1)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.select(F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"))
-    return run.agg(F.max("ca").alias("na"), F.max("cb").alias("nb"), F.collect_list(F.struct("ca", "cb")).alias("all")).select(F.array_max(F.transform("all", lambda x: F.abs(x["ca"] / F.col("na") - x["cb"] / F.col("nb")))).alias("ks"))
+    edges = counted.agg(F.percentile_approx(value, F.array(*[F.lit(k / cells) for k in range(1, cells)]), 10_000).alias("edges"))
+    placed = counted.crossJoin(F.broadcast(edges)).withColumn("cell", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")  # one row of edges
+    totals = placed.groupBy("cell").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    order = Window.partitionBy(F.lit(1)).orderBy("cell")  # a row for each cell
+    before = totals.select("cell", *[F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b{c}") for c in ("ta", "tb")], *[F.sum(c).over(Window.partitionBy(F.lit(1))).alias(f"n{c}") for c in ("ta", "tb")])
+    upto = Window.partitionBy("cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.select("cell", F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb")).join(F.broadcast(before), "cell")
+    return run.agg(F.max(F.abs((F.col("bta") + F.col("ca")) / F.col("nta") - (F.col("btb") + F.col("cb")) / F.col("ntb"))).alias("ks"))
 
 
 def round_trips(signals: DataFrame) -> DataFrame:

@@ -221,14 +221,15 @@ def param_scan(spark, sf_dir):
 
 
 @query(f"""{P}, q as (select quantile_cont(target, 0.9) as hi, quantile_cont(target, 0.1) as lo from p), x as (select p.*, case when target >= hi then 'win' when target <= lo then 'loss' end as side from p, q where target is not null and mom_20 is not null)
-select round(avg(mom_20) filter (side = 'win'), 6) as win_mean, round(avg(mom_20) filter (side = 'loss'), 6) as loss_mean, round((avg(mom_20) filter (side = 'win') - avg(mom_20) filter (side = 'loss')) / stddev_samp(mom_20), 6) as effect, count(*) filter (side = 'win') as wins, count(*) filter (side = 'loss') as losses from x""")
+select round(avg(mom_20) filter (side = 'win'), 6) as win_mean, round(avg(mom_20) filter (side = 'loss'), 6) as loss_mean, round((avg(mom_20) filter (side = 'win') - avg(mom_20) filter (side = 'loss')) / stddev_samp(mom_20), 6) as effect, count(*) filter (side = 'win') as wins, count(*) filter (side = 'loss') as losses, (select round(max(abs(fa - fb)), 6) from (select sum((side = 'win')::int) over o / sum((side = 'win')::int) over () as fa, sum((side = 'loss')::int) over o / sum((side = 'loss')::int) over () as fb from x where side is not null window o as (order by mom_20 range between unbounded preceding and current row))) as ks from x""")
 def winner_loser(spark, sf_dir):
     p = factor_panel(spark, sf_dir)
     q = p.agg(F.percentile("target", 0.9).alias("hi"), F.percentile("target", 0.1).alias("lo"))
     x = p.filter("target is not null and mom_20 is not null").crossJoin(F.broadcast(q))  # q is one row
     win, loss = F.col("target") >= F.col("hi"), F.col("target") <= F.col("lo")
     a, b = F.avg(F.when(win, F.col("mom_20"))), F.avg(F.when(loss, F.col("mom_20")))
-    return rounded(x.agg(a.alias("win_mean"), b.alias("loss_mean"), ((a - b) / F.stddev_samp("mom_20")).alias("effect"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses")))
+    ks = EV.ks_distance(x.filter(win | loss), "mom_20", win)  # one row, as the other
+    return rounded(x.agg(a.alias("win_mean"), b.alias("loss_mean"), ((a - b) / F.stddev_samp("mom_20")).alias("effect"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses")).crossJoin(F.broadcast(ks)))
 
 
 @query(f"""{P}, {REGIME_SQL} select regime, grp, year(date) as year, grouping_id(regime, grp, year(date)) as level, count(*) as n, round(avg(target), 6) as mean_return from p join rg using (date) where target is not null group by cube (regime, grp, year(date))""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAR_SCHEMA = "datetime date, open double, high double, low double, close double, volume double, openinterest double, amount double, amplitude double, change_percent double, change_amount double, turnover_rate double"
@@ -112,6 +112,65 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("digest"))
 
 
-def last_wins(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
-    return rows.withColumn("__k", k).filter("__k = 1").drop("__k")
+#: Columns of the signals table; a file that lacks some is read with nulls there.
+SIGNAL_SCHEMA = "entity string, date date, buy boolean, sell boolean, score double, adjusted_score double, confidence double, factor_name string, factor_value double, industry string, buy_point int, sell_point int, signal_level int, trend_type int"
+
+
+def write_signals(rows: DataFrame, path: str) -> None:
+    """Signals partitioned by year and month of their date; the months in rows are replaced, others stay."""
+    dated = rows.withColumn("month", F.date_format("date", "yyyy-MM"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """Typed signals: columns that the files lack are null, others are cast, unknown ones are left out."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    fields = [f.split(" ") for f in SIGNAL_SCHEMA.split(", ")]
+    return rows.select(*[(F.col(n).cast(t) if n in rows.columns else F.lit(None).cast(t)).alias(n) for n, t in fields])
+
+
+def write_report(table: DataFrame, path: str, form: str = "csv") -> None:
+    """A report as CSV with a header or as JSON lines; nested columns become JSON text in a CSV."""
+    nested = [f.name for f in table.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
+    flat = table.select(*[F.to_json(c).alias(c) if c in nested and form == "csv" else F.col(c) for c in table.columns])
+    writer = flat.write.mode("overwrite")
+    writer.option("header", True).csv(path) if form == "csv" else writer.json(path)
+
+
+def read_statements(spark: SparkSession, folder: str, kinds: list[str], key: str) -> DataFrame:
+    """Statements of all report dates: files {folder}/{period}/{kind}.csv, the first kind's rows with the others' columns
+    prefixed by their kind. One scan for each kind over all periods; a period without a kind has nulls there."""
+    parts = {}
+    for kind in kinds:
+        rows = spark.read.csv(f"{folder.rstrip('/')}/*/{kind}.csv", header=True)
+        parts[kind] = rows.withColumn("period", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv$", 1))
+    return join_statements(parts, [key, "period"])
+
+
+def new_statements(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """known with the rows of report periods that it lacks."""
+    return known.unionByName(rows.join(known.select("period").distinct(), "period", "left_anti").select(known.columns))
+
+
+def of_entities(spark: SparkSession, path: str, entities: list[str], dates: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of a Parquet table for the given entities, and dates; both conditions reach the scan."""
+    rows = spark.read.parquet(path).filter(F.col("entity").isin(entities))
+    return rows if dates is None else rows.filter(F.col("date").between(*[F.lit(d).cast("date") for d in dates]))
+
+
+def reused(panel: DataFrame, path: str, inputs: list[DataFrame]) -> DataFrame:
+    """panel as stored at path if it was stored for the same inputs (fingerprints of their rows), else written there."""
+    spark = panel.sparkSession
+    marks = "-".join(f"{r['rows']}-{r['digest'] & (1 << 64) - 1:x}" for r in (fingerprint(i).first() for i in inputs))
+    at = f"{path.rstrip('/')}/{marks}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        panel.write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def standard_bars(spark: SparkSession, raw_folder: str, path: str, first: str, last: str) -> DataFrame:
+    """Raw bars of all entities between two dates written as one Parquet table in the standard columns."""
+    rows = read_raw_bars(spark, raw_folder).filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & F.col("close").isNotNull())
+    rows.repartition("entity").sortWithinPartitions("entity", "date").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

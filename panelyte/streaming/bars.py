@@ -1,11 +1,11 @@
-"""Bars from a stream of events, and keyed upserts of daily increments."""
+"""Bars from a stream of events, keyed increments per micro-batch, means that carry their state on."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from panelyte.operators.clean import upsert
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -23,16 +23,49 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def upsert_stream(updates: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Start a stream that keeps the table at path up to date by keys: versions v0, v1, … of which the last counts.
+def upsert_stream(updates: DataFrame, path: str, checkpoint: str):
+    """Start a stream that appends each micro-batch to the table at path as its own folder batch=<number>.
 
-    Each micro-batch reads the version before and writes the next one, named by its batch, so a repeated batch writes
-    the same version again.
+    A batch writes its own rows only, and a repeated batch writes the same folder again; latest() gives the rows that
+    count, and compact() puts them into one folder.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = upsert(batch.sparkSession.read.parquet(f"{path}/v{number - 1}"), batch, keys)
-        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The last batch's row of each key of a table that upsert_stream writes; one aggregation with partial maxima."""
+    values = [c for c in table.columns if c not in keys and c != "batch"]
+    found = table.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("row"))
+    return found.select(*keys, *[F.col(f"row.`{c}`").alias(c) for c in values])
+
+
+def compact(table: DataFrame, path: str, keys: list[str]) -> None:
+    """The rows that count, as a new table at path that later batches can follow (batch -1)."""
+    latest(table, keys).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+
+def running_means(updates: DataFrame, half_life: float) -> DataFrame:
+    """(entity, date, mean): exponential means of updates (entity, date, value), batch or stream, that go on from the state
+    of earlier micro-batches. A row whose date is not after the state's last one was seen before and changes nothing.
+    """
+    keep = 0.5 ** (1 / half_life)
+
+    def step(key, frames, state):
+        mean, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values("date")
+        out = []
+        for date, value in zip(rows["date"], rows["value"], strict=True):
+            if last is not None and str(date) <= last:
+                continue
+            mean = value if mean is None else mean * keep + value * (1 - keep)
+            last = str(date)
+            out.append((key[0], date, mean))
+        if last is not None:
+            state.update((mean, last))
+        yield pd.DataFrame(out, columns=["entity", "date", "mean"])
+
+    return updates.groupBy("entity").applyInPandasWithState(step, "entity string, date date, mean double", "mean double, last string", "append", GroupStateTimeout.NoTimeout)

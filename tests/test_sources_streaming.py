@@ -8,7 +8,7 @@ from panelyte.operators import groups as G
 from panelyte.operators import select as S
 from panelyte.operators import swing
 from panelyte.sources import files
-from panelyte.streaming.bars import hourly, upsert_stream
+from panelyte.streaming.bars import compact, hourly, latest, running_means, upsert_stream
 
 
 def test_bar_files_prefer_the_first_kind(spark, tmp_path):
@@ -63,10 +63,49 @@ def test_hourly_bars_from_a_stream(spark, tmp_path):
 
 def test_upsert_stream_keeps_the_last_row(spark, tmp_path):
     (tmp_path / "u").mkdir()
-    for n, rows in enumerate(([(1, "a"), (2, "b")], [(2, "c"), (3, "d")])):
+    for n, rows in enumerate(([(1, "a"), (2, "b")], [(2, "c"), (3, None)])):
         (tmp_path / "u" / f"{n}.json").write_text("\n".join(json.dumps({"k": k, "v": v}) for k, v in rows))
-        upsert_stream(spark.readStream.schema("k int, v string").json(f"file://{tmp_path}/u"), f"file://{tmp_path}/t", ["k"], f"file://{tmp_path}/c").awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"file://{tmp_path}/t/v1").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+        upsert_stream(spark.readStream.schema("k int, v string").json(f"file://{tmp_path}/u"), f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
+    table = spark.read.parquet(f"file://{tmp_path}/t")
+    want = [(1, "a"), (2, "c"), (3, None)]
+    assert table.filter("batch = 1").count() == 2 and sorted((r.k, r.v) for r in latest(table, ["k"]).collect()) == want
+    compact(table, f"file://{tmp_path}/t2", ["k"])
+    assert sorted((r.k, r.v) for r in latest(spark.read.parquet(f"file://{tmp_path}/t2"), ["k"]).collect()) == want
+
+
+def test_running_means_go_on_from_their_state(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for n, rows in enumerate(([("a", "2024-01-01", 1.0), ("a", "2024-01-02", 3.0), ("b", "2024-01-01", 5.0)], [("a", "2024-01-02", 99.0), ("a", "2024-01-03", 2.0)])):
+        (tmp_path / "m" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("entity", "date", "value"), r, strict=True))) for r in rows))
+        means = running_means(spark.readStream.schema("entity string, date date, value double").json(f"file://{tmp_path}/m"), 1.0)
+        means.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.entity, str(r.date), r["mean"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    assert got == [("a", "2024-01-01", 1.0), ("a", "2024-01-02", 2.0), ("a", "2024-01-03", 2.0), ("b", "2024-01-01", 5.0)]
+
+
+def test_signals_reports_statements_and_reuse(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-02", True, 0.5), ("a", "2024-02-02", False, -0.5)], "entity string, date string, buy boolean, score double").withColumn("date", F.to_date("date"))
+    path = f"file://{tmp_path}/signals"
+    files.write_signals(rows, path)
+    files.write_signals(rows.filter("date > '2024-02-01'").withColumn("score", F.lit(9.0)), path)
+    got = files.read_signals(spark, path)
+    assert sorted((str(r.date), r.score, r.sell, r.factor_name) for r in got.collect()) == [("2024-01-02", 0.5, None, None), ("2024-02-02", 9.0, None, None)]
+    files.write_report(rows.withColumn("tags", F.array(F.lit("x"))), f"file://{tmp_path}/r")
+    assert spark.read.csv(f"file://{tmp_path}/r", header=True).filter("tags = '[\"x\"]'").count() == 2
+    for period in ("20231231", "20240331"):
+        (tmp_path / "st" / period).mkdir(parents=True)
+        (tmp_path / "st" / period / "main.csv").write_text(f"code,eps\n1,{period[-4:]}\n2,7\n")
+    (tmp_path / "st" / "20231231" / "lrb.csv").write_text("code,cost\n1,5\n")
+    all_of = files.read_statements(spark, f"file://{tmp_path}/st", ["main", "lrb"], "code")
+    assert sorted((r.period, r.code, r.lrb_cost) for r in all_of.collect()) == [("20231231", "1", "5"), ("20231231", "2", None), ("20240331", "1", None), ("20240331", "2", None)]
+    assert files.new_statements(all_of.filter("period = '20231231'"), all_of).count() == 4
+    rows.write.parquet(f"file://{tmp_path}/bars")
+    scan = files.of_entities(spark, f"file://{tmp_path}/bars", ["a"], ("2024-01-01", "2024-01-31"))
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert scan.count() == 1 and "EqualTo(entity,a)" in plan and "GreaterThanOrEqual(date" in plan
+    first = files.reused(rows, f"file://{tmp_path}/panel", [rows])
+    again = files.reused(rows.limit(0), f"file://{tmp_path}/panel", [rows.orderBy("date")])
+    assert first.count() == again.count() == 2
 
 
 def test_swings_alternate_and_are_known_later(spark):
@@ -75,15 +114,64 @@ def test_swings_alternate_and_are_known_later(spark):
     got = swing.strokes(df).orderBy("id").collect()
     assert [(r.start_ord, r.end_ord, r.direction) for r in got] == [(4, 8, -1), (8, 13, 1)]
     assert all(r.confirmed_ord > r.end_ord for r in got)
-    assert swing.merge_contained([5, 4, 6], [1, 2, 3]) == [(1, 5, 2), (2, 6, 3)]
-    zones = swing.pivots(spark.createDataFrame([("a", i, i, i + 1, 1, h, lo, i + 2) for i, (h, lo) in enumerate([(10.0, 5.0), (9.0, 4.0), (8.0, 6.0)])], "entity string, id long, start_ord long, end_ord long, direction int, high double, low double, confirmed_ord long")).collect()
-    assert [(z.zg, z.zd) for z in zones] == [(8.0, 6.0)]
+    assert swing.merge_contained([5, 4, 6], [1, 2, 3]) == [[0, 0, 5, 1], [1, 1, 4, 2], [2, 2, 6, 3]]
+    assert swing.merge_contained([5, 6, 5.5], [1, 2, 3]) == [[0, 0, 5, 1], [1, 2, 6, 3]]
+
+
+def zigzag(turns):
+    """Bars of one step each through the turning prices, and the bar of each turn."""
+    out, at = [], []
+    for a, b in zip(turns, turns[1:]):
+        out += [a + (b - a) * k / 5 for k in range(5)]
+        at.append(len(out) - 5)
+    return [*out, float(turns[-1])], [*at, len(out)]
+
+
+def test_segments_and_pivots_on_a_zigzag(spark):
+    turns = [5, 20, 10, 25, 15, 30, 18, 26, 12, 24, 10, 22, 14, 40, 30, 50, 36, 60, 20]
+    path, at = zigzag(turns)
+    df = spark.createDataFrame([("z", i, p + 0.5, p - 0.5) for i, p in enumerate(path)], "entity string, ord int, high double, low double")
+    every = swing.swings(df).collect()
+    lines = sorted((r for r in every if r.kind == "stroke"), key=lambda r: r.id)
+    assert [(r.start_ord, r.end_ord, r.direction) for r in lines] == [(a, b, 1 if y > x else -1) for a, b, x, y in zip(at[1:-1], at[2:-1], turns[1:], turns[2:])]
+    parts = sorted((r for r in every if r.kind == "segment"), key=lambda r: r.id)
+    # each segment starts with its own direction, holds three strokes at least and touches the next one
+    assert all(r.parts >= 3 and r.direction == lines[sum(p.parts for p in parts[: r.id])].direction for r in parts)
+    assert all(a.end_ord <= b.start_ord for a, b in zip(parts, parts[1:]))
+    for r in parts:
+        inside = [s for s in lines if r.start_ord <= s.start_ord and s.end_ord <= r.end_ord]
+        assert (r.high, r.low) == (max(s.high for s in inside), min(s.low for s in inside))
+    zones = [r for r in every if r.kind == "pivot"]
+    for z in zones:
+        three = [p for p in parts if p.start_ord >= z.start_ord][:3]
+        assert (z.high, z.low) == (min(p.high for p in three), max(p.low for p in three)) and z.high > z.low
+
+
+def test_pivots_merge_and_trend():
+    part = lambda start, high, low: {"start": start, "end": start + 1, "direction": 1, "high": high, "low": low, "strokes": 3, "known": start + 2}
+    zones = swing.pivot_list([part(k, h, lo) for k, (h, lo) in enumerate([(10, 5), (9, 4), (8, 6), (8, 6.5), (20, 12), (19, 11), (18, 13)])])
+    assert (zones[0]["zg"], zones[0]["zd"], zones[0]["segments"]) == (8, 6, 5) and zones[-1]["zd"] == 13 and zones[-1]["trend"] == 1
+    assert swing.pivot_list([part(0, 3, 1), part(1, 6, 4)]) == []
+
+
+def test_structure_never_looks_at_unfinished_pivots(spark):
+    path, _ = zigzag([5, 20, 10, 25, 15, 30, 18, 26, 12, 24, 10, 22, 14, 40, 30, 50, 36, 60, 20, 35, 25, 45])
+    df = spark.createDataFrame([("z", i, i, p + 0.5, p - 0.5, p, float(i % 7)) for i, p in enumerate(path)], "entity string, date int, ord int, high double, low double, close double, macd double")
+    rows = swing.structure(df).orderBy("ord").collect()
+    zones = swing.pivots(df.select("entity", "ord", "high", "low")).orderBy("id").collect()
+    for r in rows:
+        done = [z for z in zones if z.end_ord <= r.ord]
+        want = 0 if not done else 1 if r.close > done[-1].zg else -1 if r.close < done[-1].zd else 0
+        assert r.pivot_position == want
+        assert r.pivot_present == any(z.start_ord <= r.ord <= z.end_ord for z in zones)
 
 
 def test_weights_are_capped_and_parity_is_equal(spark):
     chosen = spark.createDataFrame([(1, "a", "g", 1, 0.1), (1, "b", "g", 2, 0.2), (1, "c", "h", 3, 0.4)], "date int, entity string, grp string, place int, vol double")
-    w = {r.entity: r.weight for r in S.rank_decay_weights(chosen, 0.5, 0.5, 0.6).collect()}
-    assert abs(w["a"] + w["b"] - 0.6) < 1e-12 and max(w.values()) <= 0.5
+    w = {r.entity: r.weight for r in S.rank_weights(chosen, 0.5, 0.5, 0.6).collect()}
+    assert abs(w["a"] + w["b"] - 0.6) < 1e-12 and max(w.values()) <= 0.5 and abs(w["c"] - 0.5 / 2.25) < 1e-12
+    few = {r.entity: r.weight for r in S.rank_weights(chosen, 0.5, 0.2, 1.0, positions=6).collect()}
+    assert max(few.values()) <= 0.3 + 1e-12 and abs(few["a"] - 0.3) < 1e-12
     p = [r.weight * r.vol for r in S.risk_parity(chosen, "vol").collect()]
     assert max(p) - min(p) < 1e-9
     orders = S.order_diff(spark.createDataFrame([("a", 0.5), ("b", 0.1)], "entity string, weight double"), spark.createDataFrame([("b", 1000), ("c", 5)], "entity string, qty int"), spark.createDataFrame([("a", 10.0), ("b", 10.0), ("c", 1.0)], "entity string, price double"), 10000.0)
