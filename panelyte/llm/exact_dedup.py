@@ -33,9 +33,9 @@ def on_files(docs: DataFrame) -> DataFrame:
         return materialize(docs, "rows")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs read from files, with `__at`, the place of each row's content."""
-    return docs.select("*", F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string")).alias("__at"))
+def place() -> Column:
+    """Where a row's content is: file and row."""
+    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
 
 
 def stream_state(log: str, schema, files_per_batch: int, spark) -> DataFrame:
@@ -79,9 +79,8 @@ def dedup_rows(
     key maps the SHA-256 of the normalised text to the state's key; a weaker key only makes more hits to compare.
     """
     spark = docs.sparkSession
-    rows = located(on_files(docs))
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    rows = rows.select(F.col(id_col).alias("id"), norm.alias("norm"), "__at").withColumn("text_sha256", F.sha2("norm", 256)).withColumn("__key", key(F.col("text_sha256")))
+    rows = on_files(docs).select(F.col(id_col).alias("id"), norm.alias("norm"), place().alias("__at")).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("__key", key(F.col("text_sha256")))
     log_path = scratch(spark, "digests")
     facts = rows.select("id", "text_sha256", "__key", "__at")
     facts.write.parquet(log_path)
@@ -123,7 +122,8 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    """The rows of docs that exact_dedup() keeps, with all their columns, whatever their names."""
     docs = on_files(docs)
     gone = materialize(dedup_rows(docs, **options).filter(~F.col("kept")).select("__at"), "gone")
-    return located(docs).join(gone, "__at", "left_anti").drop("__at")
+    rows = docs.select(F.struct("*").alias("row"), place().alias("__at"))
+    return rows.join(gone, "__at", "left_anti").select("row.*")

@@ -1,14 +1,18 @@
 """Operators 6 and 7: contract values by brute force, held-out quality; the pipeline stage by stage."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from panelyte.llm.attention_lm import NONE, Model, Shape, lm_scores, start_weights, train_round, window_batches, window_groups
+from panelyte.llm import quality
 from panelyte.llm.quality import score_quality
 
 JSON = P.path("byte_bpe_50k.json")
@@ -119,6 +123,81 @@ def test_quality(spark, sf):
     assert score_quality(odd.limit(0), labels).collect() == []
 
 
+def plain_score(text, weights, bits=18, scale=20.0):
+    """The classifier's score, feature by feature in Python integers."""
+    mask = (1 << 64) - 1
+    k = [int(x) for x in quality._K]
+    words = quality._TOKEN.findall(text)
+    hashes = [(xxhash.xxh32_intdigest(w.encode()), xxhash.xxh32_intdigest(quality.shape(w).encode())) for w in words]
+    w = [a for a, _ in hashes]
+    f = [b if i == 0 else b * 2 + (w[i] == w[i - 1]) for i, (_, b) in enumerate(hashes)]
+    grams = [(x + 1) * k[0] for x in w] + [(a * k[1] + b + 2) * k[0] for a, b in zip(w, w[1:])] + [(a * k[2] + b + 3) * k[3] for a, b in zip(f, f[1:])] + [((a * k[2] + b) * k[1] + c + 4) * k[3] for a, b, c in zip(f, f[1:], f[2:])]
+    total = 0.0
+    for g in grams:
+        g &= mask
+        total += float(weights[((g ^ (g >> 29)) * k[0] & mask) >> (64 - bits)])
+    return total * scale / max(len(grams), 1) + float(weights[-1])
+
+
+def odd_documents(spark, sf):
+    """Documents of the smallest table with null ids and texts, empty and long texts, copies, near copies, ties and a
+    column whose name the operators use themselves."""
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").limit(60).collect()]
+    base = " ".join(f"word{i}" for i in range(200))
+    text = real[3][1]
+    more = [(900, None, "en", "s", None), (901, "", "en", "s", 0), (902, base, "en", "s", 1), (903, base.replace("word7 ", "other "), "en", "s", 1), (904, base.replace(" ", "  "), None, None, 1), (None, base, "en", "s", 1), (905, text, "en", "s", 1), (905, text, "en", "s", 1), (906, "mail me at a.b@example.org or +49 30 1234567 now", "en", "s", 1), (907, "long " * 60_000, "en", "s", 1)]
+    return spark.createDataFrame([(*r, "x", "y", "z") for r in real + more], "doc_id long, text string, lang string, source string, n_chars long, __at string, __text string, row string")
+
+
+def test_pipeline_stages_by_brute_force(spark, sf):
+    docs = odd_documents(spark, sf)
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "PII", "packing"]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    weights, rows = quality.fit(docs, labels), docs.collect()
+    key = lambda r: (str(r.doc_id), r.text or "")
+    kept = stages["quality classifier"](spark, docs, sf).collect()
+    scores = [plain_score(r.text or "", weights) for r in rows]
+    sure = [(r, s) for r, s in zip(rows, scores) if abs(s) > 1e-4]
+    assert {key(r) for r, s in sure if s > 0} <= {key(r) for r in kept} and not {key(r) for r, s in sure if s < 0} & {key(r) for r in kept}
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = {}
+    for r in rows:
+        groups.setdefault(norm(r.text), []).append(r.doc_id)
+    least = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    exact = stages["exact dedup"](spark, docs, sf)
+    assert exact.columns == corpus_pipeline.COLUMNS
+    assert sorted((norm(r.text), str(r.doc_id)) for r in exact.collect()) == sorted((t, str(i)) for t, i in least.items())
+
+    near = sorted(str(r.doc_id) for r in stages["n-gram Jaccard join"](spark, docs, sf).collect())
+    sets = [set(zip(*[w[k:] for k in range(min(5, len(w)))])) if (w := (r.text or "").encode().lower().split()) else set() for r in rows]
+    up = list(range(len(rows)))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    members = {}
+    for i, r in enumerate(rows):
+        members.setdefault(find(i), []).append(r)
+    # equal rows stay together, so a group's first row counts as often as it is repeated
+    first = [min(m, key=lambda r: (r.doc_id is None, r.doc_id or 0)).doc_id for m in members.values()]
+    want = [str(r.doc_id) for i, r in enumerate(rows) if not sets[i] or r.doc_id in first and r.doc_id == min((x.doc_id for x in members[find(i)] if x.doc_id is not None), default=None)]
+    assert near == sorted(want)
+
+    clean = {key_of.doc_id: key_of for key_of in stages["PII"](spark, docs.filter("doc_id > 899"), sf).collect()}
+    assert "at [EMAIL] or [PHONE] " in clean[906].text and clean[900].text == "" and clean[907].n_chars == 300_000 and clean[902].text == rows[-8].text
+    assert all(r.n_chars == len(r.text) for r in clean.values())
+
+    pieces = stages["packing"](spark, docs, sf).collect()
+    encode = Tokenizer.from_file(JSON).encode
+    lengths = Counter(len(encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert sum(p.length for p in pieces) == sum(n * k for n, k in lengths.items()) and {p.doc_id for p in pieces} == {r.doc_id for r in rows}
+    assert all(stage(spark, docs.limit(0), sf).collect() == [] for _, stage in corpus_pipeline.STAGES)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "PII", "packing"]
