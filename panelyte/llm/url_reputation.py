@@ -20,6 +20,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: Labels that form a public suffix with a country's label.
+SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "or", "org"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,16 +52,20 @@ def strength(groups: DataFrame, least: float, most: float) -> DataFrame:
 def host_reputation(pages: DataFrame, labels: DataFrame, z: float, least: float, most: float) -> DataFrame:
     """(host, domain, suffix, n, bad, alpha, beta, bound): posterior of each host's rate of bad pages.
 
-    pages has (id, host), labels (id, bad); hosts without labelled pages get what their domain predicts.
+    pages has (id, host), labels (id, bad); hosts without labelled pages get what their domain predicts. A port does
+    not count; the suffix is the last label, or the last two of three and more where they are one of SECOND_LEVEL and a
+    label of two letters; the registered domain has one label more.
     """
-    parts = F.split("host", r"\.")
+    parts = F.split(F.regexp_replace("host", ":[0-9]*$", ""), r"\.")
     size = F.size(parts)
+    double = (size > 2) & (F.length(F.element_at(parts, -1)) == 2) & F.get(parts, size - 2).isin(SECOND_LEVEL)
+    labels_of = F.when(double, 2).otherwise(1)
     hosts = (
         pages.join(labels, "id", "left")
         .groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("suffix", F.element_at(parts, -1))
-        .withColumn("domain", F.when(size > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host")))
+        .withColumn("suffix", F.concat_ws(".", F.slice(parts, size - labels_of + 1, labels_of)))
+        .withColumn("domain", F.concat_ws(".", F.slice(parts, F.greatest(size - labels_of, F.lit(1)), labels_of + 1)))
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -131,9 +137,9 @@ def oracle(limit: float = 0.3, z: float = 1.645, least: float = 2.0, most: float
     with cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
     r as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
     marks as (select doc_id as id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where quality is not null or toxic is not null group by 1),
-    hosts as (select host, count(bad) as n, coalesce(sum(bad), 0)::bigint as bad, list_extract(string_split(host, '.'), -1) as suffix,
-      case when contains(host, '.') then list_extract(string_split(host, '.'), -2) || '.' || list_extract(string_split(host, '.'), -1) else host end as domain
-      from r left join marks on page_id = id group by host),
+    hosts0 as (select host, count(bad) as n, coalesce(sum(bad), 0)::bigint as bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as ls from r left join marks on page_id = id group by host),
+    hosts1 as (select *, case when len(ls) > 2 and length(ls[-1]) = 2 and ls[-2] in ({', '.join(f"'{x}'" for x in SECOND_LEVEL)}) then 2 else 1 end as k from hosts0),
+    hosts as (select host, n, bad, array_to_string(ls[len(ls) - k + 1:], '.') as suffix, array_to_string(ls[greatest(len(ls) - k, 1):], '.') as domain from hosts1),
     domains as (select domain, suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from hosts group by 1, 2),
     suffixes as (select suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from domains group by 1),
     ws as ({weight("suffixes")}), wd as ({weight("domains")}), wh as ({weight("hosts")}),

@@ -12,7 +12,7 @@ from panelyte.llm.components import components
 from panelyte.llm.embed_dedup import embedding_dedup
 from panelyte.llm.exact_dedup import drop_copies, exact_dedup
 from panelyte.llm.jaccard import PartEnum, Shingler, drop_near_copies, jaccard_join
-from panelyte.llm.url_reputation import filter_urls
+from panelyte.llm.url_reputation import filter_urls, host_reputation
 
 
 class Links:
@@ -68,6 +68,9 @@ def test_urls_odd_rows(spark):
     assert got[8] == ("spam.org", "/", None, "block") and got[None][2] == "com/" and got[10][2] is None and len(got) == 92
     assert filter_urls(pages, labels.limit(0)).filter("verdict = 'block' and rule is null").count() == 0
     assert filter_urls(pages.limit(0), labels).collect() == []
+    hosts = spark.createDataFrame([(1, "a.b.co.uk"), (2, "b.co.uk:8080"), (3, "org:8080"), (4, "x.y.org"), (5, ""), (6, "co.uk"), (7, "a.b.de")], "id long, host string")
+    told = {r.host: (r.domain, r.suffix) for r in host_reputation(hosts, spark.createDataFrame([], "id long, bad long"), 1.6, 2.0, 200.0).collect()}
+    assert told == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "org:8080": ("org", "org"), "x.y.org": ("y.org", "org"), "": ("", ""), "co.uk": ("co.uk", "uk"), "a.b.de": ("b.de", "de")}
 
 
 def brute_links(rows, threshold):
