@@ -60,9 +60,13 @@ def squash(x: str) -> str:
     return f"atan({x}) / (pi() / 2)"
 
 
-def pick(columns: dict[str, str], digits: int = 6) -> str:
-    """Rounded columns; those that start with '=' as they are."""
-    return ", ".join(f"{v[1:]} as {k}" if v[0] == "=" else f"round(({v})::double, {digits}) as {k}" for k, v in columns.items())
+def pick(columns: dict[str, str], digits: int = 6, nudge: str = "") -> str:
+    """Rounded columns; those that start with '=' as they are. Prices end in a half at any digit: a nudge of 1e-9 first
+    makes both engines round them alike."""
+    return ", ".join(f"{v[1:]} as {k}" if v[0] == "=" else f"round(({v})::double{nudge}, {digits}) as {k}" for k, v in columns.items())
+
+
+NUDGE = " + 1e-9"
 
 
 E = "1e-10"
@@ -81,8 +85,10 @@ def prepared(spark, sf_dir):
     return FA.with_volatility(FA.prepare(p))
 
 
-def chosen(df, columns, digits=6):
-    return rounded(df.select("entity", "date", *[c.alias(k) for k, c in columns.items()]), digits)
+def chosen(df, columns, digits=6, nudge=0.0):
+    out = df.select("entity", "date", *[c.alias(k) for k, c in columns.items()])
+    nudged = [F.col(f.name) + nudge if f.dataType.simpleString() == "double" else F.col(f.name) for f in out.schema.fields]
+    return rounded(out.select(*[c.alias(f.name) for c, f in zip(nudged, out.schema.fields, strict=True)]) if nudge else out, digits)
 
 
 _MEANS = {f"ma{n}": f"ma{n}" for n in (5, 10, 20, 30, 60)}
@@ -96,11 +102,11 @@ select entity, date, {pick({
     'price_ma_30': f'close / (ma30 + {E}) - 1', 'price_ma_60': f'close / (ma60 + {E}) - 1', 'ma_cross_10_60': f'ma10 / (ma60 + {E}) - 1', 'ma_cross_10_20': f'ma10 / (ma20 + {E}) - 1',
     'ma_golden_20_60': 'case when ma20 > ma60 then 1 else 0 end', 'ma_all': 'case when ma5 > ma20 and ma20 > ma60 then 1 else 0 end', 'trend_30': f'(close - ma30) / (ma30 + {E})',
     'ema5_above_20': '=ema5 > ema20', 'ema20_above_60': '=ema20 > ema60', 'full_golden': '=ema5 > ema20 and ema20 > ema60', 'full_death': '=ema5 < ema20 and ema20 < ema60',
-}, 4)} from m""")
+}, 4, NUDGE)} from m""")
 def factor_trend(spark, sf_dir):
     p = FA.exponential(prepared(spark, sf_dir))
     kept = {c: F.col(c) for c in (*[f"ema{n}" for n in (5, 10, 20, 60, 120, 250)], "macd", "macd_signal", "macd_hist")}
-    return chosen(p, kept | FA.trend_family(p), 4)
+    return chosen(p, kept | FA.trend_family(p), 4, 1e-9)
 
 
 @query(f"""{BASE}, {EMAS}, m as (select *, {', '.join(f'{rsi(n)} as rsi_{n}' for n in (6, 8, 10, 14))}, {', '.join(f"{sma('tr', n)} as atr_{n}" for n in (10, 14, 20))}, {full(f'stddev_pop(close) {over(19)}', 20)} as sd,
@@ -110,10 +116,10 @@ select entity, date, {pick({
     'bb_pos_30': f'(close - ma20 + 2 * sd) / (4 * sd + {E})', **{f'atr_{n}': f'atr_{n}' for n in (10, 14, 20)}, 'atr_ratio': f'atr_14 / (close + {E})', 'high_20': 'high_20', 'low_20': 'low_20',
     'price_position_20': f'(close - low_20) / (high_20 - low_20 + {E})', 'rsi_vol_combo': 'tanh((50 - rsi_14) / 100 - 0.5 * volatility_20)',
     'bb_rsi_combo': f'tanh((50 - rsi_14) / 100 - 0.3 * (close - ma20 + 2 * sd) / (4 * sd + {E}))', 'trend_lowvol': f'tanh(-50 * (ema20 - ema60) / (ema60 + {E}) * atr_14 / (close + {E}))',
-})} from m""")
+}, 6, NUDGE)} from m""")
 def factor_oscillators(spark, sf_dir):
     p = FA.exponential(prepared(spark, sf_dir))
-    return chosen(p, FA.oscillator_family(p))
+    return chosen(p, FA.oscillator_family(p), 6, 1e-9)
 
 
 def _down(n: int) -> str:
