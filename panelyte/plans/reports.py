@@ -290,3 +290,18 @@ def strategy_blend(spark, sf_dir):
     d = diagnosed(spark, sf_dir).filter("vol_20 is not null")
     m = RG.blend(F.when(c("confirmed_buy"), 1).otherwise(0), c("buy_point"), c("sell_point"), c("trend_type"), F.abs(1 - c("alignment")), F.when(c("trend_type") == -2, -1).otherwise(0))
     return rounded(d.select("entity", "date", m.alias("multiplier"), SG.vote([F.tanh("mom_20"), -c("vol_20"), F.tanh(c("vr_20") - 1)]).alias("vote")))
+
+
+_T = "(abs(t) / sqrt(2.0))"
+_K = f"(1 / (1 + 0.3275911 * {_T}))"
+_ERF = f"(1 - {_K} * (0.254829592 + {_K} * (-0.284496736 + {_K} * (1.421413741 + {_K} * (-1.453152027 + {_K} * 1.061405429)))) * exp(-{_T} * {_T}))"
+
+
+@query(f"""{P}, ic as {ic_sql()}, s as (select factor, count(*) as n_dates, avg(ic) as ic_mean, avg(ic) / stddev_pop(ic) as ir, abs(sum(sign(round(ic, 9)))) / count(*) as stability, avg(case when round(ic, 9) > 0 then 1.0 else 0.0 end)::double as hit_rate from ic group by 1),
+qt as (select *, ir * sqrt(n_dates) as t from s), qp as (select *, 1 - 0.5 * (1 + {_ERF}) as p from qt)
+select factor, {r6('ic_mean', 'ir', 'stability', 'hit_rate', 'p')} from qp where abs(ic_mean) > 0.001 and abs(ir) > 0.001 and p < 0.45 and greatest(hit_rate, 1 - hit_rate) >= 0.5 and stability >= 0.01 and n_dates >= 10""")
+def quality_filter(spark, sf_dir):
+    """Factors whose ICs pass the chain of conditions, with the one-sided p value of |t|."""
+    s = IC.summarize(IC.rank_ic(IC.melt(factor_panel(spark, sf_dir), FACTORS, "target")))
+    kept = IC.passes(s, 0.001, 0.001, 0.45, 0.5, 0.01, 10)
+    return rounded(kept.select("factor", "ic_mean", "ir", "stability", "hit_rate", "p"))

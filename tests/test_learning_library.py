@@ -10,7 +10,9 @@ from panelyte.operators import fundamentals as FU
 from panelyte.operators import ic as IC
 from panelyte.operators import library as LB
 from panelyte.operators import ml
+from panelyte.operators import select as S
 from panelyte.operators import signals as SG
+from panelyte.operators.asof import in_interval
 
 
 def panel(spark, dates=60, entities=12):
@@ -81,3 +83,21 @@ def test_flow_falls_back_without_amounts(spark):
     rows = [(d, None, 2.0, 1.0) for d in range(1, 9)]
     out = FL.market_flow(spark.createDataFrame(rows, "date int, net_flow double, lead_change double, index_change double")).orderBy("date").collect()
     assert [r.signal for r in out[:4]] == [0.0] * 4 and 0 < out[-1].signal < 1
+
+
+def test_weights_of_tired_names_and_groups(spark):
+    rows = spark.createDataFrame([("a", 0.20, 0.7, 0.10, 1.0, None), ("b", 0.20, 0.5, None, 0.5, 1.1), ("c", 0.20, 0.1, 0.01, None, None)], "entity string, w double, risk double, ic double, conf double, sent double")
+    got = rows.select(S.tired(F.col("w"), F.col("risk")).alias("t"), S.ic_multiplier(F.col("ic"), F.col("conf"), F.col("sent")).alias("m")).collect()
+    assert [round(r.t, 9) for r in got] == [0.05, 0.12, 0.2] and [round(r.m, 9) for r in got] == [1.5, 0.55, 0.6]
+
+
+def test_resonance_counts_agreeing_systems(spark):
+    rows = SG.defaults(spark.createDataFrame([(0.1, 0.6, 1, 0.4, 1), (-0.5, 0.4, -1, 0.1, -1), (0.0, 0.6, 0, 0.4, 0)], "score double, capital_flow_score double, capital_flow_direction int, news_score double, news_direction int"))
+    buys, sells = SG.resonance(F.col("score"))
+    assert [(r.b, r.s) for r in rows.select(buys.alias("b"), sells.alias("s")).collect()] == [(3, 0), (0, 2), (0, 0)]
+
+
+def test_rows_meet_the_spans_they_lie_in(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5)], "k string, t int")
+    spans = spark.createDataFrame([("a", 1, 5, "x"), ("a", 5, 9, "y"), ("c", 0, 9, "z")], "k string, lo int, hi int, name string")
+    assert sorted((r.k, r.t, r.name) for r in in_interval(rows, spans, ["k"], "t", "lo", "hi").collect()) == [("a", 1, "x"), ("a", 5, "x"), ("a", 5, "y")]
