@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelyte.llm import url_reputation
+from panelyte.llm import chat_format, lexical_search, url_reputation
 from panelyte.llm.attention_lm import lm_scores
 from panelyte.llm.bpe_fst import encode_decode
 from panelyte.llm.embed_dedup import embedding_dedup
@@ -14,6 +15,7 @@ from panelyte.llm.jaccard import jaccard_join
 from panelyte.llm.packing import pack
 from panelyte.llm.pii import find_personal_data
 from panelyte.llm.quality import score_quality
+from panelyte.llm.repair import damaged, repair_conversations
 from panelyte.llm.shared import table
 from panelyte.llm.token_counts import token_counts
 
@@ -65,6 +67,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mixed = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(mixed)))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"), keep_turns=False)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -76,6 +92,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_personal_data": op9_personal_data,
     "op10_jaccard": op10_jaccard,
+    "op11_chat_format": op11_chat_format,
+    "op12_repair": op12_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": url_reputation.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+    "op3_url_reputation": url_reputation.oracle(),
+    "op11_chat_format": chat_format.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
+}
