@@ -6,6 +6,8 @@ them onto the bars. Every swing carries the bar on which it is known (confirmed_
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,7 @@ def stroke_list(points: list[tuple], high: list[float], low: list[float], apart:
     """Strokes from a point to the first later one of the other kind that is `apart` bars away and on the right side of
     its price; the next stroke starts there. Where none follows, the list ends."""
     out, k = [], 0
+    points = [(bar, kind, high[bar] if kind > 0 else low[bar], known) for bar, kind, _, known in points]
     while k < len(points):
         bar, kind, price, _ = points[k]
         end = next((j for j in range(k + 1, len(points)) if points[j][1] != kind and points[j][0] - bar >= apart and kind * (price - points[j][2]) > 0), None)
@@ -163,7 +166,8 @@ def structure(df: DataFrame, apart: int = 4) -> DataFrame:
     the trend type (0 none, 1 sideways, 2 up, -2 down) with its strength, and the area divergence of the last two
     directional pivots that are finished by the bar.
 
-    Swings are those of the whole history; a bar only takes pivots whose end it has reached. The trend follows the last
+    Swings are those of the whole history, so a bar shows what only later bars settle (a study of the past, not a signal;
+    swing_state.known_structure() says what is known). A bar only takes pivots whose end it has reached. The trend follows the last
     pivot in order that has a trend; strengths grow with pivots of one trend in a row and do not fall.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -186,7 +190,7 @@ def structure(df: DataFrame, apart: int = 4) -> DataFrame:
             span = slice(z["start"], z["end"] + 1)
             size = z["end"] + 1 - z["start"]
             cols["pivot_present"][span], cols["pivot_zg"][span], cols["pivot_zd"][span] = [True] * size, [z["zg"]] * size, [z["zd"]] * size
-        strength = [0.0] * n
+        strength, rises = [0.0] * n, []
         if len(zones) == 1:
             cols["trend_type"][zones[0]["end"] :] = [1] * (n - zones[0]["end"])
             strength[zones[0]["end"] :] = [0.3] * (n - zones[0]["end"])
@@ -195,12 +199,14 @@ def structure(df: DataFrame, apart: int = 4) -> DataFrame:
             run_of, last = (run_of + 1 if z["trend"] == last else 1, z["trend"]) if z["trend"] else (0, 0)
             if z["trend"]:
                 cols["trend_type"][z["end"] :] = [2 * z["trend"]] * (n - z["end"])
-                strength[z["end"] :] = [max(s, min(0.9, 0.5 + run_of * 0.15)) for s in strength[z["end"] :]]
+                rises.append((z["end"], min(0.9, 0.5 + run_of * 0.15)))
             else:
                 span = range(before["start"], z["end"] + 1)
                 for k in span:
                     cols["trend_type"][k] = cols["trend_type"][k] or 1
-        cols["trend_strength"] = strength
+        for start, value in rises:
+            strength[start] = max(strength[start], value)
+        cols["trend_strength"] = list(accumulate(strength, max))
         close, macd = pdf["close"].tolist(), pdf["macd"].tolist()
         area = [0.0]
         for m in macd:
@@ -238,10 +244,14 @@ def area_divergence(directed: list[dict], close: list[float], area: list[float])
     return min(1.0, (1 - share) * 2) if share < 0.85 and p2 > 0.7 * p1 else max(0.0, (1 - share) * 1.2)
 
 
+#: Buy points that need no pivot, in order of precedence, and their kinds.
+WINDOW_POINTS = {"v_reversal": 1, "gap_reversal": 1, "trend_pullback": 4, "trend_start": 5, "mean_pullback": 6, "range_breakout": 8, "limit_pullback": 9}
+
+
 def window_points(rows: DataFrame) -> DataFrame:
-    """rows (entity, date, ord, close, volume) with the confidence of each buy point that needs no pivot, null where it
-    does not hold, and buy_point, the first that does: V reversal and gap reversal (1), trend start (5), first pullback
-    to a mean (6), breakout from a narrow range (8), pullback after a limit-up (9)."""
+    """rows (entity, date, ord, close, volume and others) with the confidence of each buy point that needs no pivot, null
+    where it does not hold: V reversal and gap reversal (1), pullback in a trend (4), trend start (5), first pullback to a
+    mean (6), breakout from a narrow range (8), pullback after a limit-up (9)."""
     c, v = F.col("close"), F.col("volume")
     before = lambda n: W.lag(c, n)
     back = lambda n: (c - before(n)) / (before(n) + EPS)
@@ -267,6 +277,10 @@ def window_points(rows: DataFrame) -> DataFrame:
     touch = (off < 0.03) | ((F.abs(c - ma60) / (ma60 + EPS) < 0.05) & (c > ma60))
     rally = F.max(c).over(W.incl(21)) > ma20 * 1.05
     pulled = F.when(holds((i >= 60) & (ma20 > ma60) & touch & rally & (c > before(1)) & (bounce > -0.01) & (F.avg(v).over(W.incl(3)) < v20 * 0.95)), clip(0.30 + (1 - off * 10) * 0.2 + 3.0, 0.20, 0.70))
+    dip, run60 = back(5), back(60)
+    drier = F.avg(v).over(W.incl(5)) < F.avg(v).over(frame(9, 5)) * 0.85
+    in_trend = (i >= 60) & (ma20 > ma60) & (c > ma60) & (dip < -0.02) & (F.abs((c - ma20) / (ma20 + EPS)) < 0.05) & drier & (run60 < 0.35)
+    dipped = F.when(holds(in_trend), clip(0.45 + F.least(F.lit(1.0), (ma20 / (ma60 + EPS) - 1) * 8) * 0.3 + F.greatest(F.lit(0.0), -dip * 8) * 0.25, 0.25, 0.85))
     early, later = F.avg("atr").over(frame(20, 11)), F.avg("atr").over(W.incl(11))
     narrow = (early > 0) & (later < early * 0.70)
     tight = (F.max(c).over(W.incl(21)) - low21) / (low21 + EPS) < 0.12
@@ -276,22 +290,27 @@ def window_points(rows: DataFrame) -> DataFrame:
     lows = F.array_min(F.slice(F.collect_list(c).over(W.incl(4)), -days, days))
     quiet = F.when(days > 1, (F.col("run") - hit["run"]) / days < hit["volume"] * 0.7).otherwise(True)
     resumed = F.when(holds((i >= 8) & (days >= 1) & (lows > hit["close"] * 0.98) & quiet & (c > before(1))), clip(0.35 + (3 - days) * 0.08 - (hit["close"] - lows) / (hit["close"] + EPS) * 3, 0.20, 0.70))
-    names = [("v_reversal", reversal, 1), ("gap_reversal", gap, 1), ("trend_start", started, 5), ("mean_pullback", pulled, 6), ("range_breakout", broke, 8), ("limit_pullback", resumed, 9)]
-    p = p.select("entity", "date", "ord", *[x.alias(n) for n, x, _ in names])
-    return p.withColumn("buy_point", F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k)) for n, _, k in names], F.lit(0)))
+    found = dict(zip(WINDOW_POINTS, (reversal, gap, dipped, started, pulled, broke, resumed), strict=True))
+    return p.select(*rows.columns, *[x.alias(n) for n, x in found.items()])
+
+
+def first_window_point() -> Column:
+    """Kind of the first window point that holds; 0 if none."""
+    return F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k)) for n, k in WINDOW_POINTS.items()], F.lit(0))
 
 
 def pivot_support(bars: DataFrame, zones: DataFrame, near: int = 30) -> DataFrame:
-    """bars with inside (confidence of a buy inside the last finished pivot, within `near` bars of its end): the close in
-    the zone or within 3 % of its lower edge, a zone wider than 3 %, no falling trend. An as-of join by ordinals."""
+    """bars with inside (confidence of a buy inside the last known pivot, within `near` bars after it was known): the close
+    in the zone or within 3 % of its lower edge, a zone wider than 3 %, no falling trend. zones: pivots as they became
+    known (swing_state.known_pivots()); an as-of join by ordinals finds the last one of before the bar."""
     from panelyte.operators.asof import asof
 
-    known = zones.select("entity", (F.col("end_ord") + 1).alias("known"), "id", "end_ord", "zg", "zd", "trend")
-    j = asof(bars, known, "entity", "ord", "known", ["id", "end_ord", "zg", "zd", "trend"])
+    known = zones.select("entity", (F.col("known_ord") + 1).alias("known"), "id", "known_ord", "zg", "zd", "trend")
+    j = asof(bars, known, "entity", "ord", "known", ["id", "known_ord", "zg", "zd", "trend"])
     c, zd, zg = F.col("close"), F.col("zd"), F.col("zg")
     off = F.abs(c - zd) / (zd + EPS)
-    ok = (((c >= zd) & (c <= zg * 1.01)) | (off < 0.03)) & ((zg - zd) / (zd + EPS) > 0.03) & (F.col("trend") >= 0) & (F.col("ord") < F.col("end_ord") + near) & (F.col("ord") > 60)
-    return j.withColumn("inside", F.when(holds(ok), clip(0.40 - off * 5, 0.20, 0.65))).drop("id", "end_ord")
+    ok = (((c >= zd) & (c <= zg * 1.01)) | (off < 0.03)) & ((zg - zd) / (zd + EPS) > 0.03) & (F.col("trend") >= 0) & (F.col("ord") < F.col("known_ord") + near) & (F.col("ord") > 60)
+    return j.withColumn("inside", F.when(holds(ok), clip(0.40 - off * 5, 0.20, 0.65))).drop("id", "known_ord")
 
 
 def overlap_zones(rows: DataFrame, least: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelyte.functions import windows as W
-from panelyte.operators import ml, swing
+from panelyte.operators import ml, points, swing, swing_state
 from panelyte.plans.kernels import ex, inc, need, panel, rounded
 from panelyte.plans.registry import bars_sql, query
 from panelyte.plans.research import factor_panel
@@ -15,30 +15,64 @@ from panelyte.sources.panels import bars, table
 B = bars_sql()
 
 
+def known(spark, sf_dir):
+    """Bars with their window points and the structure known on each."""
+    p = swing.window_points(panel(spark, sf_dir).select("entity", "date", "ord", "high", "low", "close", "volume"))
+    return swing_state.known_structure(p)
+
+
+def pointed(spark, sf_dir):
+    """Bars with first and second points and the quality of fractals."""
+    from panelyte.functions.recursive import macd, smoothed
+
+    p = macd(panel(spark, sf_dir).select("entity", "date", "ord", "high", "low", "close", "volume"), "close").drop("macd", "macd_signal")
+    p = swing.window_points(smoothed(p, {"ema20": ("close", 20, False)}))
+    return points.second_points(points.fractal_quality(points.first_points(swing_state.known_structure(p))))
+
+
 @query(None)
 def swing_strokes(spark, sf_dir):
-    return swing.strokes(panel(spark, sf_dir))
+    """Strokes with the bar on which each is final."""
+    return swing_state.known_swings(known(spark, sf_dir))
 
 
 @query(None)
 def swing_pivots(spark, sf_dir):
-    return swing.pivots(panel(spark, sf_dir))
+    """Pivots as they became known: a row for each bar on which the last one appeared or grew."""
+    return swing_state.known_pivots(known(spark, sf_dir))
 
 
 @query(None)
 def swing_structure(spark, sf_dir):
-    """Swings, pivots, trend type and area divergence projected onto every bar."""
-    from panelyte.functions.recursive import macd
-
-    p = macd(panel(spark, sf_dir).select("entity", "date", "ord", "high", "low", "close"), "close").drop("macd_signal", "macd_hist")
-    return rounded(swing.structure(p).drop("macd"))
+    """What is known on every bar: fractals, strokes, segments, the last pivot, trend type, divergence, stroke points and
+    the points at pivots."""
+    return rounded(known(spark, sf_dir).drop(*swing.WINDOW_POINTS, "volume"))
 
 
 @query(None)
 def pivot_support(spark, sf_dir):
-    """Buys inside the last finished pivot."""
-    p = panel(spark, sf_dir).select("entity", "date", "ord", "high", "low", "close")
-    return rounded(swing.pivot_support(p, swing.pivots(p)).select("entity", "date", "zg", "zd", "trend", "inside"))
+    """Buys inside the last known pivot."""
+    p = known(spark, sf_dir)
+    return rounded(swing.pivot_support(p.select("entity", "date", "ord", "close"), swing_state.known_pivots(p)).select("entity", "date", "zg", "zd", "trend", "inside"))
+
+
+@query(None)
+def pivot_points(spark, sf_dir):
+    """Nine kinds of buy points and three of sell points in one table, with their confidence."""
+    return rounded(pointed(spark, sf_dir).select("entity", "date", "buy_point", "buy_confidence", "sell_point", "sell_confidence", "b3_rank", "b3_trend", "second_buy_first", "second_sell_first"))
+
+
+@query(None)
+def fractal_quality(spark, sf_dir):
+    """Quality of bottoms and tops since they are known."""
+    return rounded(pointed(spark, sf_dir).select("entity", "date", "bottom_ord", "top_ord", "bottom_q", "top_q", "bottom_quality", "top_quality"))
+
+
+@query(None)
+def agreeing_levels(spark, sf_dir):
+    """Levels of strokes and segments that agree, strength of both sides, and the price at which to give up."""
+    p = points.stop_prices(points.agreeing_levels(pointed(spark, sf_dir)))
+    return rounded(p.select("entity", "date", "depleted", "stroke_buy", "stroke_sell", "signal_level", "buy_strength", "sell_strength", "confirmed_buy", "confirmed_sell", "structure_buy", "structure_sell", "stop_price", "stop_reason"))
 
 
 def _b(n: int) -> str:
@@ -53,20 +87,23 @@ _BACK = lambda n: f"((close - {_b(n)}) / ({_b(n)} + 1e-10))"
 
 
 @query(f"""{B}, w0 as (select *, case when ord > 1 then abs(close - {_b(1)}) else 0 end as step, case when ord >= 20 then avg(close) {_r(19)} end as ma20, case when ord >= 60 then avg(close) {_r(59)} end as ma60, case when ord >= 20 then avg(volume) {_r(19)} end as v20,
-  coalesce(ord > 1 and {_BACK(1)} > 0.095, false) as lim, max(close) {_r(60, 1)} as h60, min(close) {_r(20)} as l21, avg(close) {_r(20)} as m21, max(close) {_r(20)} as h21, avg(volume) {_r(2)} as v3, avg(volume) {_r(7, 3)} as v5, {_BACK(1)} as b1, {_BACK(3)} as b3, {_BACK(5)} as b5, {_BACK(10)} as b10, {_b(1)} as c1, ({_b(1)} - {_b(5)}) / ({_b(5)} + 1e-10) as pre, avg(volume) {_r(20, 1)} as vb20 from b),
+  coalesce(ord > 1 and {_BACK(1)} > 0.095, false) as lim, max(close) {_r(60, 1)} as h60, min(close) {_r(20)} as l21, avg(close) {_r(20)} as m21, max(close) {_r(20)} as h21, avg(volume) {_r(2)} as v3, avg(volume) {_r(7, 3)} as v5, {_BACK(1)} as b1, {_BACK(3)} as b3, {_BACK(5)} as b5, {_BACK(10)} as b10, {_BACK(60)} as b60, avg(volume) {_r(4)} as vlate, avg(volume) {_r(9, 5)} as vearly, {_b(1)} as c1, ({_b(1)} - {_b(5)}) / ({_b(5)} + 1e-10) as pre, avg(volume) {_r(20, 1)} as vb20 from b),
 w1 as (select *, case when ord >= 20 then avg(step) {_r(19)} end as atr, coalesce(close < 0.99 * ma20, false)::int as under, lag(ma20, 5) over (partition by entity order by date) as ma5b, max(case when lim then ord end) {_r(4, 1)} as ho from w0),
 w2 as (select *, max(under) {_r(5, 1)} = 1 as crossed, avg(atr) {_r(20, 11)} as early, avg(atr) {_r(10)} as latr from w1),
 w3 as (select w2.*, h.close as hc, h.volume as hv, w2.ord - w2.ho as days, (select min(x.close) from w0 x where x.entity = w2.entity and x.ord > w2.ho and x.ord <= w2.ord) as lows, (select avg(x.volume) from w0 x where x.entity = w2.entity and x.ord > w2.ho and x.ord <= w2.ord) as pv from w2 left join w0 h on h.entity = w2.entity and h.ord = w2.ho),
 w4 as (select entity, date, case when ord > 60 and (h60 - close) / h60 > 0.15 and b3 > 0.02 and l21 < 0.97 * m21 and v3 > 1.1 * v5 then least(greatest(0.30 + 0.5 * (h60 - close) / h60 + 3 * b3, 0.25), 0.7) end as v_reversal,
   case when ord > 5 and b1 > 0.02 and pre < -0.03 and (ord <= 20 or volume > vb20) then least(greatest(0.30 + 5 * b1, 0.25), 0.7) end as gap_reversal,
+  case when ord > 60 and ma20 > ma60 and close > ma60 and b5 < -0.02 and abs((close - ma20) / (ma20 + 1e-10)) < 0.05 and vlate < 0.85 * vearly and b60 < 0.35
+    then least(greatest(0.45 + 0.3 * least(1, 8 * (ma20 / (ma60 + 1e-10) - 1)) + 0.25 * greatest(0, -8 * b5), 0.25), 0.85) end as trend_pullback,
   case when ord > 30 and crossed and close > 0.97 * ma20 and ma20 > ma5b and b5 > 0.005 and b5 < 0.10 and volume > 0.85 * v20 and b10 < 0.18 and l21 < 0.92 * close then least(greatest(0.20 + 0.25 * least(1, 50 * (ma20 / (ma5b + 1e-10) - 1)) + 0.15 * least(1, volume / (v20 + 1e-10) - 0.9) + 2 * b5, 0.15), 0.65) end as trend_start,
   case when ord > 60 and ma20 > ma60 and (abs(close - ma20) / (ma20 + 1e-10) < 0.03 or (abs(close - ma60) / (ma60 + 1e-10) < 0.05 and close > ma60)) and h21 > 1.05 * ma20 and close > c1 and b3 > -0.01 and v3 < 0.95 * v20 then least(greatest(0.30 + 0.2 * (1 - 10 * abs(close - ma20) / (ma20 + 1e-10)) + 3, 0.20), 0.70) end as mean_pullback,
   case when ord > 40 and (coalesce(early > 0 and latr < 0.7 * early, false) or (h21 - l21) / (l21 + 1e-10) < 0.12) and volume > 1.3 * v20 and b1 > 0.01 and close > ma20 then least(greatest(0.25 + 5 * b1 + case when early > 0 and latr < 0.7 * early then 0.10 else 0 end, 0.15), 0.65) end as range_breakout,
   case when ord > 8 and days >= 1 and lows > 0.98 * hc and (days = 1 or pv < 0.7 * hv) and close > c1 then least(greatest(0.35 + 0.08 * (3 - days) - 3 * (hc - lows) / (hc + 1e-10), 0.20), 0.70) end as limit_pullback from w3)
-select entity, date, {', '.join(f'round({n}, 6) as {n}' for n in ('v_reversal', 'gap_reversal', 'trend_start', 'mean_pullback', 'range_breakout', 'limit_pullback'))}, case when v_reversal is not null or gap_reversal is not null then 1 when trend_start is not null then 5 when mean_pullback is not null then 6 when range_breakout is not null then 8 when limit_pullback is not null then 9 else 0 end as buy_point from w4""")
+select entity, date, {', '.join(f'round({n}, 6) as {n}' for n in ('v_reversal', 'gap_reversal', 'trend_pullback', 'trend_start', 'mean_pullback', 'range_breakout', 'limit_pullback'))}, case when v_reversal is not null or gap_reversal is not null then 1 when trend_pullback is not null then 4 when trend_start is not null then 5 when mean_pullback is not null then 6 when range_breakout is not null then 8 when limit_pullback is not null then 9 else 0 end as buy_point from w4""")
 def window_buy_points(spark, sf_dir):
     """Buy points that need no pivot, with their confidence."""
-    return rounded(swing.window_points(panel(spark, sf_dir)).drop("ord"))
+    p = swing.window_points(panel(spark, sf_dir).select("entity", "date", "ord", "close", "volume"))
+    return rounded(p.withColumn("buy_point", swing.first_window_point()).drop("ord", "close", "volume"))
 
 
 @query(f"""{B}, t as (select *, coalesce(least(high, lag(high) over e) >= greatest(low, lag(low) over e) and lag(high) over e is not null, false) as touch from b window e as (partition by entity order by date)), i as (select *, sum(case when touch then 0 else 1 end) over (partition by entity order by date) as island from t),
