@@ -21,28 +21,35 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
 
 
+#: Longer pieces are rarely met again: caches count their characters, and no table of frequent ones holds them.
+LONG = 64
+
+
 class PieceCache(dict):
     """Piece -> value of `encode_many([prefix + piece])`, kept in one Python worker.
 
-    Starts from a fixed table and grows by what the worker meets. With `limit` / 2 pieces the young generation becomes
-    the old one; pieces met again move on, the others go with the next change. So memory is bounded whatever the
-    corpus holds, and pieces that recur stay.
+    Starts from a fixed table and grows by what the worker meets. With `limit` / 2 pieces, or `limit_chars` / 2 characters
+    of pieces longer than LONG, the young generation becomes the old one; pieces met again move on, the others go with
+    the next change. So memory is bounded in bytes whatever the corpus holds (a text without spaces is one piece), and
+    pieces that recur stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 800_000, prefix: str = " "):
+    def __init__(self, encode_many: Callable[[list[str]], list], fixed: dict | None = None, limit: int = 800_000, prefix: str = " ", limit_chars: int = 1 << 22):
         super().__init__(fixed or {})
         self.encode_many, self.fixed, self.half, self.old, self.prefix = encode_many, fixed or {}, max(1, limit // 2), {}, prefix
+        self.chars, self.half_chars = 0, limit_chars // 2
 
     def learn(self, pieces: set[str]) -> None:
         """Make sure of the pieces; what neither generation has is encoded in one call."""
-        if len(self) > self.half:
-            self.old = dict(self)
+        if len(self) > self.half or self.chars > self.half_chars:
+            self.old, self.chars = dict(self), 0
             self.clear()
             self.update(self.fixed)
         missing = pieces.difference(self)
         old = self.old
         again = {p: old[p] for p in missing if p in old}
         self.update(again)
+        self.chars += sum(len(p) for p in missing if len(p) > LONG)
         new = list(missing.difference(again))
         if new:
             self.update(zip(new, self.encode_many([self.prefix + p for p in new] if self.prefix else new), strict=True))

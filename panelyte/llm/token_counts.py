@@ -2,7 +2,7 @@
 
 Tier one is a compact hash table of the corpus's frequent pieces and their token counts. Its pieces come from
 mergeable heavy-hitter sketches over all rows (bounded state per task, no shuffle of pieces), and it is broadcast: at
-most `table_size` entries whatever the corpus holds. Tier two is a bounded cache in each Python worker that encodes
+most `table_size` entries of LONG bytes whatever the corpus holds. Tier two is a bounded cache in each Python worker that encodes
 what tier one misses. The sketch only decides what is fast: every count comes from the tokenizer.
 """
 
@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyte.llm.pieces import PieceCache, cut, load_tokenizer, piece_encoder, worker_cache
+from panelyte.llm.pieces import LONG, PieceCache, cut, load_tokenizer, piece_encoder, worker_cache
 from panelyte.llm.shared import text_groups
 
 
 def frequent_pieces(docs: DataFrame, text_col: str, table_size: int, tracked: int) -> list[str]:
-    """The most frequent pieces of all texts: one sketch per task, merged in groups of tasks and then once more."""
-    pieces = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r" (?=\S)")).alias("piece"))
+    """The most frequent pieces of all texts, of LONG bytes at most each: one sketch per task, merged in groups of tasks
+    and then once more. So sketches, what the driver gets and the broadcast are bounded in bytes."""
+    cuts = F.split(F.coalesce(F.col(text_col), F.lit("")), r" (?=\S)")
+    pieces = docs.select(F.explode(F.filter(cuts, lambda p: F.octet_length(p) <= LONG)).alias("piece"))
     return [
         r["item"]
         for r in pieces.groupBy((F.spark_partition_id() % 64).alias("part"))

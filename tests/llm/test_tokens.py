@@ -1,6 +1,7 @@
 """Operators 1, 5 and 8 against the tokenizer libraries, over whole tables and odd texts."""
 
 import hashlib
+import random
 import zlib
 from array import array
 
@@ -11,8 +12,9 @@ from tokenizers import Tokenizer
 
 from panelyte.llm.bpe_fst import BpeTransducer, Utf8Stream, encode_decode, read_ranks
 from panelyte.llm.packing import balance, pack
+from panelyte.llm.pieces import PieceCache
 from panelyte.llm.queries import QUERIES
-from panelyte.llm.token_counts import token_counts
+from panelyte.llm.token_counts import frequent_pieces, token_counts
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 ODD = [
@@ -124,3 +126,19 @@ def test_balance_prefers_the_cheapest_sequence():
     assert sorted(n for _, _, n, _, _ in pieces) == [2, 3, 5, 6]
     assert {d: s for d, _, _, s, _ in pieces} == {0: 0, 1: 1, 2: 1, 3: 0}
     assert balance([], 8, 1.0, 0.1) == []
+
+
+def test_texts_without_spaces_stay_small(spark):
+    """Long distinct texts without spaces: nothing of them in the table of frequent pieces, caches bounded, counts right."""
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("abcdefgh", k=20_000)) for _ in range(300)] + ["a b " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot = frequent_pieces(df, "text", 8192, 16384)
+    assert hot and sum(map(len, hot)) < 1000
+    tok = Tokenizer.from_file(JSON)
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, JSON).collect()}
+    assert all(got[i] == len(tok.encode(texts[i], add_special_tokens=False).ids) for i in (0, 7, 299, 300))
+    cache = PieceCache(lambda many: [len(p) for p in many], limit_chars=1 << 16)
+    for t in texts:
+        cache.learn({t, "a"})
+        assert cache[t] == len(t) + 1 and sum(map(len, cache)) + sum(map(len, cache.old)) < (1 << 16) + 3 * 20_001
