@@ -22,7 +22,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyte.llm.components import components
@@ -240,9 +240,12 @@ def labelled_rows(
     signed = materialize(rows.mapInArrow(describe, f"doc_id {kind}, tkey long, n long, key long, signs array<long>, bins binary"), "sets")
 
     signs = signed.select("key", F.explode("signs").alias("sign"))
-    bucket = Window.partitionBy("sign")
-    shared = signs.withColumn("least", F.min("key").over(bucket)).withColumn("most", F.max("key").over(bucket)).withColumn("rows", F.count(F.lit(1)).over(bucket)).filter("least <> most")
-    shared = materialize(shared.select("sign", "key", "rows"), "shared")
+    # Buckets of one set are dropped by partial aggregates; as a table of its own, what is left can be small enough to
+    # send, or else the join splits the rows of a hot signature.
+    buckets = signs.groupBy("sign").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("rows"))
+    buckets = materialize(buckets.filter("least <> most").select("sign", "rows"), "buckets")
+    shared = materialize(signs.join(buckets, "sign").select("sign", "key", "rows"), "shared")
+    discard(buckets)
     facts = materialize(signed.drop("signs"), "facts")
     discard(signed)
     few = shared.filter(F.col("rows") <= small_bucket).select("sign", "key").distinct()
