@@ -10,6 +10,8 @@ occur, and sanitising generalises them to what kind of thing they stand beside (
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,37 @@ _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WORD = r"\p{L}{4,}"
 
 
+CHUNK = 256
+
+
+def chunks_of(items: Column) -> Column:
+    """The array in parts of CHUNK elements, one empty part for none."""
+
+    def parts(held: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(held) / CHUNK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(held, i * CHUNK + 1, CHUNK))
+
+    return F.flatten(F.transform(F.array(items), parts))  # so the array is made once, not for each part
+
+
+def scan(items: Column, state: str, out: str, start: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step(state, item) gives for each item in order: (next state, array of type out to append).
+
+    An array that grows by one element at each item is copied each time, which is quadratic in its length; within
+    chunks that are appended whole, the copies are few.
+    """
+    none, nested = F.expr(f"cast(array() as array<{out}>)"), F.expr(f"cast(array() as array<array<{out}>>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        then, new = step(acc["s"], x)
+        return F.struct(then.cast(state).alias("s"), F.concat(acc["out"], new).alias("out"))
+
+    def part(acc: Column, items: Column) -> Column:
+        return F.aggregate(items, F.struct(acc["s"].alias("s"), none.alias("out")), one, lambda a: F.struct(a["s"].alias("s"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    return F.aggregate(chunks_of(items), F.struct(start.cast(state).alias("s"), nested.alias("out")), part, lambda acc: F.flatten(acc["out"]))
+
+
 def spans_of(text: Column, pattern: Column | str) -> Column:
     """array<struct<s, e, v>> of the non-overlapping matches: code points, end exclusive.
 
@@ -39,16 +72,14 @@ def spans_of(text: Column, pattern: Column | str) -> Column:
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + F.length(x["gap"])
         e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("v")))).alias("out"))
+        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("v")))
 
     pairs = F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap"))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    return scan(pairs, "int", "struct<s: int, e: int, v: string>", F.lit(0), place)
 
 
 def _luhn(digits: Column) -> Column:
@@ -121,17 +152,34 @@ def _held(rows: DataFrame, bits: DataFrame, key: str, held: bool = True) -> Data
     return rows.withColumn("slot", slot).join(F.broadcast(bits), "slot", "left").filter(is_held if held else ~is_held).drop("slot", "bits")
 
 
+def beside_spans(text: Column, spans: Column, window: int) -> Column:
+    """array<struct<kind, v, near>>: each span with the distinct words of the `window` characters on either side. The text
+    is cut once for each chunk of spans, so a long text with many spans is not searched from its start for each."""
+
+    def words(x: Column, cut: Column) -> Column:
+        at, s, e = cut["at"], x["s"] - cut["at"], x["e"] - cut["at"]
+        around = F.concat_ws(" ", F.substr(cut["text"], F.greatest(s - window, F.lit(0)) + 1, F.least(x["s"], F.lit(window))), F.substr(cut["text"], e + 1, F.lit(window)))
+        return F.struct(x["kind"].alias("kind"), x["v"].alias("v"), F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0))).alias("near"))
+
+    def part(items: Column) -> Column:
+        first = F.greatest(F.array_min(F.transform(items, lambda x: x["s"])) - window, F.lit(0))
+        last = F.array_max(F.transform(items, lambda x: x["e"])) + window
+        cut = F.struct(first.alias("at"), F.substr(text, first + 1, last - first).alias("text"))
+        return F.flatten(F.transform(F.array(cut), lambda c: F.transform(items, lambda x: words(x, c))))  # the cut is made once
+
+    return F.flatten(F.transform(chunks_of(spans), part))
+
+
 def revealing_terms(found: DataFrame, texts: DataFrame, disclosure: float, prior: float, window: int) -> DataFrame | None:
     """(__text, terms) for the texts that hold revealing terms, or None where there is no such term.
 
     found has __text (digest), text and all (base spans with kind) for texts that have spans; texts has __text and
     text for every row. All counts are over distinct texts of the whole corpus.
     """
-    x, value = F.col("x"), F.lower("x.v")
-    around = F.concat_ws(" ", F.substr("text", F.greatest(x["s"] - window, F.lit(0)) + 1, F.least(x["s"], F.lit(window))), F.substr("text", x["e"] + 1, F.lit(window)))
-    each = found.select("__text", "text", F.explode("all").alias("x"))
     keys = ["kind", "group", "entity"]
-    named = each.select("__text", x["kind"].alias("kind"), group_of(x["kind"], value).alias("group"), value.alias("entity"), F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0))).alias("near"))
+    each = found.select("__text", F.explode(beside_spans(F.col("text"), F.col("all"), window)).alias("x"))
+    x, value = F.col("x"), F.lower("x.v")
+    named = each.select("__text", x["kind"].alias("kind"), group_of(x["kind"], value).alias("group"), value.alias("entity"), x["near"].alias("near"))
     beside = materialize(named.select("__text", *keys, F.explode("near").alias("term")).distinct(), "beside")
     entities = named.select("__text", *keys).distinct()
 
@@ -205,27 +253,41 @@ def find_personal_data(
         F.array_join(F.concat(base_told, told("term", F.col("term"))), ",").alias("spans"),
     ]
     if keep_text:
-        out += ["text", _clean().alias("clean"), F.size("term").cast("long").alias("n_term")]
+        full = _cleaned(full)
+        out += ["text", "clean", F.size("term").cast("long").alias("n_term")]
     return full.select(*out, *[F.col(f"__row.{c}").alias(c) for c in carry])
 
 
-def _clean() -> Column:
-    """The text with spans replaced, from columns text, all and term."""
-    spans = F.concat(F.col("all"), tagged("term"))
-    order = F.array(*[F.lit(k) for k in [*KINDS, "term"]])
-    keyed = F.array_sort(F.transform(spans, lambda x: F.struct((x["kind"] == "term").alias("late"), x["s"].alias("s"), (-x["e"]).alias("neg"), F.array_position(order, x["kind"]).alias("k"), x["kind"].alias("kind"))))
-    none = F.expr("cast(array() as array<struct<s: int, e: int, kind: string>>)")
-
-    def take(acc: Column, x: Column) -> Column:
-        clear = F.forall(acc, lambda y: (y["e"] <= x["s"]) | (y["s"] >= -x["neg"]))
-        return F.when(clear, F.concat(acc, F.array(F.struct(x["s"].alias("s"), (-x["neg"]).alias("e"), x["kind"].alias("kind"))))).otherwise(acc)
-
-    taken = F.array_sort(F.aggregate(keyed, none, take))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """rows (text, all, term) with clean, the text with spans replaced: ordered passes that look at one span's end or
+    start. Each pass is a column of its own, as an expression of all of them is too deep to be analysed."""
+    order = F.array(*[F.lit(k) for k in KINDS])
+    kind = "struct<s: int, e: int, kind: string>"
+    plain = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
+    some = lambda ok, x: F.when(ok, F.array(plain(x))).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+    keyed = F.array_sort(F.transform("all", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("neg"), F.array_position(order, x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    rows = rows.withColumn("__keyed", keyed)
+    base = scan(F.col("__keyed"), "int", kind, F.lit(0), lambda end, x: (F.greatest(end, F.when(x["s"] >= end, x["e"]).otherwise(end)), some(x["s"] >= end, x)))
+    rows = rows.withColumn("__base", base)
+    # Terms do not overlap one another; a term goes where a base span before it ends later or one after it starts earlier.
+    both = F.array_sort(F.concat(F.transform("__base", plain), F.transform("term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("term").alias("kind")))))
+    is_base = lambda x: x["kind"] != "term"
+    rows = rows.withColumn("__both", both)
+    after = scan(F.col("__both"), "int", kind, F.lit(0), lambda end, x: (F.when(is_base(x), x["e"]).otherwise(end), some(is_base(x) | (x["s"] >= end), x)))
+    rows = rows.withColumn("__after", F.reverse(after))
+    before = scan(F.col("__after"), "int", kind, F.lit(2147483647), lambda start, x: (F.when(is_base(x), x["s"]).otherwise(start), some(is_base(x) | (x["e"] <= start), x)))
+    rows = rows.withColumn("__taken", F.when(F.size("term") == 0, F.col("__base")).otherwise(F.reverse(before)))
 
     def put(acc: Column, x: Column) -> Column:
-        kept = F.substr("text", acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(kept, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
+        kept = F.substr(acc["cut"], acc["at"] - acc["from"] + 1, x["s"] - acc["at"])
+        return F.struct(acc["cut"].alias("cut"), acc["from"].alias("from"), x["e"].alias("at"), F.concat(acc["out"], F.array(kept, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
+
+    def part(acc: Column, items: Column) -> Column:
+        end = F.greatest(acc["at"], F.coalesce(F.array_max(F.transform(items, lambda x: x["e"])), F.lit(0)))
+        start = F.struct(F.substr("text", acc["at"] + 1, end - acc["at"]).alias("cut"), acc["at"].alias("from"), acc["at"].alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+        return F.aggregate(items, start, put, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(a["out"], ""))).alias("out")))
 
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr("text", acc["at"] + 1, F.length("text")))), "")
-    return F.when(F.size(spans) == 0, F.col("text")).otherwise(F.aggregate(taken, start, put, rest))
+    clean = F.when(F.size("all") + F.size("term") == 0, F.col("text")).otherwise(F.aggregate(chunks_of(F.col("__taken")), start, part, rest))
+    return rows.withColumn("clean", clean).drop("__keyed", "__base", "__both", "__after", "__taken")

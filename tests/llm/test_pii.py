@@ -85,3 +85,28 @@ def test_terms_beside_entities_seen_once(spark):
 
 def test_whole_table_has_terms(spark, sf):
     assert QUERIES["op9_personal_data"](spark, sf).filter("spans like '%term:%'").count() > 0
+
+
+def test_texts_with_many_spans(spark):
+    """Tens of thousands of spans in one text, and cleaning by the rule in plain Python."""
+    rnd = random.Random(4)
+    kinds = [lambda i: f"u{i}@m{i % 9}.example", lambda i: f"10.{i % 256}.{i // 256 % 256}.7", lambda i: "4111 1111 1111 1111", lambda i: f"+1 555 {1000000 + i}"]
+    texts = {1: " ; ".join(kinds[i % 4](i) for i in range(50_000)), 2: " ".join(rnd.choice(kinds)(i) for i in range(700)), 3: "x"}
+    rows = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    same(rows.values(), texts)
+    for i, text in texts.items():
+        found = sorted((s, -e, k) for k, kind in enumerate(PLAIN) for s, e in (map(int, x.split(":")[1:]) for x in brute(text)[kind]))
+        out, at = [], 0
+        for s, neg, k in found:
+            if s >= at:
+                out += [text[at:s], f"[{list(PLAIN)[k].upper()}]"]
+                at = -neg
+        assert rows[i].clean == "".join([*out, text[at:]])
+
+
+def test_terms_that_touch_entities(spark):
+    """A term that overlaps an entity goes, whichever starts first; its other places stay."""
+    rows = [(i, f"Zorblax via zor@mail.example now {i}") for i in range(4)] + [(10 + i, f"nothing here {i}") for i in range(30)]
+    rows += [(50, "Zorblax@a.b Zorblax x@Zorblax.c Zorblax"), (51, "x@y.Zorblax,Zorblax")]
+    got = {r.doc_id: r.clean for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), disclosure=0.5).collect()}
+    assert got[0] == "[TERM] via [EMAIL] now 0" and got[50] == "[EMAIL] [TERM] [EMAIL] [TERM]" and got[51] == "[EMAIL],[TERM]"
