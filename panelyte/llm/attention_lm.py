@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyte.llm.pieces import PieceCache, byte_alphabet, load_tokenizer, piece_encoder
+from panelyte.llm.pieces import LONG, PieceCache, byte_alphabet, load_tokenizer, piece_encoder
 from panelyte.llm.shared import fold_of, materialize, text_groups
 
 LOG10 = math.log(10)
@@ -207,11 +207,13 @@ class Model:
 END = b""  # the end token among words, which are never empty
 
 
-def word_counts(rows: DataFrame, flush: int = 150_000) -> DataFrame:
-    """(word, n) over all rows (text binary); the end is the empty word."""
+def word_counts(rows: DataFrame, flush: int = 150_000, flush_bytes: int = 1 << 26) -> DataFrame:
+    """(word, n) over all rows (text binary); the end is the empty word. A task holds the words of at most flush_bytes of
+    text, or of one group of texts."""
 
     def count(batches):
         held: Counter = Counter()
+        size = 0
 
         def batch_of():
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
@@ -222,9 +224,11 @@ def word_counts(rows: DataFrame, flush: int = 150_000) -> DataFrame:
             for _, texts in text_groups([batch], "held_out", "text"):
                 for t in texts:
                     held.update(t.lower().split())
+                    size += len(t)
                 held[END] += len(texts)
-                if len(held) > flush:
+                if len(held) > flush or size > flush_bytes:
                     yield batch_of()
+                    size = 0
         if held:
             yield batch_of()
 
@@ -429,7 +433,7 @@ def lm_scores(
     base, n_ends = total["n"] + total["v"] + 1, total["ends"]
     spelled, end, n = spelling(tokenizer_path, subword_counts(counts, tokenizer_path), n_ends, shape)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((spelled, {w: math.log10((c + 1) / base) for w, c in frequent(counts, head_size).items()}))
+    shared = sc.broadcast((spelled, {w: math.log10((c + 1) / base) for w, c in frequent(counts.filter(F.octet_length("word") <= LONG), head_size).items()}))
 
     def spell_all(batches):
         letters, known = shared.value
