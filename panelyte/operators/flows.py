@@ -36,7 +36,7 @@ def capital_flow(prepared: DataFrame) -> DataFrame:
     spread = F.when(F.col("ord") > 60, F.stddev_pop(F.coalesce("net_flow", F.lit(0.0))).over(W.incl(61)) + EPS).otherwise(1.0)
     blend = clip(F.col("smart_money") * 4 + 0.5, 0.0, 1.0) * 0.3 + clip(F.coalesce("net_flow", F.lit(0.0)) / spread * 0.15 + 0.5, 0.0, 1.0) * 0.3 + F.col("accumulation") * 0.2 + F.col("breakout") * 0.2
     p = p.withColumn("raw", blend).withColumn("capital_flow_direction", F.when(F.col("raw") > 0.55, 1).when(F.col("raw") < 0.35, -1).otherwise(0)).withColumn("raw", clip(F.col("raw"), 0.0, 1.0))
-    return smoothed(p.select("entity", "date", "smart_money", "accumulation", F.coalesce("net_flow", F.lit(0.0)).alias("net_flow"), "breakout", "capital_flow_direction", "raw"), {"capital_flow_score": ("raw", 5, False)}).drop("raw")
+    return smoothed(p.select(*prepared.columns, "smart_money", "accumulation", F.coalesce("net_flow", F.lit(0.0)).alias("net_flow"), "breakout", "capital_flow_direction", "raw"), {"capital_flow_score": ("raw", 5, False)}).drop("raw")
 
 
 def _steps(x: Column, rules: list[tuple[float, Column]], inclusive: bool) -> Column:

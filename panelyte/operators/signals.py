@@ -19,6 +19,7 @@ NEUTRAL = {
     "trend_initiation": 0.0, "bottom_fractal_quality": 0.0, "bottom_fractal_vol_spike": 1.0, "mtf_alignment_score": 0.0, "weekly_trend_up": False, "monthly_trend_up": False, "concept_heat": 0.5,
     "fundamental_score": 0.0, "ml_prediction": 0.0, "market_flow": 0.0, "margin_flow": 0.0, "entity_flow": 0.0, "bom_score": 0.5, "capital_flow_score": 0.0, "capital_flow_direction": 0, "news_score": 0.0, "news_direction": 0,
     "smart_money_flow": 0.0, "volume_ratio_raw": 1.0, "divergence_strength": 1.0, "buy_confidence": 0.35, "factor_quality": 0.0,
+    "has_fundamental": False, "style_regime": "", "style_confidence": 0.0, "buy_systems": 0, "factor_name": "",
 }
 
 
@@ -105,9 +106,45 @@ NO_FALL = (3, 6)
 REACH = [(3, 2, 0.40), (3, None, 0.35), (1, 2, 0.30), (1, 1, 0.25), (6, None, 0.12)]
 
 
-def decide(rows: DataFrame, limit: float = 0.095, least_divergence: float = 0.10) -> DataFrame:
-    """rows with buy and sell; needs score, sell_threshold, quality, rejected, ret, close, ma20, ma60 and the columns of
-    NEUTRAL.
+#: Tags that never buy, tags that buy below the threshold, and how far above it others must be, by a part of
+#: their tag.
+BANNED, PREMIUM, PREMIUM_SHARE = ("_T",), ("_FLA", "_FGR", "_FGRV", "_FLAV", "_FSM", "_FD"), 0.80
+RESTRICTED = {"_FBA": 1.25, "_FV": 1.25, "_F": 1.20}
+#: Entities of these prefixes have the wider price limit; those of FREE need no tag.
+WIDE_LIMIT, FREE = {"688": 0.195, "300": 0.195}, ("688",)
+
+
+def signal_tag() -> Column:
+    """What a signal stands on: _F with fundamentals, two letters of a clear style, V with smart money, D with divergence,
+    R and the number of agreeing systems from two on; _T for none of it."""
+    c = F.col
+    style = F.when(c("style_confidence") > 0.3, F.upper(F.substring(F.regexp_replace("style_regime", "_", ""), 1, 2))).otherwise("")
+    parts = [
+        F.when(c("has_fundamental"), "_F").otherwise(""), F.coalesce(style, F.lit("")), F.when(c("smart_money_flow") > 0.15, "V").otherwise(""),
+        F.when((c("bottom_divergence") > 0.3) | (c("top_divergence") > 0.3), "D").otherwise(""), F.when(c("buy_systems") >= 2, F.concat(F.lit("R"), c("buy_systems").cast("string"))).otherwise(""),
+    ]
+    tag = F.concat(*parts)
+    return F.when(tag == "", "_T").otherwise(tag)
+
+
+def tag_allows(score: Column, threshold: Column, tag: Column) -> Column:
+    """Whether a score is high enough for its tag: banned tags never, premium ones from a share of the threshold, others
+    from the threshold times the largest factor of the parts that the tag holds."""
+    factor = F.greatest(F.lit(1.0), *[F.when(tag.contains(part), k).otherwise(1.0) for part, k in RESTRICTED.items()])
+    return ~tag.isin(*BANNED) & (score >= threshold * F.when(tag.isin(*PREMIUM), PREMIUM_SHARE).otherwise(factor))
+
+
+def price_limit(entity: Column, limit: float) -> Column:
+    """The largest move of a day by the entity's prefix."""
+    out = F.lit(limit)
+    for prefix, wide in WIDE_LIMIT.items():
+        out = F.when(entity.startswith(prefix), wide).otherwise(out)
+    return out
+
+
+def decide(rows: DataFrame, limit: float = 0.095, least_divergence: float = 0.10, gate: bool = True) -> DataFrame:
+    """rows with tag, buy and sell; needs entity, score, buy_threshold, sell_threshold, quality, rejected, ret, close, ma20,
+    ma60 and the columns of NEUTRAL. gate=False leaves out the last rule for buys, that the tag allows the score.
 
     Buys: no reject, a score above -0.05, not too far above the 20-row mean for the kind of buy point, and either a
     structure (buy point or strong entity flow) or a positive score above that mean; not in a full downtrend without
@@ -125,6 +162,11 @@ def decide(rows: DataFrame, limit: float = 0.095, least_divergence: float = 0.10
     structure = (bp >= 1) | (flow > 0.3)
     buy = ~c("rejected") & (score >= -0.05) & (structure | (c("close") > c("ma20"))) & (far < reach) & (structure | (score > 0))
     buy = buy & ((c("trend_type") != -2) | (bp >= 1) & confirmed | (c("bottom_divergence") > 0.3))
+    rows = rows.withColumn("tag", signal_tag())
+    if gate:
+        named = ~c("factor_name").isin("V41", "NONE") & tag_allows(score, c("buy_threshold"), c("tag"))
+        buy = buy & (F.col("entity").startswith(FREE[0]) | named)
+    limit = price_limit(F.col("entity"), limit)
     buy = buy & ~holds(c("ret") <= -limit)
     strong = (flow > 0.3) & ~c("rejected") & ~holds(c("ret") <= -limit) & (level >= 2)
     buy = holds(buy) | holds(strong)

@@ -270,11 +270,11 @@ def complete_case_ranks(spark, sf_dir):
     return rounded(LB.complete_ranks(factor_panel(spark, sf_dir), FACTORS))
 
 
-@query("""with c as (select distinct substr(p_brand, 7, 1) as chain, p_type as concept from part where p_size > 45) select a.concept, array_to_string(list_sort(list(distinct b.concept)), ',') as others from c a join c b on a.chain = b.chain and a.concept <> b.concept group by 1""")
+@query("""with c as (select distinct substr(p_brand, 7, 1) as chain, p_type as concept from part) select a.concept, array_to_string(list_sort(list(distinct b.concept)), ',') as others from c a join c b on a.chain = b.chain and a.concept <> b.concept group by 1""")
 def same_chain_concepts(spark, sf_dir):
     from panelyte.sources.panels import table
 
-    c = table(spark, sf_dir, "part").filter("p_size > 45").select(F.substring("p_brand", 7, 1).alias("chain"), F.col("p_type").alias("concept"))
+    c = table(spark, sf_dir, "part").select(F.substring("p_brand", 7, 1).alias("chain"), F.col("p_type").alias("concept"))
     return RP.same_chain(c).select("concept", F.array_join("others", ",").alias("others"))
 
 

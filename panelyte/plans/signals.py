@@ -11,10 +11,13 @@ from panelyte.operators import flows as FL
 from panelyte.operators import fundamentals as FU
 from panelyte.operators import regime as RG
 from panelyte.operators import signals as SG
+from panelyte.operators import swing
 from panelyte.operators.factors import EPS
+from panelyte.operators.swing import WINDOW_POINTS
 from panelyte.plans.factors import BASE, EMAS, E, fold, full, lag, later, over, pick, prepared, sma
 from panelyte.plans.kernels import panel, rounded
 from panelyte.plans.registry import REPORTS_SQL, bars_sql, query
+from panelyte.plans.structure import WINDOW_CTES
 from panelyte.sources.panels import bars, market, membership, reports
 
 O = "over (order by date)"
@@ -161,7 +164,8 @@ cf as (select *, case when raw > 0.55 then 1 when raw < 0.35 then -1 else 0 end
 
 @query(f"{FLOW_SQL} select entity, date, {pick({'smart_money': 'smart_money', 'accumulation': 'accumulation', 'net_flow': 'net_flow', 'breakout': 'breakout', 'capital_flow_direction': '=capital_flow_direction', 'capital_flow_score': 'capital_flow_score'}, 5)} from cf")
 def capital_flow(spark, sf_dir):
-    return rounded(FL.capital_flow(prepared(spark, sf_dir)), 5)
+    p = FL.capital_flow(prepared(spark, sf_dir))
+    return rounded(p.select("entity", "date", "smart_money", "accumulation", "net_flow", "breakout", "capital_flow_direction", "capital_flow_score"), 5)
 
 
 def _ladder(x: str, rules: list[tuple[str, str]]) -> str:
@@ -216,13 +220,13 @@ def market_flows(spark, sf_dir):
 
 
 @query(f"""{bars_sql()}, ev as (select p_brand as entity, cast(l_shipdate as date) as date, cast(sum(case when l_returnflag <> 'R' then cast(l_quantity as decimal(18,2)) else 0 end) as double) as bought, cast(sum(case when l_returnflag = 'R' then cast(l_quantity as decimal(18,2)) else 0 end) as double) as sold
-  from lineitem join part on l_partkey = p_partkey where extract(day from l_shipdate) <= 3 group by 1, 2), lj as (select b.entity, b.date, bought, sold, row_number() over (partition by b.entity, b.date order by ev.date desc) as k from b left join ev on ev.entity = b.entity and ev.date <= b.date)
+  from lineitem join part on l_partkey = p_partkey group by 1, 2), lj as (select b.entity, b.date, bought, sold, row_number() over (partition by b.entity, b.date order by ev.date desc) as k from b left join ev on ev.entity = b.entity and ev.date <= b.date)
 select entity, date, round(coalesce(tanh(3 * (bought - sold) / (bought + sold + {E})), 0), 6) as entity_flow from lj where k = 1""")
 def listed_flow(spark, sf_dir):
-    """Net share of purchases in an entity's latest listing as of each bar."""
+    """Net share of purchases on an entity's last day with lines as of each bar's first day."""
     from panelyte.sources.panels import table
 
-    lines = table(spark, sf_dir, "lineitem").filter(F.dayofmonth("l_shipdate") <= 3).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     qty, back = F.col("l_quantity").cast("decimal(18,2)"), F.col("l_returnflag") == "R"
     ev = lines.groupBy(F.col("p_brand").alias("entity"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(~back, qty).otherwise(0)).cast("double").alias("bought"), F.sum(F.when(back, qty).otherwise(0)).cast("double").alias("sold"))
     return rounded(FL.listed_flow(bars(spark, sf_dir).select("entity", "date"), ev))
@@ -234,7 +238,7 @@ _SEG = ", ".join(str(s) for s in SEGMENTS)
 
 @query(f"""{NB}, {REPORTS_SQL}, sg as (select *, least(greatest(0.40 * case barrier when 'moat' then 1.0 when 'high' then 0.75 when 'medium' then 0.5 when 'low' then 0.25 else 0.5 end + 0.35 * case margin when 'high' then 1.0 when 'medium' then 0.6 when 'low' then 0.3 else 0.6 end
   + 0.25 * case tech when 'import' then 0.8 when 'self_sufficient' then 0.5 when 'export' then 1.0 when 'none' then 0.3 else 0.5 end, 0), 1)::double as score, barrier in ('moat', 'high') as choke from (values {_SEG}) v(chain, segment, concept, barrier, margin, tech)),
-s1 as (select * from (select *, row_number() over (partition by concept order by chain, segment) as k from sg) where k = 1), mb as (select distinct n_name as entity, p_type as concept from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_quantity >= 50),
+s1 as (select * from (select *, row_number() over (partition by concept order by chain, segment) as k from sg) where k = 1), mb as (select distinct n_name as entity, p_type as concept from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
 bs as (select entity, coalesce(max(score), 0.3) as barrier_score, count(*) filter (choke) as moats from mb left join s1 using (concept) group by 1), fu as (select entity, last(roe order by period) / 100 as roe, last(gross_margin order by period) / 100 as gross_margin from rp group by 1),
 q as (select bs.*, coalesce(least(greatest(least(greatest(roe / 0.20, 0), 1) * 0.5 + least(greatest(gross_margin / 0.50, 0), 1) * 0.5, 0), 1), 0.5) as profit_score from bs left join fu using (entity))
 select entity, moats, round(barrier_score, 6) as barrier_score, round(profit_score, 6) as profit_score, round(least(greatest(0.55 * barrier_score + 0.45 * profit_score, 0), 1), 6) as quality from q""")
@@ -243,7 +247,7 @@ def chain_quality(spark, sf_dir):
     from panelyte.sources.panels import table
 
     segments = spark.createDataFrame(SEGMENTS, "chain string, segment string, concept string, barrier string, margin string, tech string")
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     nations = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     members = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("n_name").alias("entity"), F.col("p_type").alias("concept")).distinct()
     latest = reports(spark, sf_dir).groupBy("entity").agg((F.max_by("roe", "period") / 100).alias("roe"), (F.max_by("gross_margin", "period") / 100).alias("gross_margin"))
@@ -268,33 +272,44 @@ def return_sentiment(spark, sf_dir):
     return rounded(s.select("entity", "date", "sentiment", FL.multiplier(F.col("sentiment"), F.col("regime")).alias("multiplier"), FL.asymmetric_multiplier(F.col("sentiment"), F.col("smooth"), F.col("regime")).alias("asymmetric")), 5)
 
 
-DECIDE_SQL = f"""{DIV_SQL}, g0 as (select *, {sma('close', 5)} as ma5x, case when ord > 10 then vr end as vx from dv),
-g1 as (select *, case when bottom_divergence > 0.3 then 1 else 0 end as bp, case when bottom_divergence > 0.3 then case when close > ma20 then 2 else 1 end when top_divergence > 0.3 then case when close < ma20 then -3 else -1 end else 0 end as lv, coalesce(ema20 < ema60 and ema60 < ema120, false) as fallen, tanh(mom_20 - volatility_20) as fv from g0),
-g2 as (select *, case when lv >= 2 and bottom_divergence > 0.3 then 1.0 when bp = 1 then 0.85 when lv >= 1 then 0.72 when fallen and bottom_divergence > 0.3 then 0.62 when fallen and bp = 0 and lv <= 0 and bottom_divergence < 0.2 then 0.25 else 0.45 end as gs, 0.50 as gf, 0.6 as gh,
+DECIDE_SQL = f"""{DIV_SQL}{FLOW_SQL.removeprefix(BASE)}{NEWS_SQL.removeprefix(BASE)}, {WINDOW_CTES},
+g0 as (select dv.*, cf.smart_money, cf.capital_flow_score, cf.capital_flow_direction, nw.news_score, case when nw.news_score > 0.3 and nw.r > 0 and nw.gap > 0 then 1 else 0 end as news_up,
+  coalesce({', '.join(f'case when {n} is not null then {k} end' for n, k in WINDOW_POINTS.items())}, 0) as wp, coalesce({', '.join(WINDOW_POINTS)}, 0) as wc
+  from dv join cf using (entity, date) join nw using (entity, date) join w4 using (entity, date)),
+g1 as (select *, case when bottom_divergence > 0.3 then 1 else wp end as bp,
+  case when bottom_divergence > 0.3 then case when close > ma20 then 2 else 1 end when top_divergence > 0.3 then case when close < ma20 then -3 else -1 end when wp > 0 then case when wc >= 0.35 then 2 else 1 end else 0 end as lv,
+  bottom_divergence > 0.3 or (wp > 0 and wc >= 0.35) as cb, case when ema20 < ema60 and ema60 < ema120 then -2 when ema20 > ema60 and ema60 > ema120 then 2 else 0 end as tt, tanh(mom_20 - volatility_20) as fv from g0),
+g2 as (select *, case when lv >= 2 and cb then 1.0 when bp = 1 then 0.85 when bp >= 2 or lv >= 1 then 0.72 when bottom_divergence > 0.3 and tt <> 0 then 0.62 when tt = -2 and bp = 0 and lv <= 0 and bottom_divergence < 0.2 then 0.25 else 0.45 end as gs, 0.50 as gf, 0.6 as gh,
   case when not coalesce(close > 0 and ma20 > 0, false) then 0.40 when close > ma20 then case when ema20 > ema60 and ema60 > ema120 then 1.0 when ema20 > ema60 then 0.72 else 0.50 end when ema20 > ema60 then 0.38 else 0.25 end as gt from g1),
-g3 as (select *, least(greatest((gs + gf + gh + gt)::double / 4 / 0.55, 0.5), 2.0) as quality, coalesce(ord > 1 and (r / 10 <= -0.095 or r / 10 >= 0.095), false) or (lv <= -3 and top_divergence > 0.3) as rejected, case when fv is not null then greatest(least(fv, 10), -10) end as score from g2),
+g3 as (select *, least(greatest((gs + gf + gh + gt)::double / 4 / 0.55, 0.5), 2.0) as quality, coalesce(ord > 1 and (r / 10 <= -0.095 or r / 10 >= 0.095), false) or (lv <= -3 and top_divergence > 0.3) as rejected,
+  case when fv is not null then greatest(least(fv, 10), -10) end as score from g2),
 g4 as (select *, count(score) {over(400, 1)} as k, quantile_cont(score, 0.7) {over(400, 1)} as qb, quantile_cont(score, 0.3) {over(400, 1)} as qs from g3),
-g5 as (select *, case when k >= 100 then greatest(qb, 0.12 * 0.15) else 0.12 end as buy_threshold, case when k >= 100 then least(qs, -0.35) else -0.35 end as sell_threshold, case when ma20 > 0 then (close - ma20) / ma20 else 1 end as far from g4),
-g6 as (select *, coalesce(not rejected and score >= -0.05 and (bp >= 1 or close > ma20) and far < case when bp = 1 and lv >= 2 and bottom_divergence > 0.3 then 0.30 when bp = 1 and lv >= 1 and bottom_divergence > 0.3 then 0.25 else 0.30 end and (bp >= 1 or score > 0)
-   and (not fallen or (bp >= 1 and lv >= 1 and bottom_divergence > 0.3) or bottom_divergence > 0.3) and not coalesce(r / 10 <= -0.095, false), false) as can_buy,
+g5 as (select *, case when k >= 100 then greatest(qb, 0.12 * 0.15) else 0.12 end as buy_threshold, case when k >= 100 then least(qs, -0.35) else -0.35 end as sell_threshold, case when ma20 > 0 then (close - ma20) / ma20 else 1 end as far,
+  coalesce(score > 0.12 * 0.7, false)::int + coalesce(capital_flow_score > 0.5 and capital_flow_direction = 1, false)::int + coalesce(news_score > 0.3 and news_up = 1, false)::int as systems from g4),
+g5t as (select *, case when coalesce(smart_money > 0.15, false) then 'V' else '' end || case when bottom_divergence > 0.3 or top_divergence > 0.3 then 'D' else '' end || case when systems >= 2 then 'R' || systems else '' end as marks from g5),
+g6 as (select *, case when marks = '' then '_T' else marks end as tag, coalesce(not rejected and score >= -0.05 and (bp >= 1 or close > ma20) and far < case when bp = 1 and lv = 1 and cb then 0.25 when bp = 6 then 0.12 else 0.30 end and (bp >= 1 or score > 0)
+   and (tt <> -2 or (bp >= 1 and lv >= 1 and cb) or bottom_divergence > 0.3) and not coalesce(r / 10 <= -0.095, false) and marks <> '' and score >= buy_threshold
+   and not (bp in (5, 6) and lv < 1) and not (bp = 6 and tt < 0) and not (bp = 8 and lv < 2), false) as can_buy,
   coalesce(score < sell_threshold, false) or coalesce(score < 0 and ((lv <= -1 and top_divergence > 0.3) or coalesce(close < ma60 and ma60 > 0, false) or quality < 0.55 or (score < -0.20 and quality < 0.75)), false) as can_sell,
-  least(greatest(0.2 + 0.4 * quality + case when bottom_divergence > 0.3 or top_divergence > 0.3 then 0.08 else 0 end + case when vr > 1.2 and close > ma20 then 0.06 else 0 end, 0), 1) as confidence from g5)"""
+  least(greatest(0.2 + 0.4 * quality + case when abs(smart_money) > 0.15 then 0.10 else 0 end + case when bottom_divergence > 0.3 or top_divergence > 0.3 then 0.08 else 0 end + case when vr > 1.2 and close > ma20 then 0.06 else 0 end, 0), 1) as confidence from g5t)"""
 
 
 def decided(spark, sf_dir):
-    """Panel with structure from divergences, gates, score, thresholds and decisions."""
-    p = FL.divergences(FA.exponential(prepared(spark, sf_dir)))
+    """Panel with structure from divergences and window points, flows, gates, score, thresholds and decisions."""
+    p = swing.window_points(FL.divergences(FA.exponential(FL.news_proxy(FL.capital_flow(prepared(spark, sf_dir))))))
     c = F.col
-    low, high = c("bottom_divergence") > 0.3, c("top_divergence") > 0.3
-    level = F.when(low, F.when(c("close") > c("ma20"), 2).otherwise(1)).when(high, F.when(c("close") < c("ma20"), -3).otherwise(-1)).otherwise(0)
-    fallen = F.coalesce((c("ema20") < c("ema60")) & (c("ema60") < c("ema120")), F.lit(False))
-    p = p.withColumn("buy_point", F.when(low, 1).otherwise(0)).withColumn("signal_level", level).withColumn("trend_type", F.when(fallen, -2).otherwise(0)).withColumn("confirmed_buy", low).withColumn("confirmed_sell", high)
-    p = SG.defaults(p.withColumn("volume_ratio_raw", c("vr")).withColumn("ret", c("r") / 10))
+    low, high, kind = c("bottom_divergence") > 0.3, c("top_divergence") > 0.3, swing.first_window_point()
+    sure = F.coalesce(*WINDOW_POINTS, F.lit(0.0))
+    level = F.when(low, F.when(c("close") > c("ma20"), 2).otherwise(1)).when(high, F.when(c("close") < c("ma20"), -3).otherwise(-1)).when(kind > 0, F.when(sure >= 0.35, 2).otherwise(1)).otherwise(0)
+    trend = F.when((c("ema20") < c("ema60")) & (c("ema60") < c("ema120")), -2).when((c("ema20") > c("ema60")) & (c("ema60") > c("ema120")), 2).otherwise(0)
+    p = p.withColumn("buy_point", F.when(low, 1).otherwise(kind)).withColumn("signal_level", level).withColumn("trend_type", trend).withColumn("confirmed_buy", low | (kind > 0) & (sure >= 0.35)).withColumn("confirmed_sell", high)
+    p = SG.defaults(p.withColumn("smart_money_flow", c("smart_money")).withColumn("volume_ratio_raw", c("vr")).withColumn("ret", c("r") / 10))
     graded = SG.gates()
     p = p.select("*", *[g.alias(k) for k, g in graded.items()])
     p = p.withColumn("quality", SG.gate_quality([c(k) for k in graded])).withColumn("rejected", SG.hard_reject(c("ret")) & (c("ord") > 1) | F.coalesce((c("signal_level") <= -3) & c("confirmed_sell"), F.lit(False)))
     p = p.withColumn("score", SG.assembled_score(F.tanh(c("mom_20") - c("volatility_20"))))
     buy, sell = SG.moving_thresholds(c("score"))
+    p = p.drop("buy_systems").withColumn("buy_systems", SG.resonance(c("score"))[0])
     p = p.withColumn("buy_threshold", buy).withColumn("sell_threshold", sell).withColumn("confidence", SG.confidence(c("quality")))
     return SG.decide(p)
 
@@ -305,7 +320,7 @@ def gate_quality(spark, sf_dir):
     return rounded(decided(spark, sf_dir).select("entity", "date", "gate_structure", "gate_frames", "gate_heat", "gate_trend", "quality", "rejected"))
 
 
-@query(f"""{DECIDE_SQL} select entity, date, {pick({'score': 'score', 'buy_threshold': 'buy_threshold', 'sell_threshold': 'sell_threshold', 'confidence': 'confidence', 'buy': '=ord > 60 and score is not null and can_buy', 'sell': '=ord > 60 and score is not null and can_sell'}, 5)} from g6""")
+@query(f"""{DECIDE_SQL} select entity, date, {pick({'score': 'score', 'buy_threshold': 'buy_threshold', 'sell_threshold': 'sell_threshold', 'confidence': 'confidence', 'tag': '=tag', 'buy_point': '=bp', 'buy': '=ord > 60 and score is not null and can_buy', 'sell': '=ord > 60 and score is not null and can_sell'}, 5)} from g6""")
 def score_decision(spark, sf_dir):
     """Score, moving thresholds, confidence, and the buy and sell decision of every row."""
-    return rounded(decided(spark, sf_dir).select("entity", "date", "score", "buy_threshold", "sell_threshold", "confidence", "buy", "sell"), 5)
+    return rounded(decided(spark, sf_dir).select("entity", "date", "score", "buy_threshold", "sell_threshold", "confidence", "tag", "buy_point", "buy", "sell"), 5)

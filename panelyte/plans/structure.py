@@ -86,7 +86,8 @@ def _r(a: int, z: int = 0) -> str:
 _BACK = lambda n: f"((close - {_b(n)}) / ({_b(n)} + 1e-10))"
 
 
-@query(f"""{B}, w0 as (select *, case when ord > 1 then abs(close - {_b(1)}) else 0 end as step, case when ord >= 20 then avg(close) {_r(19)} end as ma20, case when ord >= 60 then avg(close) {_r(59)} end as ma60, case when ord >= 20 then avg(volume) {_r(19)} end as v20,
+#: Window points by entity and date as common table expressions over b.
+WINDOW_CTES = f"""w0 as (select *, case when ord > 1 then abs(close - {_b(1)}) else 0 end as step, case when ord >= 20 then avg(close) {_r(19)} end as ma20, case when ord >= 60 then avg(close) {_r(59)} end as ma60, case when ord >= 20 then avg(volume) {_r(19)} end as v20,
   coalesce(ord > 1 and {_BACK(1)} > 0.095, false) as lim, max(close) {_r(60, 1)} as h60, min(close) {_r(20)} as l21, avg(close) {_r(20)} as m21, max(close) {_r(20)} as h21, avg(volume) {_r(2)} as v3, avg(volume) {_r(7, 3)} as v5, {_BACK(1)} as b1, {_BACK(3)} as b3, {_BACK(5)} as b5, {_BACK(10)} as b10, {_BACK(60)} as b60, avg(volume) {_r(4)} as vlate, avg(volume) {_r(9, 5)} as vearly, {_b(1)} as c1, ({_b(1)} - {_b(5)}) / ({_b(5)} + 1e-10) as pre, avg(volume) {_r(20, 1)} as vb20 from b),
 w1 as (select *, case when ord >= 20 then avg(step) {_r(19)} end as atr, coalesce(close < 0.99 * ma20, false)::int as under, lag(ma20, 5) over (partition by entity order by date) as ma5b, max(case when lim then ord end) {_r(4, 1)} as ho from w0),
 w2 as (select *, max(under) {_r(5, 1)} = 1 as crossed, avg(atr) {_r(20, 11)} as early, avg(atr) {_r(10)} as latr from w1),
@@ -98,7 +99,10 @@ w4 as (select entity, date, case when ord > 60 and (h60 - close) / h60 > 0.15 an
   case when ord > 30 and crossed and close > 0.97 * ma20 and ma20 > ma5b and b5 > 0.005 and b5 < 0.10 and volume > 0.85 * v20 and b10 < 0.18 and l21 < 0.92 * close then least(greatest(0.20 + 0.25 * least(1, 50 * (ma20 / (ma5b + 1e-10) - 1)) + 0.15 * least(1, volume / (v20 + 1e-10) - 0.9) + 2 * b5, 0.15), 0.65) end as trend_start,
   case when ord > 60 and ma20 > ma60 and (abs(close - ma20) / (ma20 + 1e-10) < 0.03 or (abs(close - ma60) / (ma60 + 1e-10) < 0.05 and close > ma60)) and h21 > 1.05 * ma20 and close > c1 and b3 > -0.01 and v3 < 0.95 * v20 then least(greatest(0.30 + 0.2 * (1 - 10 * abs(close - ma20) / (ma20 + 1e-10)) + 3, 0.20), 0.70) end as mean_pullback,
   case when ord > 40 and (coalesce(early > 0 and latr < 0.7 * early, false) or (h21 - l21) / (l21 + 1e-10) < 0.12) and volume > 1.3 * v20 and b1 > 0.01 and close > ma20 then least(greatest(0.25 + 5 * b1 + case when early > 0 and latr < 0.7 * early then 0.10 else 0 end, 0.15), 0.65) end as range_breakout,
-  case when ord > 8 and days >= 1 and lows > 0.98 * hc and (days = 1 or pv < 0.7 * hv) and close > c1 then least(greatest(0.35 + 0.08 * (3 - days) - 3 * (hc - lows) / (hc + 1e-10), 0.20), 0.70) end as limit_pullback from w3)
+  case when ord > 8 and days >= 1 and lows > 0.98 * hc and (days = 1 or pv < 0.7 * hv) and close > c1 then least(greatest(0.35 + 0.08 * (3 - days) - 3 * (hc - lows) / (hc + 1e-10), 0.20), 0.70) end as limit_pullback from w3)"""
+
+
+@query(f"""{B}, {WINDOW_CTES}
 select entity, date, {', '.join(f'round({n}, 6) as {n}' for n in ('v_reversal', 'gap_reversal', 'trend_pullback', 'trend_start', 'mean_pullback', 'range_breakout', 'limit_pullback'))}, case when v_reversal is not null or gap_reversal is not null then 1 when trend_pullback is not null then 4 when trend_start is not null then 5 when mean_pullback is not null then 6 when range_breakout is not null then 8 when limit_pullback is not null then 9 else 0 end as buy_point from w4""")
 def window_buy_points(spark, sf_dir):
     """Buy points that need no pivot, with their confidence."""

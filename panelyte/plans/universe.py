@@ -13,11 +13,11 @@ from panelyte.plans.research import FACTORS, factor_panel, panel_sql
 from panelyte.sources.panels import bars, membership, table
 
 B, P = bars_sql(), panel_sql()
-LISTING = """ls as (select lpad(p_partkey::varchar, 6, '0') as symbol, p_name as name, p_retailprice as close, volume, p_size * p_retailprice as cap from part left join (select l_partkey, sum(l_quantity) as volume from lineitem where l_returnflag = 'N' group by 1) on l_partkey = p_partkey)"""
+LISTING = """ls as (select lpad(p_partkey::varchar, 6, '0') as symbol, p_name as name, p_retailprice as close, volume, p_size * p_retailprice as cap from part left join (select l_partkey, sum(l_quantity) as volume from lineitem group by 1) on l_partkey = p_partkey)"""
 
 
 def listing(spark, sf_dir):
-    volume = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("volume"))
+    volume = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("volume"))
     parts = table(spark, sf_dir, "part").join(volume, "p_partkey", "left")
     return parts.select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("close"), "volume", (F.col("p_size") * F.col("p_retailprice")).alias("cap"))
 
@@ -28,9 +28,10 @@ def listing_universe(spark, sf_dir):
     return U.listed(listing(spark, sf_dir), ["cold", "bolt"], ["00019"], 5000.0, 905.0, 20000.0, 50)
 
 
-@query(f"with {LISTING} select distinct symbol from ls where contains(name, 'cold') or contains(name, 'bolt')")
+@query("select distinct lpad(p_partkey::varchar, 6, '0') as symbol from part where contains(p_name, 'cold') or contains(p_name, 'bolt')")
 def special_list(spark, sf_dir):
-    return U.special_names(listing(spark, sf_dir), ["cold", "bolt"])
+    names = table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), F.col("p_name").alias("name"))
+    return U.special_names(names, ["cold", "bolt"])
 
 
 @query(f"""{B}, k as (select *, case when entity <> 'Brand#3' then amount end as am, row_number() over (partition by entity order by date desc) as k from bars where date <= date '2001-03-31'),
