@@ -37,3 +37,25 @@ def macd(df: DataFrame, source: str, fast: int = 12, slow: int = 26, signal: int
         return pdf
 
     return df.groupBy(key).applyInPandas(run, schema)
+
+
+def exponential_pass(df: DataFrame, source: str, spans: dict[str, int], macd: bool, key: str = "entity", order: str = "date") -> DataFrame:
+    """df with means (name -> span) started from the first value and, with macd, the three MACD columns: one group of
+    rows an entity for all of them."""
+    added = [*spans, *(["macd", "macd_signal", "macd_hist"] if macd else [])]
+    kept = [f for f in df.schema.fields if f.name not in added]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} double" for n in added])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        mean = lambda x, span: x.ewm(span=span, adjust=False, ignore_na=True).mean()
+        x = pdf[source].astype(float)
+        for name, span in spans.items():
+            pdf[name] = mean(x, span)
+        if macd:
+            pdf["macd"] = mean(x, 12) - mean(x, 26)
+            pdf["macd_signal"] = mean(pdf["macd"], 9)
+            pdf["macd_hist"] = pdf["macd"] - pdf["macd_signal"]
+        return pdf
+
+    return df.select(*[f.name for f in kept]).groupBy(key).applyInPandas(run, schema)

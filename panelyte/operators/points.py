@@ -97,6 +97,22 @@ def fractal_quality(rows: DataFrame) -> DataFrame:
     return told.withColumn("bottom_quality", quality).withColumn("top_quality", F.coalesce(F.array_max(left), F.lit(0.0))).drop("at", "was", "bottom_own", "top_own")
 
 
+def top_fractal_volume(rows: DataFrame, reach: int = 60, first: int = 30) -> DataFrame:
+    """rows of known_structure() with top_fractal_volume, on the bar on which a top becomes known (else 0): the largest
+    volume of the top's last four bars against that of the top before it within `reach` bars. Below 0.7 times -0.8 if the
+    close is above that top's and a second top lies in reach, else -0.4; above 2 times 0.5. Tops among an entity's first
+    `first` bars have none."""
+    about = rows.select("entity", F.col("ord").alias("top_ord"), F.struct("ord", "close", F.max("volume").over(W.incl(4)).alias("volume")).alias("top"))
+    events = rows.filter("top_ord is not null").select("entity", "ord", "top_ord").join(about, ["entity", "top_ord"])
+    by = Window.partitionBy("entity").orderBy("ord")
+    near = lambda n: F.when(F.col("top.ord") - F.lag("top.ord", n).over(by) < reach, F.lag("top", n).over(by))
+    last = near(1)
+    share = F.try_divide(F.col("top.volume"), last["volume"])
+    grade = F.when(share < 0.7, F.when(near(2).isNotNull() & (F.col("top.close") > last["close"]), -0.8).otherwise(-0.4)).when(share > 2.0, 0.5).otherwise(0.0)
+    valued = events.select("entity", "ord", F.when(F.col("top_ord") > first, F.coalesce(grade, F.lit(0.0))).alias("top_fractal_volume"))
+    return rows.join(valued, ["entity", "ord"], "left").withColumn("top_fractal_volume", F.coalesce("top_fractal_volume", F.lit(0.0)))
+
+
 class Second:
     """Second points of one side of one entity: after a first point (side 1: a bottom, -1: a top) a swing the other way,
     then a fractal that stays clear of the first one's extreme. Holds the bars of the last `span` and open references."""

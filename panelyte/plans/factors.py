@@ -251,3 +251,21 @@ def factor_patterns(spark, sf_dir):
         "vol_opening_confirm": confirmed, "vol_opening_strength": strength, "stroke_phase": FA.stroke_phase(place), "exhaustion_risk": FA.exhaustion(place, F.col("macd_hist")),
         "limit_pullback_score": F.col("limit_pullback_score"),
     })
+
+
+_CHOSEN = ["rsi_14", "bb_pos_30", "mom_x_lowvol_10_20", "gap_ratio", "price_ma_60", "ma7", "ret_30", "atr_ratio_20", "ln_cap"]
+
+
+@query(f"""{BASE}, amt as (select entity, date, amount from bars), m as (select p.*, amount, {rsi(14)} as rsi_14, {full(f'stddev_pop(close) {over(19)}', 20)} as sd, {sma('tr', 20)} as atr_20, {sma('close', 7)} as ma7,
+  sum(case when gap > 0.01 then gap else 0 end) {over(20, 1)} as above, -sum(case when gap < -0.01 then gap else 0 end) {over(20, 1)} as below from p join amt using (entity, date))
+select entity, date, {pick({
+    'rsi_14': 'rsi_14', 'bb_pos_30': f'(close - ma20 + 2 * sd) / (4 * sd + {E})', 'mom_x_lowvol_10_20': 'tanh(-20 * mom_10 * volatility_20)', 'gap_ratio': f"tanh(3 * {later(f'(above - below) / (above + below + {E})', 20)})",
+    'price_ma_60': f'close / (ma60 + {E}) - 1', 'ma7': 'ma7', 'ret_30': f"close / {lag('close', 30)} - 1", 'atr_ratio_20': f'atr_20 / (close + {E})',
+    'ln_cap': 'case when amount > 0 and turnover > 0.001 then tanh(ln(greatest(amount / (turnover / 100), 1e6)) / 10 - 0.5) else 0 end',
+}, 6, NUDGE)} from m""")
+def chosen_factors(spark, sf_dir):
+    """Nine factors of five families by name; the registry plans what they need and nothing else."""
+    from panelyte.operators.catalogue import REGISTRY
+
+    p = REGISTRY.plan(panel(spark, sf_dir).drop("ret", "grp").withColumn("turnover", F.col("volume") / 100), _CHOSEN)
+    return chosen(p, {c: F.col(c) for c in _CHOSEN}, 6, 1e-9)

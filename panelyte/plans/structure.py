@@ -68,6 +68,12 @@ def fractal_quality(spark, sf_dir):
     return rounded(pointed(spark, sf_dir).select("entity", "date", "bottom_ord", "top_ord", "bottom_q", "top_q", "bottom_quality", "top_quality"))
 
 
+@query(None)
+def top_fractal_volume(spark, sf_dir):
+    """Volume of tops against that of the tops before them."""
+    return rounded(points.top_fractal_volume(known(spark, sf_dir)).select("entity", "date", "top_ord", "top_fractal_volume"))
+
+
 @query(None)
 def agreeing_levels(spark, sf_dir):
     """Levels of strokes and segments that agree, strength of both sides, and the price at which to give up."""

@@ -229,3 +229,22 @@ def test_every_kind_of_point_is_reached(spark, sf):
     p = known(spark, sf.replace("sf0.001", "sf0.01"))
     kinds = {r.buy_point for r in points.first_points(p).select("buy_point").distinct().collect()}
     assert {0, 1} < kinds and len(kinds) >= 5
+
+
+def test_top_volume_by_brute_force(spark):
+    bars = walk(500, 21, 0.03)
+    df = spark.createDataFrame([("a", b[0], *map(float, b[1:]), b[0]) for b in bars], BAR + ", date long")
+    rows = points.top_fractal_volume(known_structure(df)).orderBy("ord").collect()
+    tops, seen = [], set()
+    for r in rows:
+        want = 0.0
+        if r.top_ord is not None:
+            volume = max(b[4] for b in bars[max(0, r.top_ord - 4) : r.top_ord])
+            near = [t for t in tops[-2:] if r.top_ord - t[0] < 60]
+            if r.top_ord > 30 and near and r.top_ord - tops[-1][0] < 60:
+                share = volume / tops[-1][2]
+                want = (-0.8 if len(near) > 1 and bars[r.top_ord - 1][3] > tops[-1][1] else -0.4) if share < 0.7 else 0.5 if share > 2 else 0.0
+            tops.append((r.top_ord, bars[r.top_ord - 1][3], volume))
+        assert r.top_fractal_volume == want
+        seen.add(want)
+    assert len(seen) >= 3
