@@ -89,12 +89,12 @@ def walk_forward(ic: DataFrame, calendar: DataFrame, window: int, horizon: int,
     """
     ordinals = calendar.select("date").distinct().withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
     frame = Window.partitionBy("factor").orderBy("ord").rangeBetween(-(horizon + window), -(horizon + 1))
-    grid = ic.select("factor").distinct().crossJoin(ordinals).join(ic.select("date", "factor", "ic"), ["date", "factor"], "left")  # factors are a fixed list
+    grid = ordinals.crossJoin(F.broadcast(ic.select("factor").distinct())).join(ic.select("date", "factor", "ic"), ["date", "factor"], "left")  # factors are a fixed list
     mean, sd, n = F.avg("ic").over(frame), F.stddev_pop("ic").over(frame), F.count("ic").over(frame)
     scored = grid.select("date", "factor", mean.alias("ic_mean"), F.when(sd > 1e-10, mean / sd).alias("ir"), n.alias("n")).filter((F.col("n") >= least_dates) & F.col("ir").isNotNull())
-    family = F.create_map(*[F.lit(v) for kv in families.items() for v in kv])
+    family = F.create_map(*[F.lit(v) for kv in families.items() for v in kv])[F.col("factor")] if families else F.lit(None).cast("string")
     best = Window.partitionBy("date", "family").orderBy(F.desc(F.abs("ir")), "factor")
-    first = scored.withColumn("family", F.coalesce(family[F.col("factor")], F.col("factor"))).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= per_family)
+    first = scored.withColumn("family", F.coalesce(family, F.col("factor"))).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= per_family)
     chosen = first.withColumn("k", F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.abs("ir")), "factor"))).filter(F.col("k") <= top)
     squared = F.col("ir") * F.col("ir")
     return chosen.select("date", "factor", "ic_mean", "ir", F.signum("ic_mean").cast("int").alias("direction"), (squared / F.sum(squared).over(Window.partitionBy("date"))).alias("weight"))
