@@ -71,7 +71,7 @@ def ks_distance(rows: DataFrame, value: str, side: Column, cells: int = 256) ->
 
 def round_trips(signals: DataFrame) -> DataFrame:
     """Each buy row with the first later sell of its entity: (entity, bought, sold, ret)."""
-    later = Window.partitionBy("entity").orderBy("date").rowsBetween(1, Window.unboundedFollowing)
-    out = F.first(F.when(F.col("sell"), F.struct("date", "close")), ignorenulls=True).over(later)
+    later = Window.partitionBy("entity").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)  # from the last row on, so the frame only grows
+    out = F.last(F.when(F.col("sell"), F.struct("date", "close")), ignorenulls=True).over(later)
     found = signals.withColumn("out", out).filter(F.col("buy") & F.col("out").isNotNull())
     return found.select("entity", F.col("date").alias("bought"), F.col("out.date").alias("sold"), (F.col("out.close") / F.col("close") - 1).alias("ret"))

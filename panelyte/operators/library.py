@@ -9,7 +9,6 @@ from panelyte.operators.asof import asof
 from panelyte.operators.ic import combine, rank_ic, summarize
 
 #: Fallbacks for a missing state column.
-STATES = ("candidate", "active", "decaying", "retired")
 
 
 def quality(metrics: DataFrame, lookback: int = 8, half_life: float = 4.0, active: float = 0.02) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelyte.operators.ic import melt, rank_ic, summarize
 from panelyte.operators.xsec import percent_rank, zscore
+from panelyte.sources.store import stored
 
 
 def prepare(panel: DataFrame, features: list[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def validation_ic(models: list[GBTRegressionModel], rows: DataFrame, least: int
     return float(found["ic_mean"]) if found and found["ic_mean"] is not None else 0.0
 
 
-def rolling_retrain(rows: DataFrame, every: int, window: int, horizon: int, least_ic: float = 0.0, share: float = 0.8, **options) -> DataFrame:
+def rolling_retrain(rows: DataFrame, every: int, window: int, horizon: int, least_ic: float = 0.03, share: float = 0.8, **options) -> DataFrame:
     """(entity, date, prediction, trained_on) of prepared rows: at every `every`-th date a new ensemble from the `window`
     dates that end before that date less `horizon`, so that every label in it is known; its first `share` trains and
     the rest validates. Below least_ic the ensemble before goes on; dates before the first have no row.
@@ -70,7 +71,7 @@ def rolling_retrain(rows: DataFrame, every: int, window: int, horizon: int, leas
     The loop runs over retraining dates only, a few of the calendar; each fit and each prediction is distributed.
     """
     days = rows.select("date").distinct().withColumn("o", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))
-    dealt = rows.join(days, "date").cache()
+    dealt = stored(rows.join(days, "date"), "dealt")
     last = dealt.agg(F.max("o")).first()[0] or 0
     parts, models, since = [], None, None
     for start in range(window + horizon + 1, last + 1, every):

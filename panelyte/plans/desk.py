@@ -16,6 +16,7 @@ from panelyte.plans.kernels import panel, rounded
 from panelyte.plans.registry import bars_sql, query
 from panelyte.plans.research import REGIME_SQL, factor_panel, panel_sql, r6, regimes
 from panelyte.sources.panels import bars, market, membership, table
+from panelyte.sources.store import stored
 
 B, P = bars_sql(), panel_sql()
 LAGS = ", ".join(f"close / lag(close, {n}) over e - 1 as m{n}" for n in (5, 10, 20))
@@ -58,8 +59,8 @@ x as (select o.entity, have, (floor(coalesce(weight, 0) * 1e7 / price / 100) * 1
 select entity, have, want, want - have as delta, case when want > have then 'buy' when want < have then 'sell' else 'hold' end as side from x""")
 def order_diff(spark, sf_dir):
     w = weights(spark, sf_dir)
-    k = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("date")))
-    w = w.withColumn("k", k).filter("k <= 2")
+    days = w.select("date").distinct().orderBy(F.desc("date")).limit(2).withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("date"))))  # two dates
+    w = stored(w, "weights").join(F.broadcast(days), "date")
     current = w.filter("k = 2").select("entity", (F.floor(F.col("weight") * 1e7 / F.col("close") / 100) * 100).alias("qty"))
     prices = bars(spark, sf_dir).groupBy("entity").agg(F.max_by("close", "date").alias("price"))
     return S.order_diff(w.filter("k = 1"), current, prices, 1e7)
@@ -143,7 +144,7 @@ k as (select *, max(case when lag = 0 then corr end) over (partition by leader,
 def lead_lag_edges(spark, sf_dir):
     """Edges between groups; the floor is low, as weekly returns of these groups hardly correlate."""
     r = panel(spark, sf_dir).filter("ret is not null").groupBy(F.col("grp").alias("concept"), "date").agg(F.avg("ret").alias("ret"))
-    return rounded(G.lead_lag(r, 3, floor=-0.2))
+    return rounded(G.lead_lag(stored(r, "returns"), 3, floor=-0.2))
 
 
 _CHAIN = f"""{B}, cr as (select 'chain' as chain, cast(grp as int) as seg_ord, grp as segment, entity as concept, date, ret from b where ret is not null),
@@ -153,14 +154,13 @@ cx as (select s.chain, s.date, s.segment, (a.ret - s.ret) / s.vol as z, a.seg_or
 cb as (select chain, date, segment, max(case when step = -1 and z > 1.5 then least(z * 0.10, 0.30) when step < -1 and z > 2.2 then least(z * 0.06, 0.18) when step > 0 and z > 2.5 then least(z * 0.06, 0.25) else 0 end) as bonus from cx group by 1, 2, 3)"""
 
 
-def chain_members(spark, sf_dir):
-    p = panel(spark, sf_dir).filter("ret is not null")
+def chain_members(p):
     return p.select(F.lit("chain").alias("chain"), F.col("grp").cast("int").alias("seg_ord"), F.col("grp").alias("segment"), F.col("entity").alias("concept"), "date", "ret")
 
 
 @query(f"{_CHAIN} select date, segment, round(bonus, 6) as bonus from cb")
 def chain_conduction(spark, sf_dir):
-    return rounded(G.conduction(chain_members(spark, sf_dir)).select("date", "segment", "bonus"))
+    return rounded(G.conduction(chain_members(panel(spark, sf_dir).filter("ret is not null"))).select("date", "segment", "bonus"))
 
 
 _DECAY = 0.5 ** (1 / 3)
@@ -172,9 +172,9 @@ z as (select hh.entity, hh.date, least(greatest(0.7 * least(greatest(heat, 0), 1
 select entity, date, round(heat, 6) as heat from z""")
 def concept_heat(spark, sf_dir):
     """Heat of an entity's concepts with the lead of earlier chain segments, on the dates with concept returns."""
-    p = panel(spark, sf_dir).filter("ret is not null")
+    p = stored(panel(spark, sf_dir).filter("ret is not null").select("entity", "grp", "date", "ret"), "returns")
     members = membership(spark, sf_dir)
-    signals = G.conduction(chain_members(spark, sf_dir)).select("segment", "date", "bonus")
+    signals = G.conduction(chain_members(p)).select("segment", "date", "bonus")
     leads = p.select("entity", F.col("grp").alias("segment")).distinct().join(signals, "segment").select("entity", "date", "bonus")
     return rounded(G.concept_heat(G.concept_returns(p, members), members, leads))
 
@@ -223,7 +223,7 @@ def param_scan(spark, sf_dir):
 @query(f"""{P}, q as (select quantile_cont(target, 0.9) as hi, quantile_cont(target, 0.1) as lo from p), x as (select p.*, case when target >= hi then 'win' when target <= lo then 'loss' end as side from p, q where target is not null and mom_20 is not null)
 select round(avg(mom_20) filter (side = 'win'), 6) as win_mean, round(avg(mom_20) filter (side = 'loss'), 6) as loss_mean, round((avg(mom_20) filter (side = 'win') - avg(mom_20) filter (side = 'loss')) / stddev_samp(mom_20), 6) as effect, count(*) filter (side = 'win') as wins, count(*) filter (side = 'loss') as losses, (select round(max(abs(fa - fb)), 6) from (select sum((side = 'win')::int) over o / sum((side = 'win')::int) over () as fa, sum((side = 'loss')::int) over o / sum((side = 'loss')::int) over () as fb from x where side is not null window o as (order by mom_20 range between unbounded preceding and current row))) as ks from x""")
 def winner_loser(spark, sf_dir):
-    p = factor_panel(spark, sf_dir)
+    p = stored(factor_panel(spark, sf_dir).select("target", "mom_20"), "winners")
     q = p.agg(F.percentile("target", 0.9).alias("hi"), F.percentile("target", 0.1).alias("lo"))
     x = p.filter("target is not null and mom_20 is not null").crossJoin(F.broadcast(q))  # q is one row
     win, loss = F.col("target") >= F.col("hi"), F.col("target") <= F.col("lo")

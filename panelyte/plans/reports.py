@@ -14,6 +14,7 @@ from panelyte.plans.desk import SIGNALS, WEIGHTS, signals, weights
 from panelyte.plans.kernels import panel, rounded
 from panelyte.plans.registry import bars_sql, query
 from panelyte.plans.research import FACTORS, REGIME_SQL, WALK_SQL, factor_panel, ic_sql, panel_sql, r6, regimes
+from panelyte.sources.store import stored
 
 B, P = bars_sql(), panel_sql()
 LEAD = "lead({0}) over (partition by entity order by date)"
@@ -235,7 +236,7 @@ sx as (select k, entity, date, target, sum(weight * value) / sum(weight) as valu
 @query(f"""{GREEDY}, ci as {ic_sql('k, date', 10, 'sy')}, cz as (select k, avg(ic) as m, avg(ic) / stddev_pop(ic) * abs(sum(sign(round(ic, 9)))) / count(*) as combined_ir from ci group by 1) select k::int as k, round(m, 6) as combined_ic, round(combined_ir, 6) as combined_ir, array_to_string(factors, ',') as factors from (select *, row_number() over (order by round(m, 12) desc, k) as r from cz) join nd using (k) where r = 1""")
 def prefix_greedy(spark, sf_dir):
     """The prefix of the best factors whose weighted sum has the best IC."""
-    long = IC.melt(factor_panel(spark, sf_dir), FACTORS, "target")
+    long = stored(IC.melt(factor_panel(spark, sf_dir), FACTORS, "target"), "long")
     out = LB.prefix_greedy(long, IC.summarize(IC.rank_ic(long)))
     return rounded(out.withColumn("factors", F.array_join("factors", ",")))
 

@@ -13,6 +13,7 @@ from panelyte.operators.asof import asof, level_distances
 from panelyte.plans.kernels import ex, inc, panel, rounded
 from panelyte.plans.registry import STATEMENTS_SQL, bars_sql, query
 from panelyte.sources.panels import bars, membership, statements
+from panelyte.sources.store import stored
 
 FACTORS = ["mom_5", "mom_20", "vol_20", "pos_20", "vr_20"]
 FAMILIES = {"mom_5": "momentum", "mom_20": "momentum", "vol_20": "risk", "pos_20": "position", "vr_20": "volume"}
@@ -93,7 +94,7 @@ x as (select l.*, mem.concept, rg.regime from l join mem using (entity) join rg
 select concept, regime, factor, count(*) as n_dates, round(avg(ic), 6) as ic_mean, round(abs(sum(sign(round(ic, 9)))) / count(*), 6) as stability from ic group by all having count(*) >= 10""")
 def ic_group_regime(spark, sf_dir):
     """IC by concept (many to many), regime and factor."""
-    p = factor_panel(spark, sf_dir)
+    p = stored(factor_panel(spark, sf_dir), "factors")
     long = IC.melt(p, FACTORS, "target").join(membership(spark, sf_dir), "entity").join(regimes(p), "date")
     ic = IC.rank_ic(long, ["concept", "regime", "date", "factor"], 8)
     return rounded(ic.groupBy("concept", "regime", "factor").agg(F.count(F.lit(1)).alias("n_dates"), F.avg("ic").alias("ic_mean"), (F.abs(F.sum(F.signum(F.round("ic", 9)))) / F.count(F.lit(1))).alias("stability")).filter("n_dates >= 10"))
@@ -157,7 +158,7 @@ wf as (select date, factor, ic_mean, ir, sign(ic_mean)::int as direction, ir * i
 
 @query(f"{WALK_SQL} select date, factor, {r6('ic_mean', 'ir')}, direction, round(weight, 6) as weight from wf")
 def walkforward_select(spark, sf_dir):
-    p = factor_panel(spark, sf_dir)
+    p = stored(factor_panel(spark, sf_dir).select("entity", "date", "target", *FACTORS), "factors")
     return rounded(IC.walk_forward(IC.rank_ic(IC.melt(p, FACTORS, "target")), p, 60, 5, 3, {"mom_5": "momentum", "mom_20": "momentum"}))
 
 
@@ -165,7 +166,7 @@ def walkforward_select(spark, sf_dir):
 n as (select date, count(*) as need from wf group by 1) select entity, date, round(score, 6) as score from j join n using (date) where have = need""")
 def combined_score(spark, sf_dir):
     """Signed weighted sum of the factors chosen walk-forward."""
-    p = factor_panel(spark, sf_dir)
+    p = stored(factor_panel(spark, sf_dir).select("entity", "date", "target", *FACTORS), "factors")
     long = IC.melt(p, FACTORS, "target")
     weights = IC.walk_forward(IC.rank_ic(long), p, 60, 5, 3, {"mom_5": "momentum", "mom_20": "momentum"})
     return rounded(IC.combine(long, weights.withColumn("weight", F.col("weight") * F.col("direction"))).select("entity", "date", "score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,10 +159,24 @@ def of_entities(spark: SparkSession, path: str, entities: list[str], dates: tupl
     return rows if dates is None else rows.filter(F.col("date").between(*[F.lit(d).cast("date") for d in dates]))
 
 
+def _files_mark(rows: DataFrame) -> str:
+    """Digest of the files that rows is read from; empty if it is not read from files alone."""
+    paths, spark = sorted(rows.inputFiles()), rows.sparkSession
+    if not paths:
+        return ""
+    conf, seen = spark._jsc.hadoopConfiguration(), hashlib.sha256(rows._jdf.queryExecution().analyzed().canonicalized().toString().encode())
+    for p in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(p)
+        status = target.getFileSystem(conf).getFileStatus(target)
+        seen.update(f"{p} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return seen.hexdigest()[:32]
+
+
 def reused(panel: DataFrame, path: str, inputs: list[DataFrame]) -> DataFrame:
-    """panel as stored at path if it was stored for the same inputs (fingerprints of their rows), else written there."""
+    """panel as stored at path if it was stored for the same inputs, else written there. Inputs read from files are told
+    by the files' paths, lengths and times, without a scan; others by a fingerprint of their rows."""
     spark = panel.sparkSession
-    marks = "-".join(f"{r['rows']}-{r['digest'] & (1 << 64) - 1:x}" for r in (fingerprint(i).first() for i in inputs))
+    marks = "-".join(_files_mark(i) or "-".join(f"{v & (1 << 64) - 1:x}" for v in fingerprint(i).first()) for i in inputs)
     at = f"{path.rstrip('/')}/{marks}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
