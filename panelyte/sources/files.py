@@ -189,3 +189,32 @@ def standard_bars(spark: SparkSession, raw_folder: str, path: str, first: str, l
     rows = read_raw_bars(spark, raw_folder).filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & F.col("close").isNotNull())
     rows.repartition("entity").sortWithinPartitions("entity", "date").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], kinds: dict[str, str] | None = None, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """CSV files of a table from elsewhere in this library's names: columns maps its headers to ours, kinds gives types
+    (double where none is given; `date` by date_format; `entity` and strings as text). Headers that a file lacks are
+    null, others are left out; values that are no number are null."""
+    kinds = {"entity": "string", "date": "date"} | (kinds or {})
+    raw = spark.read.option("header", True).csv(path)
+    typed = lambda c, to: F.to_date(c, date_format) if to == "date" else F.expr(f"try_cast(`{c}` as {to})")
+    return raw.select(*[(typed(theirs, kinds.get(ours, "double")) if theirs in raw.columns else F.lit(None).cast(kinds.get(ours, "double"))).alias(ours) for theirs, ours in columns.items()])
+
+
+def event_history(events: DataFrame) -> DataFrame:
+    """(entity, dates, n) of events (entity, date): the distinct dates on which an entity is listed, in order."""
+    return events.groupBy("entity").agg(F.sort_array(F.collect_set("date")).alias("dates"), F.count_distinct("date").alias("n"))
+
+
+class History:
+    """An append-only table: every run adds rows of its own, none is rewritten, and a repeated run replaces itself."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, rows: DataFrame, run: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/run={run}")
+
+    def read(self) -> DataFrame:
+        """All rows with the run that wrote them."""
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path)

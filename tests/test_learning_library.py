@@ -101,3 +101,28 @@ def test_rows_meet_the_spans_they_lie_in(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5)], "k string, t int")
     spans = spark.createDataFrame([("a", 1, 5, "x"), ("a", 5, 9, "y"), ("c", 0, 9, "z")], "k string, lo int, hi int, name string")
     assert sorted((r.k, r.t, r.name) for r in in_interval(rows, spans, ["k"], "t", "lo", "hi").collect()) == [("a", 1, "x"), ("a", 5, "x"), ("a", 5, "y")]
+
+
+def test_small_records(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from panelyte.operators import records as RE
+    from panelyte.sources import files
+
+    (tmp_path / "alt.csv").write_text("代码,日期,买入\n600000,20240102,1.5\n600000,20240103,x\n600001,20240102,2\n")
+    rows = files.read_mapped(spark, f"file://{tmp_path}/alt.csv", {"代码": "entity", "日期": "date", "买入": "bought", "缺": "sold"}, date_format="yyyyMMdd")
+    assert sorted((r.entity, str(r.date), r.bought, r.sold) for r in rows.collect()) == [("600000", "2024-01-02", 1.5, None), ("600000", "2024-01-03", None, None), ("600001", "2024-01-02", 2.0, None)]
+    assert {r.entity: r.n for r in files.event_history(rows.unionAll(rows)).collect()} == {"600000": 2, "600001": 1}
+    log = files.History(spark, f"file://{tmp_path}/h")
+    for run, ic in (("1", 0.1), ("2", 0.2), ("2", 0.3)):
+        log.append(spark.createDataFrame([(ic,)], "ic double"), run)
+    assert sorted((r.run, r.ic) for r in log.read().collect()) == [(1, 0.1), (2, 0.3)]
+    p = spark.createDataFrame([("a", 1), ("a", 5), ("b", 3)], "entity string, date int")
+    known = spark.createDataFrame([("a", 2, 0.5), ("a", 4, 0.7)], "entity string, date int, prediction double")
+    assert {(r.entity, r.date): r.prediction for r in RE.predictions_as_of(p, known).collect()} == {("a", 1): 0.0, ("a", 5): 0.7, ("b", 3): 0.0}
+    wide = spark.createDataFrame([(1, 2, 3, 4)], "entity int, x_rank int, noise int, keep int")
+    assert RE.without(wide, ("noise",), (), ("_rank",)).columns == ["entity", "keep"] and RE.without(wide).columns == wide.columns
+    sample = lambda n: [r.id for r in RE.seeded_sample(spark.range(1000).repartition(n), "id", 3, 20).collect()]
+    assert sample(1) == sample(7) and len(set(sample(3))) == 20
+    order = RE.locked_first(spark.createDataFrame([("a", False, 3.0), ("b", True, 1.0), ("c", False, None)], "entity string, lock boolean, score double"), [F.lit(1)], "lock", F.col("score"))
+    assert [r.entity for r in order.orderBy("place").collect()] == ["b", "a", "c"]
