@@ -142,9 +142,10 @@ def price_limit(entity: Column, limit: float) -> Column:
     return out
 
 
-def decide(rows: DataFrame, limit: float = 0.095, least_divergence: float = 0.10, gate: bool = True) -> DataFrame:
-    """rows with tag, buy and sell; needs entity, score, buy_threshold, sell_threshold, quality, rejected, ret, close, ma20,
-    ma60 and the columns of NEUTRAL. gate=False leaves out the last rule for buys, that the tag allows the score.
+def decide(rows: DataFrame, limit: float = 0.095, least_divergence: float = 0.10, gate: bool | None = None) -> DataFrame:
+    """rows with tag, buy and sell; needs entity, score, sell_threshold, quality, rejected, ret, close, ma20, ma60 and the
+    columns of NEUTRAL. gate is the last rule for buys, that the tag allows the score: by default wherever rows have a
+    buy_threshold.
 
     Buys: no reject, a score above -0.05, not too far above the 20-row mean for the kind of buy point, and either a
     structure (buy point or strong entity flow) or a positive score above that mean; not in a full downtrend without
@@ -163,7 +164,7 @@ def decide(rows: DataFrame, limit: float = 0.095, least_divergence: float = 0.10
     buy = ~c("rejected") & (score >= -0.05) & (structure | (c("close") > c("ma20"))) & (far < reach) & (structure | (score > 0))
     buy = buy & ((c("trend_type") != -2) | (bp >= 1) & confirmed | (c("bottom_divergence") > 0.3))
     rows = rows.withColumn("tag", signal_tag())
-    if gate:
+    if gate or gate is None and "buy_threshold" in rows.columns:
         named = ~c("factor_name").isin("V41", "NONE") & tag_allows(score, c("buy_threshold"), c("tag"))
         buy = buy & (F.col("entity").startswith(FREE[0]) | named)
     limit = price_limit(F.col("entity"), limit)
