@@ -211,3 +211,53 @@ def test_pipeline(spark, sf):
     assert all("@mail" not in t for t in texts.values())
     pieces = corpus_pipeline.STAGES[4][1](spark, now, sf).collect()
     assert {p.doc_id for p in pieces} == texts.keys()
+
+
+def test_ftrl_by_coordinates():
+    """Weights against the update rule, one coordinate after another in plain Python."""
+    import math
+
+    rnd = np.random.default_rng(5)
+    rows = [(rnd.integers(0, 16, rnd.integers(0, 12)), int(rnd.integers(0, 2))) for _ in range(40)]
+    bits, scale, epochs, alpha, beta, l1, l2 = 4, 20.0, 2, 0.5, 1.0, 0.3, 0.02
+    got = quality.train_ftrl(rows, bits, scale, epochs, alpha, beta, l1, l2, 9)
+    z, n = [0.0] * 17, [0.0] * 17
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    order = np.random.default_rng(9)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            idx, y = rows[k]
+            x = {int(i): (idx == i).sum() * scale / max(len(idx), 1) for i in idx} | {16: 1.0}
+            w = {i: weight(i) for i in x}
+            miss = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] * v for i, v in x.items()))))) - y
+            for i, v in x.items():
+                g = miss * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range(17)], atol=1e-12) and (got == 0).any() and (got != 0).any()
+
+
+def test_a_text_of_many_windows_token_by_token():
+    """The score of a whole text against attention that is written out for each token: it sees the tokens before it that
+    its window holds, each token is scored once, and classes and members multiply."""
+    shape = Shape(classes=4, members=3, dim=5, context=2, stride=3)
+    rnd = np.random.default_rng(3)
+    weights = {k: rnd.normal(0, 0.3, s).astype(np.float32) for k, s in shape.arrays().items()}
+    end, many = 5, shape.classes * shape.members
+    ids = rnd.integers(0, many, 5 * shape.stride + 3).astype(np.uint16)
+    model = Model(shape, weights)
+    x, y = model.windows(ids, end)
+    got = model.log_probs(x, y).ravel()[: len(ids)]
+    w = {k: v.astype(np.float64) for k, v in weights.items()}
+    inputs = [end, *ids[:-1].tolist()]  # what stands before each token
+    for t, target in enumerate(ids.tolist()):
+        first = t // shape.stride * shape.stride - shape.context  # where the token's window starts
+        seen = [(inputs[p] if p >= 0 else end, p - first) for p in range(first, t + 1)]
+        X = np.array([w["E"][token] + w["P"][place] for token, place in seen])
+        a = np.exp(X @ (X[-1] @ w["Q"]))
+        h = X[-1] + (a / a.sum()) @ X @ w["O"]
+        outer = np.exp(h @ w["C"] + w["c"])
+        c, m = divmod(target, shape.members)
+        inner = np.exp(h @ w["M"][c] + w["m"][c])
+        assert abs(got[t] - np.log(outer[c] / outer.sum()) - np.log(inner[m] / inner.sum())) < 2e-4
+    assert len(x) == 6 and np.isfinite(got).all()

@@ -110,3 +110,48 @@ def test_terms_that_touch_entities(spark):
     rows += [(50, "Zorblax@a.b Zorblax x@Zorblax.c Zorblax"), (51, "x@y.Zorblax,Zorblax")]
     got = {r.doc_id: r.clean for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), disclosure=0.5).collect()}
     assert got[0] == "[TERM] via [EMAIL] now 0" and got[50] == "[EMAIL] [TERM] [EMAIL] [TERM]" and got[51] == "[EMAIL],[TERM]"
+
+
+def test_terms_by_counting(spark, sf):
+    """Which terms reveal entities, from counts over whole texts in plain Python."""
+    from collections import defaultdict
+
+    import regex
+
+    disclosure, prior, window = 0.95, 0.25, 48
+    texts = {r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()}
+    word, kinds = regex.compile(r"\p{L}{4,}"), list(PLAIN)
+    words = {t: set(word.findall(t)) for t in texts}
+    df = defaultdict(int)
+    for found in words.values():
+        for term in found:
+            df[term] += 1
+    holders, beside = defaultdict(set), defaultdict(set)
+    for t in texts:
+        for kind in kinds:
+            for s, e in (map(int, x.split(":")[1:]) for x in brute(t)[kind]):
+                value = t[s:e].lower()
+                digits = re.sub("[^0-9]", "", value)
+                group = value.split("@")[-1] if kind == "email" else ".".join(value.split(".")[:3]) if kind == "ip" else digits[:6] if kind == "card" else digits[:4]
+                near = set(word.findall(t[max(0, s - window) : s] + " " + t[e : e + window]))
+                for key in ((kind,), (kind, group), (kind, group, value)):
+                    holders[key].add(t)
+                    for term in near:
+                        beside[key, term].add(t)
+    n, most = len(texts), defaultdict(float)
+    for (key, term), _ in beside.items():
+        if len(key) == 3 and len(holders[key]) < n:
+            share, rest = 0.0, 1.0
+            for part in (key[:1], key[:2], key):
+                share = (len(beside[part, term]) + prior * share) / (len(holders[part]) + prior)
+                rest *= prior / (len(holders[part]) + prior)
+            most[term] = max(most[term], n * share / ((n / len(holders[key])) ** disclosure - rest))
+    terms = {term for term, limit in most.items() if df[term] <= limit}
+    assert terms
+    held = {r.doc_id: r for r in find_personal_data(spark.read.parquet(f"{sf}/documents.parquet"), disclosure, prior, window).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        t = r.text or ""
+        own = sorted(terms & words[t])
+        want = [m.span() for m in regex.finditer(r"(?<!\p{L})(?:" + "|".join(own) + r")(?!\p{L})", t)] if own else []
+        assert held[r.doc_id].n_term == len(want)
+        assert [x for x in held[r.doc_id].spans.split(",") if x.startswith("term:")] == [f"term:{s}:{e}" for s, e in want]
