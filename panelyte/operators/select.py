@@ -60,3 +60,15 @@ def order_diff(target: DataFrame, current: DataFrame, prices: DataFrame, capital
     want = F.floor(F.coalesce("weight", F.lit(0.0)) * capital / F.col("price") / lot) * lot
     both = both.select("entity", F.coalesce("qty", F.lit(0)).cast("long").alias("have"), want.cast("long").alias("want"))
     return both.withColumn("delta", F.col("want") - F.col("have")).withColumn("side", F.when(F.col("delta") > 0, "buy").when(F.col("delta") < 0, "sell").otherwise("hold"))
+
+
+def order_plan(orders: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
+    """orders (order_diff()) with price, reason (enter, exit, raise, cut or keep), flow (what a row brings in or costs),
+    cash_after and funded: sells come first, then buys from the largest on, and a buy is funded while the cash after it
+    is not negative. One portfolio's orders, as many as it holds entities."""
+    have, want = F.col("have"), F.col("want")
+    reason = F.when((have == 0) & (want > 0), "enter").when((have > 0) & (want == 0), "exit").when(want > have, "raise").when(want < have, "cut").otherwise("keep")
+    p = orders.join(prices.select("entity", "price"), "entity").withColumn("reason", reason).withColumn("flow", -F.col("delta") * F.col("price"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.when(F.col("flow") >= 0, 0).otherwise(1), F.col("flow"), "entity")
+    p = p.withColumn("cash_after", F.lit(cash) + F.sum("flow").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.withColumn("funded", (F.col("flow") >= 0) | (F.col("cash_after") >= 0))

@@ -12,6 +12,7 @@ from panelyte.operators import fundamentals as FU
 from panelyte.operators import groups as G
 from panelyte.operators import points
 from panelyte.operators import regime as RG
+from panelyte.operators import reports as RP
 from panelyte.operators import signals as SG
 from panelyte.operators import swing, swing_state
 from panelyte.operators.asof import asof
@@ -37,13 +38,16 @@ def structured(rows: DataFrame) -> DataFrame:
     return points.stop_prices(points.agreeing_levels(points.second_points(points.fractal_quality(points.first_points(p)))))
 
 
-def inputs(spark, sf_dir) -> DataFrame:
-    """A weekly row for each nation with every input of the decision, each as known on its date."""
+def panel_of(spark, sf_dir) -> DataFrame:
+    """Weekly bars of nations with ord and the one-row return, stored."""
+    c = F.col
+    return stored(bars(spark, sf_dir, "nation").withColumn("ord", F.row_number().over(W.by_entity())).withColumn("ret", c("close") / W.lag(c("close")) - 1), "weekly")
+
+
+def with_structure(weekly: DataFrame) -> DataFrame:
+    """weekly with factors, flows, divergences and structure; ret is a tenth of the weekly return, as a day's."""
     c = F.col
-    weekly = stored(bars(spark, sf_dir, "nation").withColumn("ord", F.row_number().over(W.by_entity())).withColumn("ret", c("close") / W.lag(c("close")) - 1), "weekly")
-    lines = lines_by_nation(spark, sf_dir)
-    base = weekly.drop("ret", "grp").withColumn("turnover", c("volume") / 100)
-    p = FA.with_volatility(FA.prepare(base))
+    p = FA.with_volatility(FA.prepare(weekly.drop("ret").withColumn("turnover", c("volume") / 100)))
     p = FL.divergences(FA.exponential(FL.news_proxy(FL.capital_flow(p))))
     before = W.lag(c("ma20"), 5)
     p = p.withColumn("ma5", W.sma(c("close"), 5)).withColumn("slope5", F.when(before > 0, (c("ma20") - before) / (before + FA.EPS)))
@@ -52,9 +56,15 @@ def inputs(spark, sf_dir) -> DataFrame:
     spread = F.abs(c("ema20") - c("ema60")) / (c("close") + FA.EPS)
     order = F.when(c("ema20") > c("ema60"), 0.35).otherwise(-0.35) + F.when(c("ema60") > c("ema120"), 0.35).otherwise(-0.35)
     order = order + F.when((c("ema20") > c("ema60")) & (c("ema60") > c("ema120")), 0.3).when((c("ema20") < c("ema60")) & (c("ema60") < c("ema120")), -0.3).otherwise(0.0)
-    p = p.withColumn("zhongyin", F.when((c("ord") > 20) & (spread < 0.02) & (F.abs(order) < 0.3), 1.0).otherwise(0.0))
+    p = p.withColumn("mean_order", order).withColumn("zhongyin", F.when((c("ord") > 20) & (spread < 0.02) & (F.abs("mean_order") < 0.3), 1.0).otherwise(0.0))
     p = p.withColumn("pivot_present", F.when(c("pivots") > 0, (c("pivot_position") == 0).cast("double")).otherwise(0.0)).withColumn("divergence_strength", c("area_divergence"))
-    p = p.withColumn("bottom_fractal_vol_spike", F.coalesce(c("volume") / (W.lag(c("volume")) + FA.EPS), F.lit(1.0)))
+    return p.withColumn("bottom_fractal_vol_spike", F.coalesce(c("volume") / (W.lag(c("volume")) + FA.EPS), F.lit(1.0)))
+
+
+def inputs(spark, sf_dir) -> DataFrame:
+    """A weekly row for each nation with every input of the decision, each as known on its date."""
+    c, weekly, lines = F.col, panel_of(spark, sf_dir), lines_by_nation(spark, sf_dir)
+    p = with_structure(weekly.drop("grp"))
 
     frames = aligned_trends(bars(spark, sf_dir, "nation", "day").select("entity", "date", "open", "high", "low", "close")).select("entity", "date", "week_up", "month_up", "alignment")
     p = asof(p, frames.withColumnRenamed("date", "framed"), "entity", "date", "framed", ["week_up", "month_up", "alignment"])
@@ -109,3 +119,42 @@ def full_decision(spark, sf_dir):
         "entity", "date", "buy_point", "sell_point", "signal_level", "trend_type", "gate_structure", "gate_frames", "gate_heat", "gate_trend", "quality", "rejected", "score", "buy_threshold", "sell_threshold",
         "buy_systems", "sell_systems", "tag", "confidence", "buy", "sell", "stop_price", "stop_reason",
     ), 5)
+
+
+def diagnosed(spark, sf_dir) -> DataFrame:
+    """Weekly rows of nations with the columns of a diagnosis, all from known structure, and composite."""
+    c, recent = F.col, W.by_entity().rowsBetween(-4, 0)
+    p = with_structure(panel_of(spark, sf_dir)).filter("ord > 60")
+    p = p.select(
+        "entity", "grp", "date", "ord", "close", "trend_type", "buy_point", "sell_point", "buy_confidence", "sell_confidence", "buy_strength", "sell_strength", "confirmed_buy", "confirmed_sell", "signal_level", "pivot_position", "pivot_zg", "stroke_direction",
+        (c("ret") * 100).alias("change"), c("vr").alias("volume_ratio"), c("mean_order").alias("alignment"), F.coalesce("second_buy_confidence", F.lit(0.0)).alias("second_buy"), (c("top_divergence") > 0.3).alias("top_divergence"), (c("bottom_divergence") > 0.3).alias("bottom_divergence"),
+        F.coalesce("depleted", F.lit(False)).alias("depleted"), F.count_if(c("sell_point") == 3).over(recent).alias("breakdowns"), c("s3_conf").isNotNull().alias("pivot_breakdown"), "bottom_quality",
+    )
+    return p.withColumn("composite", RP.composite())
+
+
+@query(None)
+def structure_diagnosis(spark, sf_dir):
+    """Composite score, opportunity grade and risk class from known structure."""
+    p = diagnosed(spark, sf_dir)
+    return rounded(p.select("entity", "date", "trend_type", "buy_point", "sell_point", "signal_level", "composite", RP.grade(F.col("composite")).alias("grade"), RP.risk().alias("risk")))
+
+
+@query(None)
+def structure_main_lines(spark, sf_dir):
+    """Main-line table of each date's regions from known structure."""
+    return rounded(RP.main_lines(diagnosed(spark, sf_dir)))
+
+
+@query(None)
+def structure_attribution(spark, sf_dir):
+    """Pattern behind each surge (a move of more than 5 % as a day's), from the structure known on the row before."""
+    c = F.col
+    p = diagnosed(spark, sf_dir)
+    quiet = F.sum((F.abs("change") < 2).cast("int")).over(W.by_entity().rowsBetween(-20, -1))
+    p = p.select(
+        "*", F.when(c("close") > c("pivot_zg"), (c("close") / c("pivot_zg") - 1) * 100).alias("above_pct"), c("volume_ratio").alias("vol_spike"), W.lag(c("bottom_divergence")).alias("pre_divergence"), W.lag(c("trend_type")).alias("pre_trend"),
+        W.lag(c("pivot_position")).alias("pre_position"), W.lag(c("buy_point")).alias("pre_buy_point"), W.lag(c("alignment")).alias("pre_alignment"), W.lag(c("stroke_direction")).alias("pre_direction"), quiet.alias("pre_quiet"),
+    )
+    hit = p.filter("change > 5").withColumn("found", RP.limit_type())
+    return rounded(hit.select("entity", "date", "change", "found.type", "found.confidence"))

@@ -52,18 +52,34 @@ def focus_groups(spark, sf_dir):
     return rounded(S.focus_groups(ranked_scores(spark, sf_dir), 2, 2).select("date", "entity", "grp", "score", "gplace"))
 
 
-@query(f"""{WEIGHTS}, la as (select max(date) as d from wt), ds as (select date, row_number() over (order by date desc) as k from (select distinct date from wt)),
+ORDERS = f"""{WEIGHTS}, la as (select max(date) as d from wt), ds as (select date, row_number() over (order by date desc) as k from (select distinct date from wt)),
 t as (select entity, weight from wt where date = (select date from ds where k = 1)), c as (select entity, (floor(weight * 1e7 / close / 100) * 100)::bigint as qty from wt where date = (select date from ds where k = 2)),
 pr as (select entity, last(close order by date) as price from b group by 1), o as (select coalesce(t.entity, c.entity) as entity, coalesce(qty, 0) as have, weight from t full join c on t.entity = c.entity),
-x as (select o.entity, have, (floor(coalesce(weight, 0) * 1e7 / price / 100) * 100)::bigint as want from o join pr on pr.entity = o.entity)
-select entity, have, want, want - have as delta, case when want > have then 'buy' when want < have then 'sell' else 'hold' end as side from x""")
-def order_diff(spark, sf_dir):
+x as (select o.entity, have, (floor(coalesce(weight, 0) * 1e7 / price / 100) * 100)::bigint as want from o join pr on pr.entity = o.entity)"""
+
+
+def _orders(spark, sf_dir):
     w = weights(spark, sf_dir)
     days = w.select("date").distinct().orderBy(F.desc("date")).limit(2).withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("date"))))  # two dates
     w = stored(w, "weights").join(F.broadcast(days), "date")
     current = w.filter("k = 2").select("entity", (F.floor(F.col("weight") * 1e7 / F.col("close") / 100) * 100).alias("qty"))
     prices = bars(spark, sf_dir).groupBy("entity").agg(F.max_by("close", "date").alias("price"))
-    return S.order_diff(w.filter("k = 1"), current, prices, 1e7)
+    return S.order_diff(w.filter("k = 1"), current, prices, 1e7), prices
+
+
+@query(f"""{ORDERS}
+select entity, have, want, want - have as delta, case when want > have then 'buy' when want < have then 'sell' else 'hold' end as side from x""")
+def order_diff(spark, sf_dir):
+    return _orders(spark, sf_dir)[0]
+
+
+@query(f"""{ORDERS}, fl as (select x.*, want - have as delta, pr.price, -(want - have) * pr.price as flow from x join pr on pr.entity = x.entity),
+ca as (select *, 2e6 + sum(flow) over (order by case when flow >= 0 then 0 else 1 end, flow, entity rows between unbounded preceding and current row) as cash_after from fl)
+select entity, have, want, delta, case when have = 0 and want > 0 then 'enter' when have > 0 and want = 0 then 'exit' when want > have then 'raise' when want < have then 'cut' else 'keep' end as reason, round(flow, 2) as flow, round(cash_after, 2) as cash_after, flow >= 0 or cash_after >= 0 as funded from ca""")
+def order_plan(spark, sf_dir):
+    """Orders with their reasons, what they bring or cost, and which the cash pays for."""
+    orders, prices = _orders(spark, sf_dir)
+    return rounded(S.order_plan(orders, prices, 2e6).select("entity", "have", "want", "delta", "reason", "flow", "cash_after", "funded"), 2)
 
 
 @query(f"""{WEIGHTS}, pr as (select date, sum(weight * target) / 5 as ret from wt where target is not null group by 1), y as (select year(date) as year, date, ret from pr),

@@ -84,3 +84,20 @@ def test_the_quality_gate_rejects(spark):
     assert SG.decide(SG.defaults(rows), gate=False).filter("buy").count() == 3
     plain = {r.entity: (r.tag, r.buy) for r in SG.decide(SG.defaults(rows.drop("buy_systems"))).collect()}
     assert plain == {"688001": ("_T", True), "000001": ("_T", False), "000002": ("_T", False)}
+
+
+def test_diagnosis_by_its_rules(spark, sf):
+    """Composite scores from known structure, point by point."""
+    rows = [r.asDict() for r in decision.diagnosed(spark, sf.replace("sf0.001", "sf0.01")).collect()]
+    for r in rows:
+        if r["confirmed_buy"]:
+            trade = 0.35 * r["buy_strength"]
+        elif r["confirmed_sell"]:
+            trade = -0.35 * r["sell_strength"]
+        else:
+            trade = 0.20 * r["buy_confidence"] if r["buy_point"] > 0 else -0.20 * r["sell_confidence"] if r["sell_point"] > 0 else 0.0
+        total = {2: 0.25, -2: -0.25}.get(r["trend_type"], 0.0) + trade + 0.10 * r["second_buy"] + 0.05 * r["alignment"] - 0.05 * r["breakdowns"]
+        total += 0.08 if r["pivot_position"] == 1 else 0.05 if r["pivot_position"] == -1 and r["trend_type"] >= 0 else 0.0
+        total += 0.05 * (r["depleted"] and r["stroke_direction"] == -1) - 0.05 * r["pivot_breakdown"] - 0.10 * r["top_divergence"]
+        assert abs(r["composite"] - max(-1.0, min(1.0, total))) < 1e-12
+    assert len({r["trend_type"] for r in rows}) >= 2 and len({round(r["composite"], 2) for r in rows}) > 20
