@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelyte.llm.components import components
@@ -160,3 +161,26 @@ def test_signatures_lose_no_pair():
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert set(sign(a)) & set(sign(b))
     assert len(Shingler(3)(b"A b C a B c")) == 3
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    """Three runs over one state: each row is held against all earlier ones; a run that is repeated says the same."""
+    batches = [[(5, "a  b"), (6, "c"), (7, None), (8, "x" * 30_000)], [(9, "a b"), (3, "c"), (10, ""), (11, "new"), (12, "new")], [(1, "a\tb"), (13, "x" * 30_000), (14, "alone")]]
+    held = []
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        if k != 1:  # the second batch has no files of its own
+            df.write.parquet(f"file://{tmp_path}/in{k}")
+            df = spark.read.parquet(f"file://{tmp_path}/in{k}")
+        held += rows
+        groups = defaultdict(list)
+        for i, t in held:
+            groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+        want = sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in ((i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in rows))
+        for _ in range(2):
+            got = exact_dedup(df, state=f"file://{tmp_path}/state", run=str(k))
+            assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
+    weak = spark.createDataFrame([(20, "other")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="several texts"):
+        for run, text in (("a", "p"), ("b", "q")):
+            exact_dedup(weak.withColumn("text", F.lit(text)), key=lambda d: F.lit("k"), state=f"file://{tmp_path}/weak", run=run).collect()
