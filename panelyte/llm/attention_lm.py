@@ -11,7 +11,8 @@ tokens that were scored before and `stride` tokens that are scored here, so each
 batches of windows in one masked attention.
 
 Corpus side: word counts over all training texts (partial counts in tasks, summed by word), subword counts from them,
-then one pass that spells every text. Training learns from every window of every training text once. Texts are dealt
+then one pass that spells every text, in which a distinct word of a few MB of texts is spelled and looked up once.
+Training learns from every window of every training text once. Texts are dealt
 to shards by a hash, as many as the corpus's tokens need, and to rounds; each shard learns its texts in a fixed order
 from the weights of the round before, and the shards' weights are averaged by tokens in whole numbers. So the weights
 follow from the table and the parameters, not from the number of files, tasks or executors. The exact word counts are
@@ -22,16 +23,18 @@ from __future__ import annotations
 
 import ctypes
 import math
-from collections import Counter
+import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyte.llm.pieces import LONG, PieceCache, byte_alphabet, load_tokenizer, piece_encoder
-from panelyte.llm.shared import fold_of, materialize, text_groups
+from panelyte.llm.pieces import LONG, PieceCache, byte_alphabet, load_tokenizer, piece_encoder, worker_cache
+from panelyte.llm.shared import fold_of, materialize
 
 LOG10 = math.log(10)
 NONE = np.uint16(65535)  # no target
@@ -75,6 +78,13 @@ def _sums(p: np.ndarray) -> np.ndarray:
     return np.ones(len(p), np.float32) @ p
 
 
+def _exp(p: np.ndarray, most: float) -> None:
+    """In place, what is above `most` as if it were that: looking for such a value costs a fifth of writing the bound."""
+    if p.size and not p.max() <= most:
+        np.minimum(p, most, out=p)
+    np.exp(p, out=p)
+
+
 class Model:
     def __init__(self, shape: Shape, weights: dict[str, np.ndarray]):
         self.shape, self.w = shape, weights
@@ -103,7 +113,7 @@ class Model:
         own = np.ascontiguousarray(X[:, c0:]).reshape(-1, d)
         q = (own @ w["Q"]).reshape(-1, self.shape.stride, d)
         A = q @ X.transpose(0, 2, 1)
-        np.exp(np.minimum(A, 30, out=A), out=A)
+        _exp(A, 30)
         A *= self.seen
         share = 1 / (A.reshape(-1, self.shape.window) @ self.ones[: self.shape.window])
         mixed = (A @ X).reshape(-1, d)
@@ -128,15 +138,18 @@ class Model:
                 np.matmul(h[lo:hi], w["M"][c], out=inner[lo:hi])
                 inner[lo:hi] += w["m"][c]
         for p in (outer, inner):
-            np.exp(np.minimum(p, 40, out=p), out=p)  # stays finite
+            _exp(p, 40)  # stays finite
         return outer, outer @ self.ones[: self.shape.classes], inner, inner @ self.ones[:m]
 
-    def _states(self, x: np.ndarray, some: int) -> np.ndarray:
-        """The softmax's inputs at all scored places, a few windows at a time so that they stay in the cache."""
+    def _states(self, x: np.ndarray, some: int, kept: list | None = None) -> np.ndarray:
+        """The softmax's inputs at all scored places, a few windows at a time so that they stay in the cache; what the
+        attention of these held is added to `kept`."""
         stride = self.shape.stride
         H = np.empty((len(x) * stride, self.shape.dim), np.float32)
         for lo in range(0, len(x), some):
-            H[lo * stride : (lo + some) * stride] = self._attend(x[lo : lo + some])[-1]
+            *held, H[lo * stride : (lo + some) * stride] = self._attend(x[lo : lo + some])
+            if kept is not None:
+                kept.append(held)
         return H
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, some: int = 128) -> np.ndarray:
@@ -150,11 +163,12 @@ class Model:
         return full.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, some: int = 128) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability of the targets. The attention is computed again on the way back: that
-        takes less time than keeping it."""
+        """Of the mean negative log probability of the targets. What the attention of the batch held is kept for the
+        way back, in blocks that a heap which is not given back finds again (keep_heap)."""
         w, d, m, c0, stride = self.w, self.shape.dim, self.shape.members, self.shape.context, self.shape.stride
         order, t, ends = self._by_target(y)
-        h = np.take(self._states(x, some), order, axis=0)
+        kept: list = []
+        h = np.take(self._states(x, some, kept), order, axis=0)
         outer, outer_sum, inner, inner_sum = self._levels(h, ends)
         n, rows, cls = np.float32(1 / len(t)), np.arange(len(t)), t // m
         outer *= (n / outer_sum)[:, None]
@@ -172,7 +186,7 @@ class Model:
         dH[order] = dh
         dX = np.empty((*x.shape, d), np.float32)
         for lo in range(0, len(x), some):
-            X, own, q, A, share, mixed, _ = self._attend(x[lo : lo + some])
+            X, own, q, A, share, mixed = kept[lo // some]
             dh = dH[lo * stride : (lo + some) * stride]
             g["O"] += mixed.T @ dh
             dO = dh @ w["O"].T
@@ -189,8 +203,9 @@ class Model:
             part += A.transpose(0, 2, 1) @ dO
             part[:, c0:] += (dh + dq @ w["Q"].T).reshape(-1, stride, d)
         g["P"] = dX.sum(0)
-        at = np.argsort(x, axis=None, kind="stable")
-        ids, first = np.unique(np.take(x, at), return_index=True)
+        at, times = np.argsort(x, axis=None, kind="stable"), np.bincount(x.ravel())
+        ids = np.flatnonzero(times)
+        first = np.cumsum(times[ids]) - times[ids]
         g["E"][ids] = np.add.reduceat(np.ascontiguousarray(np.take(dX.reshape(-1, d), at, axis=0).T), first, axis=1).T
         return g
 
@@ -207,46 +222,77 @@ class Model:
 END = b""  # the end token among words, which are never empty
 
 
-def word_counts(rows: DataFrame, flush: int = 150_000, flush_bytes: int = 1 << 26) -> DataFrame:
+def text_slices(texts: pa.Array, most: int):
+    """(from, to) of slices of at most `most` bytes, one text at least."""
+    ends, lo = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), "right")))
+        yield lo, hi
+        lo = hi
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct lower-cased words, each word's place among them, the number of words of each text) of binary texts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # the ends of a text split into empty words
+    if not full.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        words = words.filter(pa.array(full))
+    coded = words.dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(zero_copy_only=False), n
+
+
+def word_counts(rows: DataFrame, flush_bytes: int = 1 << 24) -> DataFrame:
     """(word, n) over all rows (text binary); the end is the empty word. A task holds the words of at most flush_bytes of
-    text, or of one group of texts."""
+    text, or of one text."""
 
     def count(batches):
-        held: Counter = Counter()
-        size = 0
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi in text_slices(texts, flush_bytes):
+                words, at, _ = split_words(texts.slice(lo, hi - lo))
+                n = np.append(np.bincount(at, minlength=len(words)), hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(n, pa.int64())], ["word", "n"])
 
-        def batch_of():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
+    return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-        for batch in batches:
-            for _, texts in text_groups([batch], "held_out", "text"):
-                for t in texts:
-                    held.update(t.lower().split())
-                    size += len(t)
-                held[END] += len(texts)
-                if len(held) > flush or size > flush_bytes:
-                    yield batch_of()
-                    size = 0
-        if held:
-            yield batch_of()
 
-    return rows.select("held_out", "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class WordEncoder:
+    """Subword ids of many words in one call: a word begins where a token begins with a space, as no word holds one."""
+
+    def __init__(self, tokenizer_path: str):
+        self.encode, vocab = piece_encoder(tokenizer_path), load_tokenizer(tokenizer_path)[0].get_vocab()
+        space = next(c for c, b in byte_alphabet().items() if b == 0x20)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
+
+    def __call__(self, words: list[bytes]):
+        """For some of the words at a time: (ids, one word after another, the number of ids of each word)."""
+        for lo in range(0, len(words), 4096):
+            some = [w.decode(errors="replace") for w in words[lo : lo + 4096]]
+            ids = np.array(self.encode([" ".join(["", *some])])[0])
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(some) and at[0] == 0:
+                yield ids, np.diff(at, append=len(ids))
+            else:  # a file that spells a space otherwise
+                each = self.encode([" " + w for w in some])
+                yield np.concatenate(each), np.array([len(i) for i in each])
 
 
 def subword_counts(counts: DataFrame, tokenizer_path: str) -> dict[int, int]:
     """Subword id -> count over all training texts; at most as many entries as the file has ids."""
 
     def count(batches):
-        encode = piece_encoder(tokenizer_path)
-        held: Counter = Counter()
+        encode = worker_cache(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+        held = np.zeros(len(encode.opens), np.int64)
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_pylist()
-            for ids, k in zip(encode([" " + w.decode(errors="replace") for w in words]), n, strict=True):
-                for i in ids:
-                    held[i] += k
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["id", "n"])
+            words, n, lo = batch.column("word").to_numpy(zero_copy_only=False).tolist(), batch.column("n").to_numpy(), 0
+            for ids, sizes in encode(words):
+                np.add.at(held, ids, np.repeat(n[lo : lo + len(sizes)], sizes))
+                lo += len(sizes)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at])], ["id", "n"])
 
     ids = counts.filter(F.octet_length("word") > 0).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in ids.collect()}
@@ -276,39 +322,60 @@ def spelling(tokenizer_path: str, counts: dict[int, int], ends: int, shape: Shap
     return [rank[r].tobytes() for r in raw], int(rank[0]), np.sort(n)[::-1]
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ..., sizes[k] of them, for one k after another."""
+    ends = np.cumsum(sizes, dtype=starts.dtype)
+    places = np.repeat(starts - ends + sizes, sizes)
+    places += np.arange(len(places), dtype=starts.dtype)
+    return places
+
+
 class Speller:
     """Words (bytes) -> model ids as the bytes of unsigned 16-bit integers."""
 
     def __init__(self, tokenizer_path: str, spelled: list[bytes], cache_size: int = 160_000):
-        encode, alphabet = piece_encoder(tokenizer_path), byte_alphabet()
-        vocab = load_tokenizer(tokenizer_path)[0].get_vocab()
-        space = next(c for c, b in alphabet.items() if b == 0x20)
-        opens = np.zeros(len(spelled), bool)
-        opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
-        sizes, flat = np.array([len(s) for s in spelled]), spelled
+        encode = worker_cache(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+        letters, sizes = np.frombuffer(b"".join(spelled), np.uint16), np.array([len(s) // 2 for s in spelled])
+        starts = np.cumsum(sizes) - sizes
 
         def many(words: list[bytes]) -> list[bytes]:
-            """All words in one call: a word begins where a token begins with a space, as no word holds one."""
             out = []
-            for lo in range(0, len(words), 4096):
-                some = words[lo : lo + 4096]
-                ids = encode([b" ".join([b"", *some]).decode()])[0]
-                at = np.flatnonzero(opens[ids])
-                ends = np.concatenate([[0], np.cumsum(sizes[ids])])
-                whole = b"".join([flat[i] for i in ids])
-                cuts = [*ends[at].tolist(), len(whole)]
-                if len(at) != len(some):  # a file that spells a space otherwise
-                    out += [b"".join([flat[i] for i in each]) for each in encode([" " + w.decode() for w in some])]
-                else:
-                    out += [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            for ids, n in encode(words):
+                whole = letters[runs(starts[ids], sizes[ids])].tobytes()
+                cuts = (2 * np.append(0, np.cumsum(sizes[ids]))[np.append(0, np.cumsum(n))]).tolist()
+                out += [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             return out
 
         self.cache = PieceCache(many, limit=cache_size, prefix="")
 
-    def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
-        self.cache.learn(set().union(*texts))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, t)) for t in texts]
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        self.cache.learn(set(words))
+        return list(map(self.cache.__getitem__, words))
+
+
+def spell_texts(texts: pa.Array, spell: Speller, known: dict[bytes, float]) -> list[pa.Array]:
+    """Of binary texts: model ids, number of words, how many words are known, the sum of their values, and the distinct
+    other words with their times. A distinct word of the texts is spelled and looked up once."""
+    words, at, n = split_words(texts)
+    listed, rows = words.to_numpy(zero_copy_only=False).tolist(), len(texts)
+    spelled = spell(listed)
+    letters, sizes = np.frombuffer(b"".join(spelled), np.uint16), np.array(list(map(len, spelled)), np.int32) // 2
+    each = np.take(sizes, at)
+    ids = np.take(letters, runs(np.take(np.cumsum(sizes, dtype=np.int32) - sizes, at), each))
+    ends = 2 * np.append(0, np.cumsum(each, dtype=np.int64))[np.append(0, np.cumsum(n))]
+    none = float("nan")
+    value, doc = np.array(list(map(known.get, listed, repeat(none))), np.float64)[at], np.repeat(np.arange(rows), n)
+    near = ~np.isnan(value)
+    pairs, times = np.unique(doc[~near] * len(listed) + at[~near], return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(rows + 1) * len(listed)), pa.int32())
+    return [
+        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)]),
+        pa.array(n, pa.int64()),
+        pa.array(np.bincount(doc[near], minlength=rows), pa.int64()),
+        pa.array(np.bincount(doc[near], value[near], rows), pa.float64()),
+        pa.ListArray.from_arrays(offsets, words.take(pa.array(pairs % max(1, len(listed)), pa.int64()))),
+        pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+    ]
 
 
 def window_batches(groups, size: int, rng: np.random.Generator):
@@ -435,29 +502,21 @@ def lm_scores(
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((spelled, {w: math.log10((c + 1) / base) for w, c in frequent(counts.filter(F.octet_length("word") <= LONG), head_size).items()}))
 
+    run = uuid.uuid4().hex
+
     def spell_all(batches):
         letters, known = shared.value
-        spell, end_log = Speller(tokenizer_path, letters), math.log10((n_ends + 1) / base)
+        spell, end_log = worker_cache(("speller", run), lambda: Speller(tokenizer_path, letters)), math.log10((n_ends + 1) / base)
         uid = TaskContext.get().partitionId() << 33
-        kinds = {"uid": pa.int64(), "ids": pa.binary(), "n_tokens": pa.int64(), "near_known": pa.int64(), "near": pa.float64(), "far": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
         for batch in batches:
-            columns = {c: [] for c in kinds}
-            for _, texts in text_groups([batch], "held_out", "text", 1 << 18):
-                words = [t.lower().split() for t in texts]
-                for ws, ids in zip(words, spell(words), strict=True):
-                    near, hits, far = end_log, int(n_ends > 0), {}
-                    for word, times in Counter(ws).items():
-                        value = known.get(word)
-                        if value is None:
-                            far[word] = times
-                        else:
-                            near += value * times
-                            hits += times
-                    uid += 1
-                    for c, v in zip(kinds, (uid, ids, len(ws) + 1, hits, near, list(far), list(far.values())), strict=True):
-                        columns[c].append(v)
-            arrays = [pa.array(columns[c], kinds[c]) for c in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], ["doc_id", "held_out", *kinds])
+            texts = batch.column("text")
+            for lo, hi in text_slices(texts, 1 << 22):
+                ids, n, hits, near, far, times = spell_texts(texts.slice(lo, hi - lo), spell, known)
+                uids = pa.array(np.arange(uid, uid + hi - lo))
+                uid += hi - lo
+                columns = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out")]
+                columns += [uids, ids, pc.add(n, 1), pc.add(hits, int(n_ends > 0)), pc.add(near, end_log), far, times]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "uid", "ids", "n_tokens", "near_known", "near", "far", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     texts = materialize(rows.mapInArrow(spell_all, f"doc_id {kind}, held_out boolean, uid long, ids binary, n_tokens long, near_known long, near double, far array<binary>, times array<long>"), "spelled")

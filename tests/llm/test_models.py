@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from panelyte.llm.attention_lm import NONE, Model, Shape, lm_scores, start_weights, train_round, window_batches, window_groups
+from panelyte.llm.attention_lm import NONE, Model, Shape, Speller, WordEncoder, lm_scores, spell_texts, start_weights, text_slices, train_round, window_batches, window_groups
 from panelyte.llm import quality
 from panelyte.llm.quality import score_quality
 
@@ -261,3 +262,36 @@ def test_a_text_of_many_windows_token_by_token():
         inner = np.exp(h @ w["M"][c] + w["m"][c])
         assert abs(got[t] - np.log(outer[c] / outer.sum()) - np.log(inner[m] / inner.sum())) < 2e-4
     assert len(x) == 6 and np.isfinite(got).all()
+
+
+def test_attention_is_computed_once_for_a_step():
+    shape = Shape(classes=4, members=4, dim=4)
+    model, calls = Model(shape, start_weights(shape, np.ones(16))), []
+    attend = model._attend
+    model._attend = lambda x: calls.append(len(x)) or attend(x)
+    x, y = model.windows(np.random.default_rng(2).integers(0, 16, 24 * 10).astype(np.uint16), 0)
+    got = model.gradients(x, y, some=4)
+    assert calls == [4, 4, 2]
+    whole = model.gradients(x, y)
+    assert all(np.allclose(got[k], whole[k], atol=1e-6) for k in whole)
+    model.w["Q"] *= 1e4  # logits beyond the bounds stay finite
+    assert np.isfinite(model.log_probs(x, y)).all() and all(np.isfinite(g).all() for g in model.gradients(x, y).values())
+
+
+def test_texts_are_spelled_by_their_distinct_words(spark):
+    """Ids, known words and other words of texts, text by text in plain Python; each distinct word is asked for once."""
+    tok = Tokenizer.from_file(JSON)
+    spelled = [np.array([i % 1000, i // 1000], np.uint16)[: 1 + i % 2].tobytes() for i in range(max(tok.get_vocab().values()) + 1)]
+    whole, asked = Speller(JSON, spelled, cache_size=8), []
+    spell = lambda words: asked.extend(words) or whole(words)
+    texts = ["", "  The cat\x0b\x0cthe\tCAT ", " \n\r", "na\u00efve \u00a0 \u3000x a\x1cb \u00c9t\u00c9", "x" * 5000 + " the", "[UNK] <s> x9 x9 x9", "\u00a0 \u00a0 y"]
+    known = {b"the": -1.5, b"x9": -2.0}
+    ids, n, hits, near, far, times = (a.to_pylist() for a in spell_texts(pa.array([t.encode() for t in texts], pa.binary()), spell, known))
+    words = [t.encode().lower().split() for t in texts]
+    assert sorted(asked) == sorted({w for ws in words for w in ws})
+    alone = WordEncoder(JSON).encode
+    for k, ws in enumerate(words):
+        assert ids[k] == b"".join(spelled[i] for w in ws for i in alone([" " + w.decode()])[0]) and n[k] == len(ws)
+        assert hits[k] == sum(w in known for w in ws) and abs(near[k] - sum(known.get(w, 0) for w in ws)) < 1e-9
+        assert dict(zip(far[k], times[k])) == Counter(w for w in ws if w not in known)
+    assert list(text_slices(pa.array([b"ab", b"", b"abcdef", b"a", b"b"], pa.binary()), 3)) == [(0, 2), (2, 3), (3, 5)]
