@@ -78,11 +78,23 @@ def _sums(p: np.ndarray) -> np.ndarray:
     return np.ones(len(p), np.float32) @ p
 
 
-def _exp(p: np.ndarray, most: float) -> None:
-    """In place, what is above `most` as if it were that: looking for such a value costs a fifth of writing the bound."""
-    if p.size and not p.max() <= most:
-        np.minimum(p, most, out=p)
-    np.exp(p, out=p)
+def _exps(logits, ones: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of what `logits` gives, 0 where not `seen`, and their sums by row. Only where a sum leaves the safe
+    range, which the sums themselves tell, is everything done again less each row's greatest logit."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        p = logits()
+        np.exp(p, out=p)
+        if seen is not None:
+            p *= seen
+        total = p.reshape(-1, len(ones)) @ ones
+    if total.size and not (total.min() > 1e-20 and total.max() < 1e20):
+        p = logits()
+        if seen is not None:
+            p[:, seen == 0] = -np.inf
+        p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        total = p.reshape(-1, len(ones)) @ ones
+    return p, total
 
 
 class Model:
@@ -112,10 +124,8 @@ class Model:
         X += w["P"]
         own = np.ascontiguousarray(X[:, c0:]).reshape(-1, d)
         q = (own @ w["Q"]).reshape(-1, self.shape.stride, d)
-        A = q @ X.transpose(0, 2, 1)
-        _exp(A, 30)
-        A *= self.seen
-        share = 1 / (A.reshape(-1, self.shape.window) @ self.ones[: self.shape.window])
+        A, total = _exps(lambda: q @ X.transpose(0, 2, 1), self.ones[: self.shape.window], self.seen)
+        share = 1 / total
         mixed = (A @ X).reshape(-1, d)
         mixed *= share[:, None]
         return X, own, q, A, share, mixed, own + mixed @ w["O"]
@@ -131,15 +141,21 @@ class Model:
     def _levels(self, h: np.ndarray, ends: list[int]):
         """Exponentials of the logits of classes, and of members inside each row's class, with their row sums."""
         w, m = self.w, self.shape.members
-        outer, inner = h @ w["C"], np.empty((len(h), m), np.float32)
-        outer += w["c"]
-        for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
-            if lo < hi:
-                np.matmul(h[lo:hi], w["M"][c], out=inner[lo:hi])
-                inner[lo:hi] += w["m"][c]
-        for p in (outer, inner):
-            _exp(p, 40)  # stays finite
-        return outer, outer @ self.ones[: self.shape.classes], inner, inner @ self.ones[:m]
+
+        def classes():
+            outer = h @ w["C"]
+            outer += w["c"]
+            return outer
+
+        def members():
+            inner = np.empty((len(h), m), np.float32)
+            for c, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+                if lo < hi:
+                    np.matmul(h[lo:hi], w["M"][c], out=inner[lo:hi])
+                    inner[lo:hi] += w["m"][c]
+            return inner
+
+        return *_exps(classes, self.ones[: self.shape.classes]), *_exps(members, self.ones[:m])
 
     def _states(self, x: np.ndarray, some: int, kept: list | None = None) -> np.ndarray:
         """The softmax's inputs at all scored places, a few windows at a time so that they stay in the cache; what the

@@ -278,6 +278,33 @@ def test_attention_is_computed_once_for_a_step():
     assert np.isfinite(model.log_probs(x, y)).all() and all(np.isfinite(g).all() for g in model.gradients(x, y).values())
 
 
+def test_scores_of_far_logits_are_those_of_the_softmax():
+    """Logits of any size against the model in double precision less the greatest logit, at all three softmaxes."""
+    shape = Shape(classes=4, members=3, dim=6, context=2, stride=3)
+    rnd = np.random.default_rng(8)
+    ids = rnd.integers(0, 12, 4 * shape.stride - 1).astype(np.uint16)
+    inputs = [7, *ids[:-1].tolist()]
+
+    def plain(w, t):
+        first = t // shape.stride * shape.stride - shape.context
+        X = np.array([w["E"][inputs[p] if p >= 0 else 7] + w["P"][p - first] for p in range(first, t + 1)])
+        soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        h = X[-1] + soft(X @ (X[-1] @ w["Q"])) @ X @ w["O"]
+        c, m = divmod(int(ids[t]), shape.members)
+        return np.log(soft(h @ w["C"] + w["c"])[c]) + np.log(soft(h @ w["M"][c] + w["m"][c])[m])
+
+    for key, add in (("Q", 0), ("c", 60), ("c", -120), ("m", 200), ("m", -60)):
+        weights = {k: rnd.normal(0, 0.3, s).astype(np.float32) for k, s in shape.arrays().items()}
+        weights[key] += np.float32(add)  # the same for all of one softmax, so it may not change a score
+        if key == "Q":
+            weights[key] = (np.eye(shape.dim) * 150).astype(np.float32) * np.sign(rnd.normal(size=shape.dim)).astype(np.float32)
+        model = Model(shape, weights)
+        x, y = model.windows(ids, 7)
+        got, w = model.log_probs(x, y).ravel(), {k: v.astype(np.float64) for k, v in weights.items()}
+        assert np.allclose(got[: len(ids)], [plain(w, t) for t in range(len(ids))], atol=2e-3), (key, add)
+        assert got[len(ids) :].tolist() == [0] and all(np.isfinite(g).all() for g in model.gradients(x, y).values())
+
+
 def test_texts_are_spelled_by_their_distinct_words(spark):
     """Ids, known words and other words of texts, text by text in plain Python; each distinct word is asked for once."""
     tok = Tokenizer.from_file(JSON)
