@@ -21,9 +21,10 @@ def usage(chosen: DataFrame, by: str = "factor") -> DataFrame:
 
 
 def position_quality(rows: DataFrame, exposure: str = "exposure", value: str = "target") -> DataFrame:
-    """One row: mean of what follows at high (above the median) and low exposure, their gap and the correlation."""
-    median = rows.agg(F.percentile(exposure, 0.5).alias("median"))
-    r = rows.filter(F.col(exposure).isNotNull() & F.col(value).isNotNull()).crossJoin(F.broadcast(median))  # one row
+    """One row: mean of what follows at high (above the median) and low exposure, their gap and the correlation, all over
+    the rows that have both."""
+    known = rows.filter(F.col(exposure).isNotNull() & F.col(value).isNotNull())
+    r = known.crossJoin(F.broadcast(known.agg(F.percentile(exposure, 0.5).alias("median"))))  # one row
     high, low = F.avg(F.when(F.col(exposure) > F.col("median"), F.col(value))), F.avg(F.when(F.col(exposure) <= F.col("median"), F.col(value)))
     return r.agg(F.count(F.lit(1)).alias("n"), high.alias("high"), low.alias("low"), (high - low).alias("gap"), pearson(exposure, value).alias("corr"))
 

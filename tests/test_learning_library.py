@@ -10,6 +10,7 @@ from panelyte.operators import fundamentals as FU
 from panelyte.operators import ic as IC
 from panelyte.operators import library as LB
 from panelyte.operators import ml
+from panelyte.operators import reports as RP
 from panelyte.operators import select as S
 from panelyte.operators import signals as SG
 from panelyte.operators.asof import in_interval
@@ -60,6 +61,17 @@ def test_profit_screen(spark):
     assert last == {"worse": True, "better": False, "hollow": True, "mixed": False, "short": False}
 
 
+def test_median_exposure_of_the_rows_that_count(spark):
+    """Rows without what follows, or without exposure, do not move the median between high and low."""
+    rows = [(0.1, 1.0), (0.2, 3.0), (0.3, 2.0), (0.4, 6.0)]
+    more = [(0.9, None), (0.8, None), (0.7, None), (None, 50.0), (None, None)]
+    frame = lambda rs: spark.createDataFrame(rs, "exposure double, target double")
+    got, alone = RP.position_quality(frame(rows + more)).first(), RP.position_quality(frame(rows)).first()
+    assert (got.n, got.high, got.low, got.gap) == (4, 4.0, 2.0, 2.0) and got == alone
+    none = RP.position_quality(frame(more)).first()
+    assert none.n == 0 and none.high is None and none.low is None
+
+
 def test_decisions_by_kind_of_buy_point(spark):
     rows = [(f"k{k}", 100, k, level, trend, 10.0, 9.9, 9.0, 0.2, 1.0, -0.35, False, 0.0) for k, level, trend in ((0, 0, 0), (3, 0, 1), (3, 1, 1), (3, 1, -2), (7, 1, 0), (7, 2, 0), (6, 1, 0), (6, 1, -1), (8, 1, 0))]
     names = "entity string, ord int, buy_point int, signal_level int, trend_type int, close double, ma20 double, ma60 double, score double, quality double, sell_threshold double, rejected boolean, ret double"
